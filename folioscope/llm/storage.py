@@ -1,0 +1,42 @@
+"""Where intermediate tables go: the shared folder that the cluster names in ``spark.checkpoint.dir``."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one of our own only where none is set (a local test session)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        current = spark.sparkContext.getCheckpointDir()
+        if not current:
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
+            current = spark.sparkContext.getCheckpointDir()
+        base = current
+    return base.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and any executor may be lost."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_bytes(df: DataFrame, column: str) -> int:
+    """UTF-8 bytes in a text column; sizes shards and partitions, never what is kept."""
+    total = df.agg(F.sum(F.octet_length(F.col(column)))).head()[0]
+    return int(total or 0)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
