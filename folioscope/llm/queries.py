@@ -21,7 +21,23 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    out = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), out="q")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", *(F.col("q")[x].alias(x) for x in names), F.round(F.col("q")["posterior"], 6).alias("posterior"))
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_dedup
+
+    return simhash_dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_substring_dedup": op5_substring_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -139,7 +139,5 @@ def window_documents(first_word: np.ndarray, width: int) -> tuple[np.ndarray, np
 
 def covered(starts: np.ndarray, width: int, n_words: int) -> np.ndarray:
     """Which of ``n_words`` words lie in a window of ``width`` words from one of ``starts``."""
-    edges = np.zeros(n_words + 1, np.int64)
-    np.add.at(edges, starts, 1)
-    np.subtract.at(edges, np.minimum(starts + width, n_words), 1)
+    edges = np.bincount(starts, minlength=n_words + 1) - np.bincount(np.minimum(starts + width, n_words), minlength=n_words + 1)
     return np.cumsum(edges[:-1]) > 0
