@@ -14,6 +14,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import MIN_COVER, license_scan
+
+    out = license_scan(_table(spark, sf_dir, "documents"))
+    words = F.transform("places", lambda p: p["word"])
+    base = F.transform("places", lambda p: p["label"])
+    more = F.transform(F.filter("spans", lambda s: s["coverage"] >= MIN_COVER), lambda s: s["label"])
+    join = lambda labels: F.concat_ws(",", F.sort_array(F.array_distinct(labels)))
+    return out.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        join(base).alias("base_labels"), join(F.concat(base, more)).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.round(F.array_max(F.transform("spans", lambda s: s["coverage"])), 6), F.lit(0.0))).alias("score"),
+    )
+
+
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_count import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_round_trip
+
+    out = bpe_round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, token_pieces
+
+    return pack(token_pieces(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -36,8 +77,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_token_count": op6_token_count,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_quality_rules": op8_quality_rules,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
