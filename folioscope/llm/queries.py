@@ -55,11 +55,30 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_scan
+
+    out = secret_scan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "finding", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
     out = substring_dedup(_table(spark, sf_dir, "documents"), width=20)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +97,9 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_warc": op3_warc,
+    "op4_secret_scan": op4_secret_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_count": op6_token_count,
     "op7_bpe_round_trip": op7_bpe_round_trip,
@@ -85,4 +107,30 @@ QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": f"""
+        WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
+        g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.norm) AS text_sha256 FROM t JOIN g ON t.norm = g.norm""",
+    "op3_warc": """
+        WITH h AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+        f AS (SELECT payload, min(page_id) AS first_id FROM h GROUP BY payload)
+        SELECT page_id, CAST(strlen(h.payload) AS BIGINT) AS payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            CAST(((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+          CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM h JOIN f ON h.payload = f.payload""",
+    "op5_substring_dedup": """
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 18, 1))) AS start FROM w),
+        g AS (SELECT doc_id, start, array_to_string(list_slice(words, start, start + 19), ' ') AS gram FROM p),
+        d AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY gram ORDER BY doc_id, start) AS n FROM g) WHERE n > 1),
+        c AS (SELECT DISTINCT doc_id, start + unnest(range(0, 20)) AS pos FROM d),
+        r AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+          sha256(array_to_string(list_filter(words, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+        FROM w LEFT JOIN r ON w.doc_id = r.doc_id""",
+}
