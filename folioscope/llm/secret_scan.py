@@ -171,19 +171,34 @@ def fit_forest(spark: SparkSession, findings: list[tuple] | None = None) -> list
     return _FORESTS[key]
 
 
-def score(forest: list[tuple], seen: dict[str, Column]) -> Column:
-    """The forest as one expression: the mean of its trees' probabilities."""
-    columns = [seen[k] for k in FEATURES]
+def _heap(tree: tuple) -> list[tuple[int, float, float]]:
+    """A tree as a complete binary heap of (feature, threshold, probability); a leaf is repeated below itself."""
+    out, level = [], [tree]
+    for _ in range(DEPTH + 1):
+        out += [(0, 0.0, n[0]) if len(n) == 1 else (n[0], n[1], 0.0) for n in level]
+        level = [x for n in level for x in ((n, n) if len(n) == 1 else n[2:])]
+    return out
+
+
+def score(forest: list[tuple], seen: Column) -> Column:
+    """The forest as one expression over the array of ``FEATURES``: the mean of its trees' probabilities.
+
+    The trees are constant arrays and each step goes one level down, so the expression stays small.
+    """
+    heaps = [_heap(t) for t in forest]
+    size = len(heaps[0])
+    column = lambda i, kind: F.array(*(F.lit(kind(n[i])) for h in heaps for n in h))
+    which, threshold, value = column(0, int), column(1, float), column(2, float)
+
+    def leaf(tree: Column) -> Column:
+        def down(node: Column, _: Column) -> Column:
+            at = tree * size + node + 1
+            return 2 * node + 1 + (F.element_at(seen, F.element_at(which, at) + 1) > F.element_at(threshold, at)).cast("int")
 
-    def walk(node: tuple) -> Column:
-        if len(node) == 1:
-            return F.lit(float(node[0]))
-        return F.when(columns[node[0]] <= F.lit(float(node[1])), walk(node[2])).otherwise(walk(node[3]))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.lit(0), down)
 
-    total = walk(forest[0])
-    for tree in forest[1:]:
-        total = total + walk(tree)
-    return total / F.lit(float(len(forest)))
+    trees = F.sequence(F.lit(0), F.lit(len(heaps) - 1))
+    return F.aggregate(trees, F.lit(0.0), lambda total, t: total + F.element_at(value, t * size + leaf(t) + 1)) / F.lit(float(len(heaps)))
 
 
 def _around(text: Column) -> tuple[Column, Column]:
@@ -214,8 +229,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start = F.sum(F.col("before") + F.length("candidate")).over(upto) - F.length("candidate")
     each = each.withColumn("start", start.cast("long"))
     seen = features(F.col("candidate"), F.col("left"), F.col("right"), F.col("path"))
-    scored = each.select("doc_id", "finding", "start", "candidate", *(c.alias(f"f_{k}") for k, c in seen.items()))
-    scored = scored.withColumn("score", score(forest, {k: F.col(f"f_{k}") for k in FEATURES}))
+    scored = each.select("doc_id", "finding", "start", "candidate", F.array(*seen.values()).alias("seen"))
+    scored = scored.withColumn("score", score(forest, F.col("seen")))
     return scored.select("doc_id", "finding", "start", F.length("candidate").cast("long").alias("length"), "candidate", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
 
 
@@ -230,10 +245,10 @@ def redact(docs: DataFrame, text_col: str = "text", path_col: str = "source", fi
 
     def seen(c: Column, i: Column) -> Column:
         left, right = _neighbours(F.col("_fs_pieces"), i)
-        return F.struct(c.alias("c"), *(x.alias(k) for k, x in features(c, left, right, path).items()))
+        return F.struct(c.alias("c"), F.array(*features(c, left, right, path).values()).alias("x"))
 
     def piece(x: Column, i: Column) -> Column:
-        hidden = score(forest, {k: x[k] for k in FEATURES}) >= THRESHOLD
+        hidden = score(forest, x["x"]) >= THRESHOLD
         return F.concat(F.element_at("_fs_pieces", i + 1), F.when(hidden, F.lit(PLACEHOLDER)).otherwise(x["c"]))
 
     work = work.withColumn("_fs_seen", F.transform("_fs_candidates", seen))
