@@ -66,9 +66,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         salt = F.when(F.col("_fs_chunks").isNotNull(), F.pmod(F.xxhash64("_fs_id"), F.col("_fs_chunks"))).otherwise(0)
     else:
         keyed = keyed.withColumns({"_fs_best": F.lit(None).cast("long"), "_fs_count": F.lit(None).cast("long")})
-        salt = F.lit(0)
-    place = ["_fs_prefix", "_fs_digest", "_fs_salt"]
-    dealt = keyed.withColumn("_fs_salt", salt.cast("int")).repartitionByRange(partitions, *place)
+        salt = None
+    place = ["_fs_prefix", "_fs_digest"]
+    if salt is not None:  # a constant would be folded out of the window's keys and not out of the ranges
+        keyed, place = keyed.withColumn("_fs_salt", salt.cast("int")), [*place, "_fs_salt"]
+    dealt = keyed.repartitionByRange(partitions, *place)
     dealt = dealt.withColumn("_fs_norm", normalised(F.col("_fs_text")))
     same = W.partitionBy(*place, "_fs_norm").orderBy(F.col("_fs_id").asc_nulls_last() if keep == "smallest" else F.col("_fs_id").desc_nulls_last())
     whole = same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
