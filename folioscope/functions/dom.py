@@ -223,14 +223,24 @@ def facts(html: str | None, space_key: str | None) -> dict:
     }
 
 
-@F.pandas_udf(FACTS)
-def _facts_udf(html: pd.Series, space_key: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([facts(h, k) for h, k in zip(html, space_key, strict=True)])
+def _facts_of(html: pd.Series, space_key: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([facts(h, k) for h, k in zip(html, space_key, strict=True)], columns=[x.split()[0] for x in _top_fields()])
+
+
+def _top_fields() -> list[str]:
+    out, depth = [""], 0
+    for c in FACTS:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
 
 
 def page_facts(html: Column, space_key: Column) -> Column:
     """The struct of all facts; use it once per page and take its fields."""
-    return _facts_udf(html, space_key)
+    return F.pandas_udf(_facts_of, FACTS)(html, space_key)
 
 
 def strip_includes(html: Column) -> Column:

@@ -58,13 +58,12 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * _token_ratios(a, b, partial_ratio))
 
 
-@F.pandas_udf("double")
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else weighted_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def similarity(a: Column, b: Column) -> Column:
-    return _similarity(a, b)
+    return F.pandas_udf(_similarity, "double")(a, b)
 
 
 def nearest_labels(labels: DataFrame, name: str, least: float = 75, top: int = 3) -> DataFrame:
@@ -101,6 +100,7 @@ def redundant_labels(counts: DataFrame, least: float = 75) -> DataFrame:
         d = np.array([[100 - weighted_ratio(a, b) for b in names] for a in names]).reshape(len(names), len(names))
         pdf["cluster"] = complete_linkage(d, 100 - least)
         groups = [g for _, g in pdf.groupby("cluster", sort=False) if len(g) > 1]
-        return pd.DataFrame({"labels": [g["label"].tolist() for g in groups], "total": [int(g["pages"].sum()) for g in groups]}, columns=["labels", "total"])
+        out = pd.DataFrame({"labels": pd.Series([g["label"].tolist() for g in groups], dtype=object)})
+        return out.assign(total=pd.Series([int(g["pages"].sum()) for g in groups], dtype="int64"))
 
     return counts.select("label", "pages", F.lit(0).alias("all")).groupBy("all").applyInPandas(lambda pdf: cluster(pdf), "labels array<string>, total long")

@@ -125,9 +125,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def shingles(text: Column, k: int = 5) -> Column:
     """The set of ``k``-word runs; fewer words give none."""
-    w = F.filter(F.split(flat_text(F.coalesce(text, F.lit(""))), " "), lambda x: x != "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    words = F.filter(F.split(flat_text(F.coalesce(text, F.lit(""))), " "), lambda x: x != "")
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) >= k, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(words), runs), 1)  # binds the words, so that they are made once
 
 
 def squash_runs(items: Column, most: int = 3) -> Column:

@@ -36,4 +36,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if new == state:
             break
         state = new
-    return now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    below = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    return below.unionByName(below.select(F.col("component").alias("node"), "component").distinct())

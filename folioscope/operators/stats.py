@@ -73,7 +73,7 @@ def field_profile(values: DataFrame) -> DataFrame:
     heavy = F.coalesce(F.try_divide("max", "p95"), F.lit(0.0)) > 3
     shape = F.when(F.col("n_distinct") == 1, "constant").when(F.col("binary"), "binary").when(F.col("zero_share") > 0.8, "mostly_zero").when((F.col("n_distinct") <= 8) & (F.col("max") <= 10), "small_int")
     shape = shape.when(heavy, "heavy_tail").when((F.col("min") >= 0) & (F.col("max") <= 1), "ratio_0_1").otherwise("other")
-    return s.drop("binary").withColumn("shape", shape)
+    return s.withColumn("shape", shape).drop("binary")
 
 
 def threshold_sweep(predictions: DataFrame) -> DataFrame:

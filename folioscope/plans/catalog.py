@@ -334,7 +334,7 @@ def q_depth(spark, d):
     return G.depths(A.corpus(spark, d, "id"), A.tree(spark, d))
 
 
-@query(f"WITH RECURSIVE {_CLOSURE}, {A.CORPUS_SQL} SELECT x AS descendant, title, CAST(n AS INT) AS distance FROM up JOIN corpus ON id = x WHERE a = '1' AND n <= 3")
+@query(f"WITH RECURSIVE {_CLOSURE}, {A.CORPUS_SQL} SELECT x AS descendant, title, CAST(up.n AS INT) AS distance FROM up JOIN corpus ON id = x WHERE a = '1' AND up.n <= 3")
 def q_descendants(spark, d):
     return G.descendants(A.corpus(spark, d, "id", "title"), A.tree(spark, d), "1", 3)
 
