@@ -16,6 +16,7 @@ import bisect
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ FAN_IN = 16
 #: How many of its emptiest bins a shard hands on.
 HANDED_ON = 8
 SEARCH_STEPS = 4000
-MAX_UNITS = 250_000
+MAX_UNITS = 500_000
 
 
 class WordIds:
@@ -45,17 +46,18 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, units: set[bytes]) -> None:
-        new = [u for u in units if u not in self.known]
+        new = list(units.difference(self.known))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for unit, e in zip(part, self.tokenizer.encode_batch([u.decode() for u in part], add_special_tokens=False), strict=True):
+            for unit, e in zip(part, self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False), strict=True):
                 self.known[unit] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         if len(self.known) > MAX_UNITS:
             self.known.clear()
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
+        # the tokenizer lower-cases anyway, but finds its special strings before that
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        self.learn(set(chain.from_iterable(split)))
         get = self.known.__getitem__
         return [b"".join([*map(get, words), end]) for words in split]
 
