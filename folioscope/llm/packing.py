@@ -13,6 +13,7 @@ are packed each; a null id stays null; an empty table gives an empty result; oth
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
+from .bpe import byte_letters
 from .storage import materialise, shuffle_partitions
 
 SHARD_PIECES = 4096
@@ -32,6 +34,8 @@ FAN_IN = 16
 HANDED_ON = 8
 SEARCH_STEPS = 4000
 MAX_UNITS = 500_000
+#: Letters A to z and of Latin-1: composed already, and lower-cased one by one; then a full stop or comma.
+_LATIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 class WordIds:
@@ -44,11 +48,28 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.letters = dict(enumerate(byte_letters()))
+        self.stops = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ("", ".", ",")}
+
+    def _word(self, word: str) -> bytes:
+        """Ids of Latin letters alone: one pre-token, so the model's merges are all that is left to do."""
+        letters = word.lower().encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
 
     def learn(self, units: set[bytes]) -> None:
-        new = list(units.difference(self.known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        rest = []
+        for unit in units.difference(self.known):
+            found = _LATIN.fullmatch(unit.decode())
+            if found:
+                core = found[1].encode()
+                ids = self.known.get(core)
+                if ids is None:
+                    ids = self.known[core] = self._word(found[1])
+                self.known[unit] = ids + self.stops[found[2]]
+            else:
+                rest.append(unit)
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
             for unit, e in zip(part, self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False), strict=True):
                 self.known[unit] = np.array(e.ids, "<u4").tobytes()
 
