@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import BASE_COLUMNS, PAGES
+from ..schema import BASE_COLUMNS, PAGE_COLUMNS
 
 
 def create_table(spark: SparkSession, name: str, schema, hard: bool = False) -> None:
@@ -28,7 +28,7 @@ def column_names(spark: SparkSession, name: str) -> list[str]:
 
 def lookup(pages: DataFrame, page_id: str, *fields: str) -> DataFrame:
     """The fields of a page; only known columns can be asked for."""
-    unknown = [f for f in fields if f not in PAGES.names and f not in pages.columns]
+    unknown = [f for f in fields if f not in PAGE_COLUMNS and f not in pages.columns]
     if unknown:
         raise ValueError(f"unknown fields: {unknown}")
     return pages.where(F.col("id") == page_id).select(*fields)

@@ -48,9 +48,9 @@ def test_excerpts_round_trip(spark):
 
 def test_schema_contract():
     from folioscope.functions.signals import SIGNAL_KEYS
-    from folioscope.schema import PAGES
+    from folioscope.schema import PAGE_COLUMNS
 
-    assert len(PAGES.names) == len(set(PAGES.names)) == 38 and len(SIGNAL_KEYS) == len(set(SIGNAL_KEYS)) == 70
+    assert len(PAGE_COLUMNS) == len(set(PAGE_COLUMNS)) == 38 and len(SIGNAL_KEYS) == len(set(SIGNAL_KEYS)) == 70
 
 
 def test_depths_and_closure_end_on_cycles(spark):
