@@ -42,9 +42,8 @@ LINKS = {
     "src": "CAST(l_orderkey % 1000 AS STRING)",
     "space_id": "'S' || CAST(l_orderkey % 4 AS STRING)",
     "key": "'S' || CAST(l_partkey % 4 AS STRING)",
-    "target": "CAST((l_partkey * 7) % 977 AS STRING)",
+    "target": "CAST(l_partkey * 3 AS STRING)",
 }
-LINKS_WHERE = "l_linenumber = 7 AND l_quantity < 5"
 
 
 def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -54,7 +53,7 @@ def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where(LINKS_WHERE).selectExpr(*(f"{e} AS {c}" for c, e in LINKS.items()))
+    return table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {c}" for c, e in LINKS.items()))
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +65,6 @@ def spaces(spark: SparkSession) -> DataFrame:
 
 
 CORPUS_SQL = "corpus AS (SELECT " + ", ".join(f"{e if isinstance(e, str) else e[1]} AS {c}" for c, e in CORPUS.items()) + " FROM pages)"
-LINKS_SQL = "links AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in LINKS.items()) + f" FROM lineitem WHERE {LINKS_WHERE})"
+LINKS_SQL = "links AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in LINKS.items()) + " FROM lineitem)"
 TREE_SQL = "tree AS (SELECT CAST((page_id - 1) // 3 AS STRING) AS parent, CAST(page_id AS STRING) AS child FROM pages WHERE page_id > 0)"
 SPACES_SQL = "spaces AS (SELECT 'S' || i AS short_id, 'Space ' || i AS alias FROM range(3) t(i))"

@@ -71,9 +71,9 @@ def q_content_filter_nulls(spark, d):
     return overview.content_pages(A.corpus(spark, d, "id", "page_type"))
 
 
-@query(f"WITH {A.CORPUS_SQL} SELECT id FROM corpus WHERE word_count = 0 AND length(html) < 50 UNION ALL SELECT 'documents:' || CAST(doc_id AS STRING) FROM documents WHERE length(text) < 50 AND doc_id % 3 = 0")
+@query(f"WITH {A.CORPUS_SQL} SELECT id FROM corpus WHERE word_count = 0 AND length(html) < 50 UNION ALL SELECT 'documents:' || CAST(doc_id AS STRING) FROM documents WHERE length(text) < 50")
 def q_blank(spark, d):
-    short = A.table(spark, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("documents:"), F.col("doc_id").cast("string")).alias("id"), F.lit(0).alias("word_count"), F.col("text").alias("html"))
+    short = A.table(spark, d, "documents").select(F.concat(F.lit("documents:"), F.col("doc_id").cast("string")).alias("id"), F.lit(0).alias("word_count"), F.col("text").alias("html"))
     return stats.blank_pages(A.corpus(spark, d, "id", "word_count", "html").unionByName(short)).select("id")
 
 
@@ -185,14 +185,15 @@ def q_link_resolution(spark, d):
     return L.resolve_links(texts, L.title_index(pages, space)).select("id", "plain_text", F.col("links_list")[0].alias("link"))
 
 
-_OLD = "SELECT o_orderkey AS id, CAST(o_orderkey % 4 AS INT) AS version, o_orderstatus AS status FROM orders WHERE o_orderkey % 3 <> 0"
-_NEW = "SELECT o_orderkey AS id, CAST(o_orderkey % 5 AS INT) AS version, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) END AS status FROM orders WHERE o_orderkey % 7 <> 0"
+_OLD = "SELECT o_orderkey AS id, CAST(o_orderkey % 4 AS INT) AS version, o_orderstatus AS status FROM orders"
+_NEW = "SELECT l_orderkey + 100 AS id, CAST(count(*) AS INT) AS version, CASE WHEN max(l_linenumber) > 3 THEN max(l_linestatus) END AS status FROM lineitem GROUP BY l_orderkey"
 
 
 def _versions(spark, d):
-    o = A.table(spark, d, "orders")
-    old = o.where("o_orderkey % 3 <> 0").selectExpr("o_orderkey AS id", "CAST(o_orderkey % 4 AS INT) AS version", "o_orderstatus AS status")
-    return old, o.where("o_orderkey % 7 <> 0").selectExpr("o_orderkey AS id", "CAST(o_orderkey % 5 AS INT) AS version", "CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) END AS status")
+    old = A.table(spark, d, "orders").selectExpr("o_orderkey AS id", "CAST(o_orderkey % 4 AS INT) AS version", "o_orderstatus AS status")
+    status = F.when(F.max("l_linenumber") > 3, F.max("l_linestatus"))
+    new = A.table(spark, d, "lineitem").groupBy((F.col("l_orderkey") + 100).alias("id")).agg(F.count("*").cast("int").alias("version"), status.alias("status"))
+    return old, new
 
 
 @query(f"SELECT n.id FROM ({_NEW}) n LEFT JOIN ({_OLD}) o ON n.id = o.id WHERE n.version > coalesce(o.version, 0)")
@@ -217,9 +218,9 @@ def q_replace_rows(spark, d):
     return changes.replace_rows(*_versions(spark, d))
 
 
-@query("SELECT id, problem FROM (SELECT l_suppkey + 90 AS id, CASE WHEN count(*) > 1 THEN 'duplicate' END AS problem FROM lineitem WHERE l_orderkey < 200 GROUP BY 1) WHERE problem IS NOT NULL UNION ALL SELECT DISTINCT l_suppkey + 90, 'missing' FROM lineitem WHERE l_orderkey < 200 AND l_suppkey + 90 NOT IN (SELECT s_suppkey FROM supplier)")
+@query("SELECT id, problem FROM (SELECT l_suppkey + 90 AS id, CASE WHEN count(*) > 1 THEN 'duplicate' END AS problem FROM lineitem GROUP BY 1) WHERE problem IS NOT NULL UNION ALL SELECT DISTINCT l_suppkey + 90, 'missing' FROM lineitem WHERE l_suppkey + 90 NOT IN (SELECT s_suppkey FROM supplier)")
 def q_check_ids(spark, d):
-    wanted = A.table(spark, d, "lineitem").where("l_orderkey < 200").selectExpr("l_suppkey + 90 AS id")
+    wanted = A.table(spark, d, "lineitem").selectExpr("l_suppkey + 90 AS id")
     return stats.check_ids(wanted, A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
@@ -283,7 +284,7 @@ def q_field_profile(spark, d):
     return out.select("field", F.round("zero_share", 6).alias("zero_share"), "n_distinct", "min", *(F.round(c, 4).alias(c) for c in ("p25", "p50", "p75", "p95")), "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "shape")
 
 
-@query("SELECT round(i * 0.05, 2) AS threshold, count(*) FILTER (WHERE floor(l_discount * 10 * 1000000) >= round(round(i * 0.05, 2) * 1000000)) AS n_labelled, count(*) FILTER (WHERE floor(l_discount * 10 * 1000000) < round(round(i * 0.05, 2) * 1000000)) AS n_unlabelled, round(100.0 * count(*) FILTER (WHERE floor(l_discount * 10 * 1000000) >= round(round(i * 0.05, 2) * 1000000)) / count(*), 4) AS pct_labelled FROM lineitem, range(2, 19) t(i) GROUP BY i")
+@query("SELECT CAST(round(i * 0.05, 2) AS DOUBLE) AS threshold, count(*) FILTER (WHERE floor(l_discount * 10 * 1000000) >= round(round(i * 0.05, 2) * 1000000)) AS n_labelled, count(*) FILTER (WHERE floor(l_discount * 10 * 1000000) < round(round(i * 0.05, 2) * 1000000)) AS n_unlabelled, round(100.0 * count(*) FILTER (WHERE floor(l_discount * 10 * 1000000) >= round(round(i * 0.05, 2) * 1000000)) / count(*), 4) AS pct_labelled FROM lineitem, range(2, 19) t(i) GROUP BY i")
 def q_threshold_sweep(spark, d):
     return stats.threshold_sweep(A.table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("confidence")))
 
@@ -365,11 +366,10 @@ def q_scores_gems(spark, d):
     return G.scores(rows).select("p_partkey", F.round("structural", 6).alias("structural"), F.round("importance", 6).alias("importance"), "gem")
 
 
-@query("SELECT CAST(coalesce(a.k, b.k) AS STRING) AS space_id, CASE WHEN b.k IS NULL THEN 'only_old' WHEN a.k IS NULL THEN 'only_new' ELSE 'matched' END AS status, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'total_pages' END AS metric, CASE WHEN b.k IS NOT NULL THEN a.n END AS old, CASE WHEN a.k IS NOT NULL THEN b.n END AS new, b.n - a.n AS delta FROM (SELECT l_suppkey % 20 AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_suppkey % 20 < 15 GROUP BY 1) a FULL JOIN (SELECT l_suppkey % 20 AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_suppkey % 20 > 4 AND l_linenumber < 3 GROUP BY 1) b ON a.k = b.k")
+@query("SELECT CAST(coalesce(a.k, b.k) AS STRING) AS space_id, CASE WHEN b.k IS NULL THEN 'only_old' WHEN a.k IS NULL THEN 'only_new' ELSE 'matched' END AS status, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'total_pages' END AS metric, CASE WHEN b.k IS NOT NULL THEN a.n END AS old, CASE WHEN a.k IS NOT NULL THEN b.n END AS new, b.n - a.n AS delta FROM (SELECT l_suppkey % 20 AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1) a FULL JOIN (SELECT l_partkey % 20 + 5 AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1) b ON a.k = b.k")
 def q_snapshot_diff(spark, d):
-    rows = A.table(spark, d, "lineitem").withColumn("k", F.col("l_suppkey") % 20)
-    side = lambda x: x.groupBy(F.col("k").cast("string").alias("space_id")).agg(F.count("*").alias("total_pages"))
-    return overview.compare_overviews(side(rows.where("k < 15")), side(rows.where("k > 4 and l_linenumber < 3")), ("total_pages",))
+    side = lambda k: A.table(spark, d, "lineitem").groupBy(F.expr(k).cast("string").alias("space_id")).agg(F.count("*").alias("total_pages"))
+    return overview.compare_overviews(side("l_suppkey % 20"), side("l_partkey % 20 + 5"), ("total_pages",))
 
 
 _NAMES = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Müller, Jörg ' || c_mktsegment WHEN 1 THEN 'Ana ' || c_name WHEN 2 THEN c_mktsegment ELSE NULL END AS raw FROM customer"
@@ -411,17 +411,17 @@ def q_label_merge(spark, d):
     return changes.apply_label_actions(pages, actions).select("id", F.array_join("labels", ",").alias("labels"))
 
 
-@query(f"WITH {A.TREE_SQL} SELECT child, CASE WHEN CAST(child AS BIGINT) % 10 = 3 THEN '2' ELSE parent END AS parent FROM tree")
+@query(f"WITH {A.TREE_SQL} SELECT child, CASE WHEN parent = '3' THEN '2' ELSE parent END AS parent FROM tree")
 def q_move_pages(spark, d):
     tree = A.tree(spark, d)
-    plan = changes.move_pages(tree, tree.where("cast(child as long) % 10 = 3").select(F.col("child").alias("id")), "2")
+    plan = changes.move_pages(tree, tree.where("parent = '3'").select(F.col("child").alias("id")), "2")
     return changes.apply_moves(tree, plan).select("child", "parent")
 
 
-@query("SELECT CAST(page_id AS STRING) AS id, CAST(CASE WHEN page_id % 4 = 1 THEN 1 + page_id % 5 ELSE 7 END AS INT) AS processed_version FROM pages")
+@query(f"WITH {A.CORPUS_SQL} SELECT id, CASE WHEN link_count > 5 THEN version ELSE 7 END AS processed_version FROM corpus")
 def q_mark_processed(spark, d):
-    pages = A.corpus(spark, d, "id", "n", "version").withColumn("processed_version", F.lit(7))
-    return changes.mark_processed(pages, pages.where("n % 4 = 1").select("id")).select("id", "processed_version")
+    pages = A.corpus(spark, d, "id", "link_count", "version").withColumn("processed_version", F.lit(7))
+    return changes.mark_processed(pages, pages.where("link_count > 5").select("id")).select("id", "processed_version")
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -513,7 +513,7 @@ def q_type_assign(spark, d):
     from ..operators.types import assign_types, fit_types, training_rows
 
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").cast("string").alias("type"))
-    model = fit_types(training_rows(e.where("id % 2 = 0").select("id", "type"), e.select("id", "vec")), trees=20)
+    model = fit_types(training_rows(e.select("id", "type"), e.select("id", "vec")), trees=20)
     return assign_types(e.select("id", "vec"), model)
 
 
