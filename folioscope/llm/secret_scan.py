@@ -225,13 +225,13 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.struct(i.alias("finding"), c.alias("candidate"), left.alias("left"), right.alias("right"), F.length(F.element_at("pieces", i + 1)).alias("before"))
 
     each = rows.select("doc_id", "path", "row", F.inline(F.transform("candidates", one)))
+    seen = features(F.col("candidate"), F.col("left"), F.col("right"), F.col("path"))
+    scored = each.withColumn("seen", F.array(*seen.values())).withColumn("score", score(forest, F.col("seen")))
+    # only places are left to add up, so neighbourhoods and features are not shuffled
+    scored = scored.select("doc_id", "row", "finding", "before", "candidate", "score")
     upto = W.partitionBy("row").orderBy("finding")
     start = F.sum(F.col("before") + F.length("candidate")).over(upto) - F.length("candidate")
-    each = each.withColumn("start", start.cast("long"))
-    seen = features(F.col("candidate"), F.col("left"), F.col("right"), F.col("path"))
-    scored = each.select("doc_id", "finding", "start", "candidate", F.array(*seen.values()).alias("seen"))
-    scored = scored.withColumn("score", score(forest, F.col("seen")))
-    return scored.select("doc_id", "finding", "start", F.length("candidate").cast("long").alias("length"), "candidate", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
+    return scored.select("doc_id", "finding", start.cast("long").alias("start"), F.length("candidate").cast("long").alias("length"), "candidate", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", path_col: str = "source", findings: list[tuple] | None = None) -> DataFrame:
