@@ -122,7 +122,7 @@ def test_secret_scan(spark, docs, empty):
     found = S.secret_scan(docs).collect()
     text = dict(DOCS)
     assert all(text[r.doc_id][r.start : r.start + r.length] == r.candidate for r in found)
-    assert [r.candidate for r in found if r.is_secret] == ["0123456789abcdef0123456789abcdef01234568"] or any("01234568" in r.candidate for r in found)
+    assert "0123456789abcdef0123456789abcdef01234568" in [r.candidate for r in found]
     kept = {r.doc_id: r.text for r in S.redact(docs).select("doc_id", "text").collect()}
     secret = {r.doc_id for r in found if r.is_secret}
     assert all((kept[i] == t) == (i not in secret) for i, t in DOCS) and S.secret_scan(empty).count() == 0
