@@ -289,13 +289,18 @@ def q_threshold_sweep(spark, d):
     return stats.threshold_sweep(A.table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("confidence")))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))), 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+@query("""WITH e AS (SELECT min(vec_id) AS vec_id, embedding FROM embeddings GROUP BY embedding) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))), 6) AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id
     WHERE list_distance(a.embedding, b.embedding) <= 1.11 AND sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))) <= 1.1""")
 def q_radius_pairs(spark, d):
     vectors = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return duplicates.radius_pairs(vectors, 1.1).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
+@query("SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY embedding) AS class_id FROM embeddings")
+def q_vector_classes(spark, d):
+    return duplicates.vector_classes(A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
+
+
 def _texts(spark, d):
     return A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 

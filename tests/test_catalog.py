@@ -8,7 +8,7 @@ import pytest
 from folioscope.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-CHEAP = ["q_overview_space", "q_type_breakdown", "q_author_squash", "q_popular_links", "q_orphans", "q_cross_space", "q_merge_upsert", "q_date_in_title", "q_eval_notes", "q_snapshot_diff", "q_norm_author", "q_scores_gems", "q_label_merge"]
+CHEAP = ["q_overview_space", "q_type_breakdown", "q_author_squash", "q_popular_links", "q_orphans", "q_cross_space", "q_merge_upsert", "q_date_in_title", "q_eval_notes", "q_snapshot_diff", "q_norm_author", "q_scores_gems", "q_label_merge", "q_vector_classes", "q_radius_pairs"]
 
 
 def _rows(rows):
@@ -60,3 +60,36 @@ def test_depths_and_closure_end_on_cycles(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcxy"], "id string")
     assert {r.id: r.depth for r in depths(nodes, edges).collect()} == {"a": 0, "b": 1, "c": 2, "x": 0, "y": 0}
     assert {(r.ancestor, r.descendant, r.distance) for r in closure(edges).collect()} == {("a", "b", 1), ("b", "c", 1), ("a", "c", 2), ("x", "y", 1), ("y", "x", 1)}
+
+
+def test_scan_duplicates_equals_brute_force(spark):
+    import math
+    import random
+
+    from folioscope.operators.duplicates import scan_duplicates
+    from folioscope.schema import JACCARD, RADIUS, SHINGLE_WORDS
+
+    r = random.Random(1)
+    base = [" ".join(r.choice("abcdefgh") + str(r.randint(0, 9)) for _ in range(60)) for _ in range(5)]
+    rows = []
+    for i in range(80):
+        words = base[i % 5].split()
+        if i % 3 == 0:
+            words[r.randrange(len(words))] = "zz"
+        rows.append((str(i), " ".join(words), 60 if i % 11 else 5, [round(r.choice([0.0, 0.4, 0.9, 2.0]) + (0.01 * i if i % 4 == 0 else 0), 3) for _ in range(2)]))
+    pages = spark.createDataFrame([x[:3] for x in rows], "id string, plain_text string, word_count int")
+    vectors = spark.createDataFrame([(x[0], x[3]) for x in rows], "id string, vec array<double>")
+
+    grams = {x[0]: {tuple(x[1].split()[k : k + SHINGLE_WORDS]) for k in range(len(x[1].split()) - SHINGLE_WORDS + 1)} for x in rows}
+    full = [x for x in rows if x[2] >= 25]
+    group = {int(x[0]): int(x[0]) for x in full}
+    linked = set()
+    for _ in range(8):
+        for x in full:
+            for y in full:
+                if x[0] < y[0] and math.dist(x[3], y[3]) <= RADIUS and len(grams[x[0]] & grams[y[0]]) >= JACCARD * len(grams[x[0]] | grams[y[0]]):
+                    a, b = int(x[0]), int(y[0])
+                    group[a] = group[b] = min(group[a], group[b])
+                    linked |= {a, b}
+    got = {w.id: w.group_id for w in scan_duplicates(pages, vectors).collect()}
+    assert got == {i: g for i, g in group.items() if i in linked} and len(set(got.values())) > 5
