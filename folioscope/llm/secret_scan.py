@@ -19,8 +19,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A run of 16 or more characters of the alphabets of keys, with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}(?![A-Za-z0-9+/_\-=])"
+_RUN = r"[A-Za-z0-9+/_\-]"
+_PREFIX = "AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|AIza|glpat-|eyJ"
+#: Runs of such a length are candidates anywhere, shorter ones after an assignment or with a known prefix.
+LONG, SHORT, BLANKS = 16, 4, 16
+
+
+def _assigned(skip: int = 0, blanks: int = BLANKS) -> str:
+    """Look-behind for ``:``, ``=`` or ``=>``, or the word ``is``, and blanks, ``skip`` characters back.
+
+    Of fixed widths one in another, so that it is the same for Java and Python and ends at the first
+    character that does not belong.
+    """
+    dots = "." * skip
+    here = rf"(?<=[=:]{dots})|(?<==>{dots})"
+    if skip and blanks < BLANKS:
+        here += rf"|(?<=\bis{dots})"
+    return here + (rf"|(?<=[ \t]{dots})(?:{_assigned(skip + 1, blanks - 1)})" if blanks else "")
+
+
+#: A run of the alphabets of keys with a letter or digit: a long one, one with a known prefix, or one that is assigned.
+#: Whether a keyword is near, and whether there are digits, is for the forest to weigh.
+CANDIDATE = (
+    rf"(?<!{_RUN})(?=[+/_\-]*[A-Za-z0-9])(?:(?={_RUN}{{{LONG}}})|(?={_PREFIX})|{_assigned()}|(?<=[\"'`])(?:{_assigned(1)}))"
+    rf"{_RUN}{{{SHORT},}}={{0,2}}(?![A-Za-z0-9+/_\-=])"
+)
 NEIGHBOURHOOD = 60
 THRESHOLD = 0.5
 PLACEHOLDER = "[SECRET]"
@@ -40,7 +63,7 @@ DICTIONARY = (
 KEYWORDS = r"(?i)(secret|token|passw(or)?d|pwd|api[_\- ]?key|auth|credential|private[_\- ]?key|access[_\- ]?key|bearer|client[_\- ]?id)"
 HARMLESS = r"(?i)(example|sample|dummy|placeholder|checksum|sha-?1|sha-?256|md5|commit|revision|hash|uuid|guid|digest|integrity|version|build|phone|isbn|order|invoice|card|serial|https?:|www\.|href)"
 TEST_PATH = r"(?i)(test|example|fixture|spec|mock|sample|docs?/)"
-KNOWN_PREFIX = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|AIza|glpat-|eyJ)"
+KNOWN_PREFIX = f"^({_PREFIX})"
 
 FEATURES = ("length", "transitions", "digits", "upper", "hex", "distinct", "dictionary", "uuid", "repeats", "keyword", "assigned", "quoted", "harmless", "test_path", "prefix", "numeric", "slug")
 
@@ -80,15 +103,13 @@ def labelled_findings(rows: int = TRAINING_ROWS, seed: int = SEED) -> list[tuple
     pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
     b64, alnum, hexes = string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, "0123456789abcdef"
     prose = ["the", "of", "and", "were", "later", "into", "found", "river", "die", "der", "que", "les", "con"]
+    pets = ["hunter", "dragon", "monkey", "summer", "flower", "silver", "orange", "garden", "bridge", "mountain", "stone", "morning", "letter", "doctor", "island", "kitchen"]
     words = lambda n: " ".join(r.choice(prose) for _ in range(n))
     paths = ["src/app.py", "config/prod.env", "src3", "src12", "web/main.js", "forum", "notes.txt", None]
     tests = ["tests/test_api.py", "examples/demo.py", "spec/fixtures.yml", "docs/guide.md"]
 
-    def digit(s: str) -> str:
-        return s if any(c.isdigit() for c in s) else s[:-1] + r.choice("0123456789")
-
     def secret() -> tuple[str, str, str]:
-        kind = r.randrange(6)
+        kind = r.randrange(9)
         if kind == 0:
             value = pick(hexes, r.choice([32, 40, 64]))
         elif kind == 1:
@@ -99,16 +120,24 @@ def labelled_findings(rows: int = TRAINING_ROWS, seed: int = SEED) -> list[tuple
             value = r.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + string.digits, 16)
         elif kind == 4:
             value = r.choice(["ghp_", "glpat-", "sk-", "sk_live_", "AIza"]) + pick(alnum, r.randint(20, 36))
-        else:
+        elif kind == 5:
             value = pick(alnum + "_-", r.randint(16, 32))
+        elif kind == 6:
+            value = r.choice([r.choice(DICTIONARY), r.choice(pets)]) + pick(string.digits, r.randint(1, 4)) + r.choice(["", r.choice(DICTIONARY), pick(string.ascii_letters, 2)])
+        elif kind == 7:
+            value = pick(alnum, r.randint(8, 15))
+        else:
+            value = pick(string.ascii_letters, r.randint(10, 40))
         key = r.choice(["token", "secret", "api_key", "password", "auth_token", "access_key", "API-KEY", "client_secret", "bearer"])
         lead, close = r.choice([(f'{key} = "', '"'), (f"{key}: ", ""), (f"{key}='", "'"), (f'"{key}": "', '",'), (f"{key} ", ""), (f"{key} is ", "")])
+        if kind > 5 and not lead.rstrip("\"' ").endswith((":", "=", "is")):
+            lead = f"{key}="  # a short one is no candidate without an assignment
         if kind in (3, 4) and r.random() < 0.4:
             lead, close = "", ""
-        return digit(value), words(r.randint(0, 6)) + " " + lead, close + " " + words(r.randint(0, 4))
+        return value, words(r.randint(0, 6)) + " " + lead, close + " " + words(r.randint(0, 4))
 
     def harmless() -> tuple[str, str, str]:
-        kind = r.randrange(10)
+        kind = r.randrange(14)
         lead, close = r.choice([(" ", " "), (" (", ") "), (': "', '"'), (" = ", " "), (" #", ".")])
         if kind == 0:
             value, lead = pick(hexes, r.choice([32, 40, 64])), r.choice([" sha256: ", " checksum ", " commit ", ' integrity="', " md5 = ", " revision "])
@@ -129,10 +158,19 @@ def labelled_findings(rows: int = TRAINING_ROWS, seed: int = SEED) -> list[tuple
             value, lead = pick(alnum, r.randint(16, 32)), r.choice([" https://t.example/", ' href="/', " www.example/"])
         elif kind == 8:
             value = "".join(r.choice(["th", "er", "in", "ou", "tion", "ea", "nd", "le", "ch", "des"]) for _ in range(r.randint(6, 10))) + pick(string.digits, r.randint(1, 2))
+        elif kind == 9:  # long without a digit: compounds, paths and lines
+            value = r.choice(["", "_", "-", "/"]).join(r.choice([str.lower, str.title])(r.choice([*DICTIONARY, *pets])) for _ in range(r.randint(3, 6)))
+            value = r.choice([value, value, "".join(r.choice(["ver", "sicher", "ung", "s", "ge", "sell", "schaft", "tion", "ment"]) for _ in range(r.randint(6, 9))), r.choice("xX_a") * r.randint(16, 40) + "a"])
+        elif kind == 10:  # assigned to what is no keyword
+            value = r.choice([r.choice(DICTIONARY), r.choice(pets).title(), pick(string.digits, r.randint(4, 12)), r.choice(DICTIONARY) + pick(string.digits, r.randint(1, 3)), pick(hexes, r.choice([6, 8, 12]))])
+            lead = r.choice(["name", "color", "Title", "see", "id", "page", "Note", "width", "it", "phone", "lang"]) + r.choice([": ", "=", " = ", '="', ': "', " is "])
+        elif kind in (11, 12):  # a word after a keyword
+            value = r.choice([r.choice(DICTIONARY), r.choice(pets), r.choice(["required", "string", "None", "null", "your-password", "undefined", "changeme", "optional", "forgotten", "getToken", "os/environ"])])
+            lead = r.choice(["token", "secret", "api_key", "password", "auth_token", "access_key", "Password"]) + r.choice([": ", "=", " = ", '="', ': "', " is "])
         else:
             value, lead = pick(alnum, r.randint(16, 40)), r.choice([' token = "', " api_key: "])
-            return digit(value), words(3) + lead, close, True
-        return digit(value), words(r.randint(0, 6)) + lead, close + words(r.randint(0, 4))
+            return value, words(3) + lead, close, True
+        return value, words(r.randint(0, 6)) + lead, close + words(r.randint(0, 4))
 
     out = []
     for i in range(rows):
@@ -226,7 +264,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     each = rows.select("doc_id", "path", "row", F.inline(F.transform("candidates", one)))
     seen = features(F.col("candidate"), F.col("left"), F.col("right"), F.col("path"))
-    scored = each.withColumn("seen", F.array(*seen.values())).withColumn("score", score(forest, F.col("seen")))
+    # bound by a lambda: as a column, features would be put into the score's loop and evaluated at each of its steps
+    scored = each.withColumn("score", F.element_at(F.transform(F.array(F.array(*seen.values())), lambda x: score(forest, x)), 1))
     # only places are left to add up, so neighbourhoods and features are not shuffled
     scored = scored.select("doc_id", "row", "finding", "before", "candidate", "score")
     upto = W.partitionBy("row").orderBy("finding")

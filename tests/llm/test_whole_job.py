@@ -27,3 +27,26 @@ def test_packing_is_one_pool(spark, partitions):
         assert x.offset == ends.get(x.sequence_id, 0)
         ends[x.sequence_id] = x.offset + x.length
     assert alone == len(ends) and max(ends.values()) <= 4096 and len(ends) <= len(best_fit([x[3] for x in rows], 4096))
+
+
+def test_secrets_without_digits_and_short_ones(spark):
+    """Keys without a digit and short passwords are candidates, score as secrets and are redacted; ordinary words are not."""
+    from folioscope.llm import secret_scan as S
+
+    secret = {
+        1: ("config has token = \"", "ghp_QwErTyUiOpAsDfGhJkLzXcVbNmQwErTyUiOp", "\" in it"), 2: ("then api_key: ", "QwErTyUiOpAsDfGhJkLz", " was set"),
+        3: ("where password=\"", "hunter2secret", "\" is used"), 4: ("where password: ", "Tz7kQ4pm", " is used"), 5: ("where \"client_secret\":   \"", "mVqRtLpXsWzKbNdF", "\", is"), 6: ("the password is ", "dragon1987", " still"),
+    }
+    plain = {7: "the password is required here", 8: "see token: string and color: purple", 9: "Donaudampfschifffahrtsgesellschaft was there", 10: "-" * 40, 11: "a page at docs/reference/configuration/overview was found", 12: "Title: Introduction"}
+    docs = spark.createDataFrame([(i, "".join(t), "src/app") for i, t in secret.items()] + [(i, t, "src/app") for i, t in plain.items()], "doc_id long, text string, source string")
+    found = {(x.doc_id, x.candidate): (x.start, x.is_secret) for x in S.secret_scan(docs).collect()}
+    assert {(i, t[1]): (len(t[0]), True) for i, t in secret.items()}.items() <= found.items()
+    assert not any(hit for (i, _), (_, hit) in found.items() if i in plain)
+    assert {x.doc_id: x.text for x in S.redact(docs).collect()} == {i: t[0] + S.PLACEHOLDER + t[2] for i, t in secret.items()} | plain
+
+
+def test_training_rows_force_no_digit():
+    from folioscope.llm.secret_scan import labelled_findings
+
+    secrets = [c for c, *_, label in labelled_findings() if label]
+    assert any(not any(x.isdigit() for x in c) for c in secrets) and any(len(c) < 16 for c in secrets)
