@@ -34,7 +34,6 @@ from .storage import materialise
 
 #: Shards that ranks within a length are counted in: their least number, and the pieces of one in larger tables.
 SHARDS, SHARD_PIECES = 256, 65_536
-SEARCH_STEPS = 4000
 MAX_UNITS = 500_000
 #: Letters A to z and of Latin-1: composed already, and lower-cased one by one; then a full stop or comma.
 _LATIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -150,57 +149,13 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], limit: int, steps: int = SEARCH_STEPS) -> list[list[int]]:
-    """Local search: each step takes the exchange that raises the sum of squared fills the most."""
-    size = np.asarray(lengths, np.int64)
-    where = np.full(len(size), -1)
-    for b, items in enumerate(bins):
-        where[items] = b
-    fill = np.array([size[items].sum() for items in bins], np.int64)
-    fewest = -(-int(size.sum()) // limit)
-    live = (fill > 0).sum()
-    stuck = np.zeros(len(bins), bool)
-    for _ in range(steps):
-        if live <= fewest:
-            break
-        open_bins = np.flatnonzero((fill > 0) & (fill < limit) & ~stuck)
-        if len(open_bins) < 2:
-            break
-        source = open_bins[np.argmin(fill[open_bins])]
-        own = np.flatnonzero(where == source)
-        room = limit - fill
-        best = (0, None)
-        others = np.flatnonzero((fill > 0) & (room > 0))
-        others = others[others != source]
-        items = np.flatnonzero((room[where] > 0) & (where != source))
-        pairs = [((i,), size[i]) for i in own] + [((i, j), size[i] + size[j]) for x, i in enumerate(own[:40]) for j in own[x + 1 : 40]]
-        for group, n in pairs:
-            if len(group) == 1:  # a move
-                fits = others[room[others] >= n]
-                if len(fits):
-                    b = fits[np.argmax(fill[fits])]
-                    best = max(best, (int(2 * n * (fill[b] - fill[source] + n)), (group, None, int(b))), key=lambda x: x[0])
-            d = n - size[items]  # an exchange
-            ok = np.flatnonzero((d > 0) & (d <= room[where[items]]))
-            if len(ok):
-                gain = 2 * d[ok] * (fill[where[items[ok]]] - fill[source] + d[ok])
-                k = int(np.argmax(gain))
-                best = max(best, (int(gain[k]), (group, int(items[ok[k]]), int(where[items[ok[k]]]))), key=lambda x: x[0])
-        if best[1] is None:
-            stuck[source] = True
-            continue
-        group, other, b = best[1]
-        moved = int(size[list(group)].sum()) - (int(size[other]) if other is not None else 0)
-        where[list(group)] = b
-        if other is not None:
-            where[other] = source
-        fill[b] += moved
-        fill[source] -= moved
-        stuck[:] = False
-        live -= fill[source] == 0
-    order = np.argsort(where, kind="stable")
-    cuts = np.flatnonzero(np.diff(where[order])) + 1
-    return [x.tolist() for x in np.split(order, cuts)] if len(order) else []
+def improve(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[int]]:
+    """``improve_counts`` of bins of item numbers."""
+    patterns = Counter(tuple(sorted(Counter(lengths[i] for i in items).items(), reverse=True)) for items in bins if items)
+    of_length: dict[int, list[int]] = {}
+    for i in chain.from_iterable(bins):
+        of_length.setdefault(lengths[i], []).append(i)
+    return [[of_length[n].pop() for n, m in p for _ in range(m)] for p, k in improve_counts(patterns, limit).items() for _ in range(k)]
 
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first

@@ -50,3 +50,26 @@ def test_training_rows_force_no_digit():
 
     secrets = [c for c, *_, label in labelled_findings() if label]
     assert any(not any(x.isdigit() for x in c) for c in secrets) and any(len(c) < 16 for c in secrets)
+
+
+def test_local_search_tries_pairs_of_all_items():
+    """The only exchange is for the 41st and 42nd item of a bin."""
+    from folioscope.llm.packing import improve
+
+    lengths, bins = [10] * 40 + [33, 44], [list(range(42))]
+    for _ in range(60):
+        bins.append([len(lengths), len(lengths) + 1])
+        lengths += [70, 921]
+    got = improve(bins, lengths, 1000)
+    assert sorted(i for b in got for i in b) == list(range(len(lengths)))
+    assert [921, 44, 33] in [sorted((lengths[i] for i in b), reverse=True) for b in got]
+
+
+def test_local_search_ends_only_when_stuck():
+    """5000 bins without an exchange are emptier than the one that can be emptied."""
+    from folioscope.llm.packing import improve
+
+    lengths = [51] * 5000 + [65, 5, 70, 12]
+    bins = [[i] for i in range(5000)] + [[5000, 5001], [5002, 5003]]
+    got = [sorted(lengths[i] for i in b) for b in improve(bins, lengths, 100)]
+    assert [5, 12, 70] in got and len(got) == len(bins)
