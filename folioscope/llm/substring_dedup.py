@@ -1,13 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by window hashes, reported as factors like those of relative Lempel-Ziv parsing.
 
 Every slice of documents is a *reference block*.  A block is indexed by its windows of ``width``
 consecutive words; the index entries are dealt to shards by the window's *anchor* (the smallest hash of
 the shorter word runs in it), so neighbouring windows travel as one entry and equal windows of all blocks
-meet in one shard.  There the earliest place of each window becomes its reference.  A document is then
-factored greedily: a factor starts at a window that has an earlier reference and grows for as long as the
-next window continues at the same reference.  The windows across a factor's end were looked up on their
-own, so a stretch that carries on elsewhere in the corpus is found too, and the covered words are exactly
-those of windows that also start earlier.
+meet in one shard.  There the earliest place of each window
+becomes its reference.  What is removed are the words of windows whose hash also starts earlier; texts are not
+compared with the reference word by word.  Factors are those windows merged afterwards: a factor starts at one
+and grows for as long as the next continues at the same reference; they do not change what is removed.
 
 Copies inside one block are settled there and only a block's first instance is sent on, so the size of a
 group of copies shows up once per block and not once per copy.
