@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import delete, materialise_at, new_path
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,11 +27,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each step is written to the shared folder.  The number of steps grows with the logarithm of the
     longest chain; nothing but three sums a step reaches the driver.
+    A round's table is deleted once the next is written.
     """
-    now = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    path = new_path(spark, "edges")
+    now = materialise_at(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), path)
     state = _state(now)
     while state[0]:
-        now = materialise(_star(_star(now, True), False), "edges")
+        before, path = path, new_path(spark, "edges")
+        now = materialise_at(_star(_star(now, True), False), path)
+        delete(before)
         new = _state(now)
         if new == state:
             break
