@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import shuffle_partitions
+from ..storage import shuffle_partitions
 
 PREFIX_CHARS = 16
 SAMPLE_PER_PARTITION = 200

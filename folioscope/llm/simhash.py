@@ -8,9 +8,12 @@ once they exceed the budget.  Pairs whose subtrees are already one component are
 returns each member with its component's smallest id, so a dense group costs rows in proportion to its
 members and not to its pairs.  A unit above ``UNIT_ROWS`` is cut into chunks that meet pair by pair.
 
+Links are between fingerprints, so a row's id plays no part in them; a component is named afterwards by the
+smallest id among its rows.
+
 Defined results: a null or wordless text has fingerprint zero and links like any other; equal fingerprints
-are one class; a null id is the component of no other row and keeps a null component only if its whole
-component has null ids; an empty table gives an empty result; other columns are ignored.
+are one class; rows that repeat an id with different texts are judged each by its own text; a component is
+null only if all its rows have null ids; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .components import connected_components
-from .storage import materialise, shuffle_partitions
+from ..operators.components import connected_components
+from ..storage import materialise, shuffle_partitions
 
 BITS, ERRORS, SHINGLE, SEED = 64, 4, 4, 42
 UNIT_ROWS = 50_000
@@ -145,8 +148,9 @@ def _blocks(n: int = ERRORS + 1) -> list[tuple[int, int]]:
 
 
 def _bucket(table: pa.Table) -> pa.Table:
-    """All units of a bucket together: each member that has a partner, with its component's smallest id."""
-    block, key, tile, side, prints, ids = (table.column(i).to_numpy() for i in range(1, 7))
+    """All units of a bucket together: each member that has a partner, with its component's smallest member."""
+    block, key, tile, side, prints = (table.column(i).to_numpy() for i in range(1, 6))
+    ids = prints
     low = np.array([x[0] for x in _blocks()], np.uint64)[block]
     prints = prints.view(np.uint64)
     turned = (prints >> low) | (prints << ((np.uint64(BITS) - low) & np.uint64(63)))  # the block's bits come last
@@ -171,11 +175,11 @@ def _bucket(table: pa.Table) -> pa.Table:
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """Edges ``u, v`` that connect what is within ``ERRORS`` bits, from one row ``print, id`` per class."""
+    """Edges ``u, v`` that connect what is within ``ERRORS`` bits, from one row ``print`` per class."""
     spark = classes.sparkSession
     whole = lambda low, width: F.shiftrightunsigned("print", low).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
     each = F.array(*(F.struct(F.lit(i).alias("block"), whole(low, width).alias("key")) for i, (low, width) in enumerate(_blocks())))
-    units = classes.select("print", "id", F.explode(each).alias("x")).select("x.block", "x.key", "print", "id")
+    units = classes.select("print", F.explode(each).alias("x")).select("x.block", "x.key", "print")
     large = units.groupBy("block", "key").count().where(F.col("count") > UNIT_ROWS)
     if large.head(1):
         chunks = large.select("block", "key", F.ceil(F.col("count") / UNIT_ROWS).cast("int").alias("chunks"))
@@ -188,20 +192,19 @@ def links(classes: DataFrame) -> DataFrame:
     n = units.count()
     buckets = max(shuffle_partitions(spark), -(-n // BUCKET_ROWS))
     bucket = F.pmod(F.hash("block", "key", "tile"), F.lit(buckets))
-    return units.select(bucket.alias("bucket"), "block", "key", "tile", "side", "print", "id").groupBy("bucket").applyInArrow(_bucket, "u long, v long")
+    return units.select(bucket.alias("bucket"), "block", "key", "tile", "side", "print").groupBy("bucket").applyInArrow(_bucket, "u long, v long")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``.
 
-    Documents become one class per fingerprint before anything is joined, so copies cost one row each.
+    The fingerprint column of a document is made once and kept in the shared folder.  Documents become one class per fingerprint before anything is joined, so copies cost one row each.
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = materialise(named.mapInArrow(_fingerprints, "id long, print long"), "prints")
-    unknown = F.lit((1 << 63) - 1)
-    classes = materialise(prints.groupBy("print").agg(F.coalesce(F.min("id"), unknown - F.pmod(F.first("print"), F.lit(1 << 32))).alias("id")), "classes")
-    component = connected_components(links(classes))
-    found = classes.join(component, classes["id"] == component["node"], "left").select("print", F.coalesce("component", "id").alias("component_id"))
-    out = prints.join(found, "print")
-    real = F.when(F.col("component_id") <= unknown - (1 << 32), F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), real.alias("component_id"))
+    classes = materialise(prints.groupBy("print").agg(F.min("id").alias("id")), "classes")
+    linked = connected_components(links(classes)).select(F.col("node").alias("print"), "component")
+    placed = classes.join(linked, "print", "left").select("print", "id", F.coalesce("component", "print").alias("component"))
+    named = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    out = prints.join(placed.join(named, "component").select("print", "component_id"), "print")
+    return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
