@@ -1,179 +1,322 @@
-"""Substring dedup by window hashes, reported as factors like those of relative Lempel-Ziv parsing.
-
-Every slice of documents is a *reference block*.  A block is indexed by its windows of ``width``
-consecutive words; the index entries are dealt to shards by the window's *anchor* (the smallest hash of
-the shorter word runs in it), so neighbouring windows travel as one entry and equal windows of all blocks
-meet in one shard.  There the earliest place of each window
-becomes its reference.  What is removed are the words of windows whose hash also starts earlier; texts are not
-compared with the reference word by word.  Factors are those windows merged afterwards: a factor starts at one
-and grows for as long as the next continues at the same reference; they do not change what is removed.
-
-Copies inside one block are settled there and only a block's first instance is sent on, so the size of a
-group of copies shows up once per block and not once per copy.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+
+Documents are cut into stretches of neighbouring windows of ``width`` words that share an *anchor*, the
+smallest hash of the shorter word runs in a window.  Stretches are dealt to *reference blocks* by anchor, so
+equal windows of all documents meet in one block whatever surrounds them, and a document is parsed against
+every block that can hold a factor of it.  A block indexes its windows; an entry of the index is accepted
+only when all its words equal those of the place looked up.  Documents are then parsed greedily against it,
+in the order of ids: a factor starts at a window that occurs earlier, refers to the earliest place, and
+grows for as long as the words go on alike there; at its end the next window is looked up again, so windows
+across the boundary of two factors are not lost.  Factors of ``width`` words or more are duplicate spans.
+
+Words travel with the stretches, by a vocabulary for each message, so nothing is decided by hashes: they find
+candidates and route.  Copies inside one slice of documents are settled there and only a slice's first
+instance is sent on, so a group of copies shows up once per slice.  Anchors that a bounded sample of
+documents shows to be frequent are passed over for the next smallest in the window (or the window's own
+hash, if all are), so what surrounds a common phrase does not gather in one block.  The sample and the
+number of blocks decide where stretches go, never the result.
 
 Defined results: a null or wordless text has no words; a null id sorts after all ids; rows that repeat an
-id are at the same place, so neither removes the other's window at the same start; an empty table gives an
-empty result; other columns are ignored.
+id are at the same place, so neither removes the other's window at the same start (they are told apart by a
+32-bit hash of their text); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shuffle_partitions
 from . import textops as T
-from .storage import shuffle_partitions, text_bytes
 
 NULL_ID = (1 << 63) - 1
-ANCHOR_WORDS = 8
-BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 16 << 20
-_HASH_BYTES = 7
+ANCHOR_WORDS = 5
+#: Text of a slice of documents that is settled at once, and of a reference block.
+SLICE_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
+#: Documents of the sample in expectation, and how many of its stretches make an anchor frequent.
+SAMPLE_DOCUMENTS, FREQUENT = 20_000, 64
+_CHUNK = 1 << 20
+_ALL = np.uint64((1 << 64) - 1)
 
 PIECES = "id long, mark int, start int, n int, ref_id long, ref_start int"
-_ENTRY = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
+_ENTRY = pa.schema([("block", pa.int32()), ("message", pa.binary())])
+_PIECE_TYPES = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int32)
 _PIECE = pa.schema([("id", pa.int64()), ("mark", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("ref_id", pa.int64()), ("ref_start", pa.int32())])
 
 
-def _pack(runs: tuple[np.ndarray, ...], hashes: np.ndarray, pieces: tuple[np.ndarray, ...]) -> bytes:
-    head = struct.pack("<qqq", len(runs[0]), len(hashes), len(pieces[0]))
-    narrow = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]
-    return b"".join([head, *(x.tobytes() for x in runs), narrow.tobytes(), *(x.tobytes() for x in pieces)])
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    body = b"".join(x.tobytes() for x in arrays)
+    head = struct.pack("<qB", len(body), len(arrays)) + b"".join(struct.pack("<cBq", x.dtype.char.encode(), x.itemsize, len(x)) for x in arrays)
+    return head + pa.Codec("zstd", 1).compress(body, asbytes=True)
 
 
-_RUN_TYPES = (np.int64, np.int32, np.int32, np.int16)
-_PIECE_TYPES = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int32)
+def _unpack(message: bytes) -> list[np.ndarray]:
+    size, n = struct.unpack_from("<qB", message)
+    fields = [struct.unpack_from("<cBq", message, 9 + 10 * i) for i in range(n)]
+    body, at, out = pa.Codec("zstd").decompress(message[9 + 10 * n :], size), 0, []
+    for char, width, length in fields:
+        out.append(np.frombuffer(body, char.decode(), length, at))
+        at += width * length
+    return out
 
 
-def _unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    n_runs, n_hashes, n_pieces = struct.unpack_from("<qqq", blob)
-    at = 24
+def _earliest(hashes: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each window the first window of equal words; ``equal`` compares the words of pairs of windows."""
+    out, left = np.arange(len(hashes)), np.arange(len(hashes))
+    while len(left):
+        order = left[np.argsort(hashes[left], kind="stable")]
+        ordered = hashes[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = ordered[1:] != ordered[:-1]
+        first = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        again = ~fresh
+        order, first = order[again], first[again]
+        same = equal(order, first)
+        out[order[same]] = first[same]
+        left = np.sort(order[~same])  # other words under an equal hash: the first of these is looked for again
+    return out
 
-    def take(n: int, kind) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(blob, kind, n, at)
-        at += out.nbytes
-        return out
 
-    runs = [take(n_runs, k) for k in _RUN_TYPES]
-    hashes = np.zeros((n_hashes, 8), np.uint8)
-    hashes[:, :_HASH_BYTES] = take(n_hashes * _HASH_BYTES, np.uint8).reshape(-1, _HASH_BYTES)
-    return runs, hashes.view("<u8").ravel(), [take(n_pieces, k) for k in _PIECE_TYPES]
-
-
-def _pieces(ids, marks, starts, ref_ids, ref_starts, taken, breaks) -> tuple[np.ndarray, ...]:
-    """Greedy growth: consecutive windows that go on at the same reference become one piece."""
-    if not taken.any():
-        return tuple(np.zeros(0, k) for k in _PIECE_TYPES)
-    same = np.zeros(len(starts), bool)
-    same[1:] = (
-        ~breaks[1:] & taken[1:] & taken[:-1] & (ids[1:] == ids[:-1]) & (marks[1:] == marks[:-1]) & (starts[1:] == starts[:-1] + 1)
-        & (ref_ids[1:] == ref_ids[:-1]) & (ref_starts[1:] == ref_starts[:-1] + 1)
-    )
-    first = np.flatnonzero(taken & ~same)
-    total = np.concatenate([[0], np.cumsum(taken)])
-    n = np.diff(np.append(total[first], total[-1]))
-    out = ids[first], marks[first], starts[first], n, ref_ids[first], ref_starts[first]
+def _parse(first: np.ndarray, ids: np.ndarray, places: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors over windows in the order of documents: first window, number of windows, reference.
+
+    ``follows`` says that a window continues the one before it.  Of windows of equal words (that is, an
+    equal ``first``) the earliest is the reference.  A factor goes on while the next window equals that
+    after its reference.
+    """
+    repeated = (ids != ids[first]) | (places != places[first])
+    joined = np.zeros(len(first), bool)
+    joined[1:] = follows[1:] & repeated[1:] & repeated[:-1] & (first[1:] == first[:-1] + 1) & follows[first[1:]]
+    starts = np.flatnonzero(repeated & ~joined)
+    total = np.concatenate([[0], np.cumsum(repeated)])
+    sizes = np.diff(np.append(total[starts], total[-1]))
+    refs = first[starts]
+    if len(starts) < 2:
+        return starts, sizes, refs
+    meets = np.flatnonzero((starts[1:] == starts[:-1] + sizes[:-1]) & follows[starts[1:]]) + 1
+    gone = np.zeros(len(starts), bool)
+    head = np.arange(len(starts))
+    for i in meets.tolist():  # a factor whose end meets the next: does its reference go on alike?
+        h = head[i - 1]
+        step = starts[i] - starts[h]
+        ahead = refs[h] + step + np.arange(sizes[i])
+        if ahead[-1] < len(first) and follows[ahead].all() and (first[ahead] == first[starts[i] : starts[i] + sizes[i]]).all():
+            head[i], gone[i] = h, True
+            sizes[h] += sizes[i]
+    return starts[~gone], sizes[~gone], refs[~gone]
+
+
+def _factor_rows(parsed, ids, marks, places) -> tuple[np.ndarray, ...]:
+    starts, sizes, refs = parsed
+    out = ids[starts], marks[starts], places[starts], sizes, ids[refs], places[refs]
     return tuple(x.astype(k) for x, k in zip(out, _PIECE_TYPES, strict=True))
 
 
-def _earliest(hashes: np.ndarray) -> np.ndarray:
-    """For each entry, the first entry of an equal hash."""
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    return out
+def _vocabulary(part: T.Slice, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of a slice, and for each of its words the number there."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    values = part.data[~T.IS_SPACE[part.data]]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
 
 
-def _index_block(part: T.Slice, ids: np.ndarray, marks: np.ndarray, width: int, anchor: int, shards: int) -> Iterator[tuple[int, bytes]]:
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and bytes of an array of words without an offset of its own."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.diff(offsets), data
+
+
+def _word_hashes(part: T.Slice) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Hashes of a slice's words, its vocabulary, the words' numbers there, and each document's first word."""
     starts, ends, first_word = T.words(part)
-    hashes = T.word_hashes(part.data, starts, ends)
+    vocabulary, codes = _vocabulary(part, starts, ends)
+    lengths, data = _bytes_of(vocabulary)
+    stops = np.cumsum(lengths)
+    return T.word_hashes(data, stops - lengths, stops)[codes] if len(codes) else np.zeros(0, np.uint64), vocabulary, codes, first_word
+
+
+def _anchors(hashes: np.ndarray, at: np.ndarray, whole: np.ndarray, width: int, anchor: int, frequent: np.ndarray) -> np.ndarray:
+    """For each window from word ``at`` the smallest hash of ``anchor`` words in it that is not frequent."""
+    short = T.window_hashes(hashes, anchor)
+    if len(frequent):
+        short[frequent[np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)] == short] = _ALL
+    low = short[at]
+    for j in range(1, width - anchor + 1):
+        np.minimum(low, short[at + j], out=low)
+    return np.where(low == _ALL, whole, low)
+
+
+def _stretches(low: np.ndarray, document: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows of one anchor: first window and number of windows."""
+    fresh = np.ones(len(low), bool)
+    fresh[1:] = (low[1:] != low[:-1]) | (document[1:] != document[:-1]) | (place[1:] != place[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    return first, np.diff(np.append(first, len(low)))
+
+
+def _gather(heads: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places ``head, head + 1, ...``, ``count`` of them for each head, one after another."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(heads - before, counts) + np.arange(counts.sum())
+
+
+def _dealt(block: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
+    """An order by block, and where in it each block that occurs begins and ends."""
+    order = np.argsort(block, kind="stable")
+    found, begin = np.unique(block[order], return_index=True)
+    return order, dict(zip(found.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(block)], strict=True), strict=True))
+
+
+def _settle(part: T.Slice, ids: np.ndarray, marks: np.ndarray, width: int, anchor: int, blocks: int, frequent: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A slice's own factors and the stretches that it sends on, as messages to the blocks that occur."""
+    hashes, vocabulary, codes, first_word = _word_hashes(part)
     at, document = T.window_documents(first_word, width)
     if not len(at):
         return
     place = at - first_word[document]
-    doc_ids, doc_marks = ids[document], marks[document]
+    if (ids[1:] < ids[:-1]).any():
+        rank = np.lexsort((place, ids[document]))
+        at, document, place = at[rank], document[rank], place[rank]
     whole = T.window_hashes(hashes, width)[at]
-    short = T.window_hashes(hashes, anchor)
-    low = short[at]
-    for j in range(1, width - anchor + 1):
-        np.minimum(low, short[at + j], out=low)
-    rank = np.lexsort((place, doc_ids))
-    if (rank[1:] < rank[:-1]).any():
-        at, document, place, doc_ids, doc_marks, whole, low = (x[rank] for x in (at, document, place, doc_ids, doc_marks, whole, low))
-    low_bits = np.uint64((1 << 8 * _HASH_BYTES) - 1)
-    whole &= low_bits
-    first = _earliest(whole)
-    local = (doc_ids != doc_ids[first]) | (place != place[first])
-    none = np.zeros(len(at), bool)
-    pieces = _pieces(doc_ids, doc_marks, place, doc_ids[first], place[first], local, none)
-    to = (T.mix(pieces[0].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-    by_piece = np.argsort(to, kind="stable")
-    pieces = tuple(x[by_piece] for x in pieces)
-    piece_bounds = np.searchsorted(to[by_piece], np.arange(shards + 1))
+
+    def equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out, x, y = np.ones(len(a), bool), at[a], at[b]
+        for k in range(width):
+            out &= codes[x + k] == codes[y + k]
+        return out
+
+    first = _earliest(whole, equal)
+    doc_ids = ids[document]
+    follows = np.zeros(len(at), bool)
+    follows[1:] = (document[1:] == document[:-1]) & (place[1:] == place[:-1] + 1)
+    factors = _factor_rows(_parse(first, doc_ids, place, follows), doc_ids, marks[document], place)
+    by_factor, factor_bounds = _dealt((T.mix(factors[0].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64))
+    factors = [x[by_factor] for x in factors]
 
     sent = np.flatnonzero(first == np.arange(len(at)))
-    low, document, place, whole = low[sent], document[sent], place[sent], whole[sent]
-    doc_ids, doc_marks = doc_ids[sent], doc_marks[sent]
-    fresh = np.ones(len(sent), bool)
-    fresh[1:] = (low[1:] != low[:-1]) | (document[1:] != document[:-1]) | (place[1:] != place[:-1] + 1)
-    run_first = np.flatnonzero(fresh)
-    run_n = np.diff(np.append(run_first, len(sent)))
-    shard = (T.mix(low[run_first]) % np.uint64(shards)).astype(np.int64)
-    by_run = np.argsort(shard, kind="stable")
-    run_bounds = np.searchsorted(shard[by_run], np.arange(shards + 1))
-    heads, counts = run_first[by_run], run_n[by_run]
-    ahead = np.concatenate([[0], np.cumsum(counts)])
-    members = np.repeat(heads - ahead[:-1], counts) + np.arange(ahead[-1])
-    runs = doc_ids[heads].astype(np.int64), doc_marks[heads].astype(np.int32), place[heads].astype(np.int32), counts.astype(np.int16)
-    dealt = whole[members]
-    for s in range(shards):
-        a, b, c, d = run_bounds[s], run_bounds[s + 1], piece_bounds[s], piece_bounds[s + 1]
-        if b > a or d > c:
-            yield s, _pack(tuple(x[a:b] for x in runs), dealt[ahead[a] : ahead[b]], tuple(x[c:d] for x in pieces))
-
-
-def _entries(width: int, anchor: int, shards: int):
+    at, document, place = at[sent], document[sent], place[sent]
+    low = _anchors(hashes, at, whole[sent], width, anchor, frequent)
+    heads, counts = _stretches(low, document, place)
+    order, bounds = _dealt((T.mix(low[heads]) % np.uint64(blocks)).astype(np.int64))
+    heads, counts = heads[order], counts[order]
+    stretches = [ids[document[heads]].astype(np.int64), marks[document[heads]].astype(np.int32), place[heads].astype(np.int32), counts.astype(np.int32)]
+    long = counts + width - 1
+    ahead = np.concatenate([[0], np.cumsum(long)])
+    sequence = codes[_gather(at[heads], long)]
+    for block in sorted(bounds.keys() | factor_bounds.keys()):
+        a, b = bounds.get(block, (0, 0))
+        c, d = factor_bounds.get(block, (0, 0))
+        own = pa.array(sequence[ahead[a] : ahead[b]]).dictionary_encode()
+        lengths, data = _bytes_of(vocabulary.take(own.dictionary))
+        numbers = own.indices.to_numpy(zero_copy_only=False).astype(np.uint16 if len(lengths) < 1 << 16 else np.int32)
+        yield block, _pack([*(x[a:b] for x in stretches), numbers, lengths.astype(np.int32), data, *(x[c:d] for x in factors)])
+
+
+def _entries(width: int, anchor: int, blocks: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             marks = batch.column(1).to_numpy(zero_copy_only=False)
-            for part in T.slices(batch.column(2), BLOCK_BYTES):
-                rows = list(_index_block(part, ids[part.first : part.first + part.n], marks[part.first : part.first + part.n], width, anchor, shards))
+            for part in T.slices(batch.column(2), SLICE_BYTES):
+                own = slice(part.first, part.first + part.n)
+                rows = list(_settle(part, ids[own], marks[own], width, anchor, blocks, frequent))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], schema=_ENTRY)
 
     return run
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    """All entries of a shard: which windows start earlier elsewhere, and where first."""
-    parts = [_unpack(x) for x in table.column("blob").to_pylist()]
-    runs = [np.concatenate([p[0][i] for p in parts]) for i in range(4)]
-    hashes = np.concatenate([p[1] for p in parts])
-    forwarded = [np.concatenate([p[2][i] for p in parts]) for i in range(6)]
-    del parts
-    counts = runs[3].astype(np.int64)
-    behind = np.cumsum(counts) - counts
-    order = np.lexsort((runs[2], runs[0]))
-    counts, behind = counts[order], behind[order]
-    ahead = np.cumsum(counts) - counts
-    step = np.arange(counts.sum()) - np.repeat(ahead, counts)
-    hashes = hashes[np.repeat(behind, counts) + step]
-    ids, marks = (np.repeat(runs[i][order], counts) for i in (0, 1))
-    starts = np.repeat(runs[2][order].astype(np.int64), counts) + step
-    first = _earliest(hashes)
-    ref_ids, ref_starts = ids[first], starts[first]
-    found = _pieces(ids, marks, starts, ref_ids, ref_starts, (ids != ref_ids) | (starts != ref_starts), step == 0)
-    return pa.Table.from_arrays([pa.array(np.concatenate([a, b])) for a, b in zip(found, forwarded, strict=True)], schema=_PIECE)
+def _window_hashes(codes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows from words ``at``, a chunk at a time."""
+    out = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), _CHUNK):
+        here = at[i : i + _CHUNK]
+        a, b = int(here.min()), int(here.max()) + width
+        out[i : i + _CHUNK] = T.window_hashes(T.mix(codes[a:b].astype(np.uint64)), width)[here - a]
+    return out
+
+
+def _block(width: int):
+    """The parse against a reference block, made of all messages to it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpack(x) for x in table.column("message").to_pylist()]
+        forwarded = [np.concatenate([p[7 + i] for p in parts]) for i in range(6)]
+        ids, marks, places, counts = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        counts = counts.astype(np.int64)
+        lengths = np.concatenate([p[5] for p in parts])
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate([p[6] for p in parts]))])
+        known = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        base = np.cumsum([0, *(len(p[5]) for p in parts)])
+        codes = np.concatenate([known[base[i] : base[i + 1]][p[4]] for i, p in enumerate(parts)]) if len(known) else np.zeros(0, np.int32)
+        del parts, words, known
+        behind = np.cumsum(counts + width - 1) - (counts + width - 1)
+        order = np.lexsort((places, ids))
+        counts, behind, places, ids, marks = counts[order], behind[order], places[order].astype(np.int64), ids[order], marks[order]
+        at = _gather(behind, counts)
+        stretch = np.repeat(np.arange(len(counts)), counts)
+        place = _gather(places, counts)
+        follows = np.ones(len(at), bool)
+        follows[np.cumsum(counts) - counts] = False
+
+        def equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out, x, y = np.ones(len(a), bool), at[a], at[b]
+            for k in range(width):
+                out &= codes[x + k] == codes[y + k]
+            return out
+
+        first = _earliest(_window_hashes(codes, at, width), equal) if len(at) else np.zeros(0, np.int64)
+        ids, marks = ids[stretch], marks[stretch]
+        found = _factor_rows(_parse(first, ids, place, follows), ids, marks, place)
+        return pa.Table.from_arrays([pa.array(np.concatenate([a, b])) for a, b in zip(found, forwarded, strict=True)], schema=_PIECE)
+
+    return run
+
+
+def _sampled(width: int, anchor: int):
+    """Bytes of texts, and the anchors of their stretches with their numbers, of each slice of the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch.column(0), SLICE_BYTES):
+                hashes, _, _, first_word = _word_hashes(part)
+                at, document = T.window_documents(first_word, width)
+                found, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if len(at):
+                    low = _anchors(hashes, at, T.window_hashes(hashes, width)[at], width, anchor, found)
+                    heads, _ = _stretches(low, document, at)
+                    found, n = np.unique(low[heads], return_counts=True)
+                found = np.concatenate([found, [_ALL]])
+                n = np.concatenate([n, [len(part.data)]])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+
+    return run
+
+
+def frequent_anchors(docs: DataFrame, text_col: str, width: int, anchor: int) -> tuple[int, np.ndarray]:
+    """Bytes of all texts, estimated, and the frequent anchors of a sample of ``SAMPLE_DOCUMENTS`` documents.
+
+    Every frequent anchor has ``FREQUENT`` stretches in the sample, whose size does not grow with the table,
+    so the list is bounded.
+    """
+    rows = docs.count()
+    if not rows:
+        return 0, np.zeros(0, np.uint64)
+    share = min(1.0, SAMPLE_DOCUMENTS / rows)
+    texts = docs.select(F.col(text_col).alias("text"))
+    seen = (texts if share == 1.0 else texts.sample(share, seed=23)).mapInArrow(_sampled(width, anchor), "anchor long, n long")
+    found = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where((F.col("n") >= FREQUENT) | (F.col("anchor") == -1)).collect()
+    anchors = np.array([r.anchor for r in found if r.anchor != -1], np.int64).view(np.uint64)
+    return int(sum(r.n for r in found if r.anchor == -1) / share), np.sort(anchors)
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,n_words:int,ref_id:long,ref_start:int>>"
@@ -225,11 +368,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     anchor = max(1, min(ANCHOR_WORDS, width // 2))
-    shards = max(shuffle_partitions(spark), -(-text_bytes(docs, text_col) // SHARD_BYTES))
+    size, frequent = frequent_anchors(docs, text_col, width, anchor)
+    tasks = max(shuffle_partitions(spark), -(-size // BLOCK_BYTES))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.hash(text).alias("mark"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    entries = keyed.select("id", "mark", "text").mapInArrow(_entries(width, anchor, shards), "shard int, blob binary")
-    pieces = entries.groupBy("shard").applyInArrow(_resolve, PIECES)
+    entries = keyed.select("id", "mark", "text").mapInArrow(_entries(width, anchor, tasks, frequent), "block int, message binary")
+    pieces = entries.repartition(tasks, "block").groupBy("block").applyInArrow(_block(width), PIECES)
     by_document = pieces.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "n", "ref_id", "ref_start")).alias("pieces"))
     joined = keyed.join(by_document, ["id", "mark"], "left").select("doc_id", "text", "pieces")
     return joined.mapInArrow(_cut(width), _KEPT)
