@@ -1,15 +1,18 @@
 """Quality rules by weak supervision.
 
-Each rule votes good or bad on a document or abstains.  The votes of a document form one of ``3 ** rules``
-patterns, so the whole corpus is summed up exactly by at most that many counts.  Expectation-maximisation
-over these counts estimates, without labels, how often each rule is right on good and on bad documents;
-the posterior probability of *good* given a document's votes decides, not an all-must-pass filter.
+Each rule votes good or bad on a document or abstains.  Rules that look at the same thing are a group; a
+group votes on one hidden fact, whether the document has the group's defect, and the rules of a group are
+independent given that fact.  Expectation-maximisation estimates without labels how often the defect
+occurs and how accurate each rule is on documents with and without it.  A document is good if it has no
+defect; the posterior probability of that, the product of the groups', decides, not an all-must-pass filter.
 
-Rows are never shuffled: one pass counts patterns, a second attaches the posterior to each row.
+The votes of a document form one of ``3 ** 8`` patterns, so the corpus is summed up exactly by at most that
+many counts.  Rows are never shuffled.  A rule alone in its group cannot be told from its expectation by
+the data: its accuracies stay near what is stated below, and only the share is learnt.
 
 Defined results: a null text is an empty one; a document on which every rule abstains has the prior as its
-posterior; an empty table gives an empty result; all other columns pass through unchanged, and the
-operator's own values are in one struct column whose name the caller chooses.
+posterior; an empty table gives an empty result; all other columns pass through unchanged but for one
+named like ``out``, which is replaced by the operator's struct.
 """
 
 from __future__ import annotations
@@ -22,15 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from ..storage import materialise
 from . import textops as T
 
 REPEAT_WINDOW = 5
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_digits", "n_bangs", "n_stops")
-#: What is expected before anything is seen: the share of each defect, and how often a rule that votes says
-#: bad with its own defect present and without.
-START_SHARE, START_HIT, START_ALARM = 0.02, 0.9, 0.005
-#: Weight of these expectations, as a share of the documents.
-ANCHOR = 0.02
+#: Rules that look at the same thing and so tend to fail together, by the defect they vote on.
+GROUPS = {"characters": ("symbols",), "spam": ("duplicate_lines", "shouting", "repetition", "exclamation"), "writing": ("digits", "word_length", "sentences")}
+#: What is expected before anything is seen: the share of a defect, and how often a rule that votes says bad
+#: with the defect present and without.
+START_SHARE, START_HIT, START_ALARM = 0.05, 0.9, 0.005
+#: Weight of these expectations, as a share of the documents, and that of ``START_HIT`` as a part of it.
+ANCHOR, HIT_WEIGHT = 0.02, 0.1
 
 
 def _flags(chars: bytes) -> np.ndarray:
@@ -136,68 +142,82 @@ def rules(s: Column) -> dict[str, Column]:
     }
 
 
-N_RULES = 8
+def group_number(s: Column, group: tuple[str, ...]) -> Column:
+    """The votes of a group as one number below ``3 ** len(group)``."""
+    votes, out = rules(s), F.lit(0)
+    for name in group:
+        out = out * 3 + (votes[name] + 1)
+    return out.cast("int")
 
 
-def pattern(s: Column) -> Column:
-    """A document's votes as one number below ``3 ** N_RULES``."""
-    out = F.lit(0)
-    for vote in rules(s).values():
-        out = out * 3 + (vote + 1)
-    return out.cast("int")
+def _votes(n_rules: int) -> np.ndarray:
+    """All patterns of votes in the order of their numbers, one row each."""
+    return np.arange(3**n_rules)[:, None] // 3 ** np.arange(n_rules - 1, -1, -1)[None, :] % 3 - 1
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, dict]:
-    """Expectation-maximisation over pattern counts: posterior of *good* for each pattern, and the model.
+def fit_group(counts: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, dict]:
+    """Expectation-maximisation over the counts of a group's ``3 ** n`` patterns.
 
-    A document is good or has one main defect, that of some rule.  A rule that votes is right with ``hit``
-    on documents with its own defect and wrong with ``alarm`` on all others; both and the shares of the
-    defects are estimated.  Rules for different defects need not agree with one another.
+    Returns the probability that a document with each pattern is free of the group's defect, and the model:
+    the defect's share, and for each rule how often it says bad, when it votes, of documents with the defect
+    (``hit``) and without (``alarm``).  ``hit`` is held at twice ``alarm`` or more, so a vote that turns from
+    good to none or from none to bad never raises the probability.
     """
-    votes = patterns[:, None] // 3 ** np.arange(N_RULES - 1, -1, -1)[None, :] % 3 - 1
+    n = round(np.log(len(counts)) / np.log(3))
+    votes = _votes(n)
     bad, good = (votes == -1).astype(float), (votes == 1).astype(float)
-    total = max(counts.sum(), 1)
-    shares = np.array([1 - N_RULES * START_SHARE, *[START_SHARE] * N_RULES])
-    start, weak = shares.copy(), ANCHOR * total + 1
-    hit, alarm = np.full(N_RULES, START_HIT), np.full(N_RULES, START_ALARM)
-    post = np.full(len(patterns), shares[0])
+    total, cast = counts.sum(), bad + good
+    weight = ANCHOR * total + 1
+    share, hit, alarm = START_SHARE, np.full(n, START_HIT), np.full(n, START_ALARM)
+    free = np.full(len(counts), 1 - share)
     for _ in range(rounds):
-        clean = bad @ np.log(alarm) + good @ np.log(1 - alarm)
-        own = bad * (np.log(hit) - np.log(alarm)) + good * (np.log(1 - hit) - np.log(1 - alarm))
-        logs = np.column_stack([clean, clean[:, None] + own]) + np.log(shares)
-        each = np.exp(logs - logs.max(axis=1, keepdims=True))
-        each /= each.sum(axis=1, keepdims=True)
-        w = counts[:, None] * each
-        shares = (w.sum(axis=0) + weak * start) / (total + weak)
-        mine, rest = w[:, 1:], counts[:, None] - w[:, 1:]
-        alarm = ((rest * bad).sum(axis=0) + weak * START_ALARM) / ((rest * (bad + good)).sum(axis=0) + weak)
-        hit = ((mine * bad).sum(axis=0) + weak * START_HIT / 10) / ((mine * (bad + good)).sum(axis=0) + weak / 10)
-        alarm = np.clip(alarm, 1e-5, 0.3)
-        hit = np.clip(np.maximum(hit, 2 * alarm), 0.05, 1 - 1e-5)
-        done = np.abs(each[:, 0] - post).max(initial=0) < 1e-9
-        post = each[:, 0]
-        if done:
+        odds = np.log(share / (1 - share)) + bad @ np.log(hit / alarm) + good @ np.log((1 - hit) / (1 - alarm))
+        before, free = free, 1 / (1 + np.exp(odds))
+        if np.abs(free - before).max() < 1e-12:
             break
-    return post, {"prior": float(shares[0]), "shares": shares[1:].tolist(), "hit": hit.tolist(), "alarm": alarm.tolist()}
+        clean = counts * free
+        spoilt = counts - clean
+        share = (spoilt.sum() + weight * START_SHARE) / (total + weight)
+        alarm = np.clip((clean @ bad + weight * START_ALARM) / (clean @ cast + weight), 1e-5, 0.3)
+        hit = np.clip(np.maximum((spoilt @ bad + weight * HIT_WEIGHT * START_HIT) / (spoilt @ cast + weight * HIT_WEIGHT), 2 * alarm), 0.05, 1 - 1e-5)
+    return free, {"share": float(share), "hit": hit.tolist(), "alarm": alarm.tolist()}
+
+
+def fit(counts: dict[tuple[int, ...], int]) -> dict[str, tuple[np.ndarray, dict]]:
+    """The fitted groups, from documents counted by their groups' numbers in the order of ``GROUPS``."""
+    out = {}
+    for g, (name, group) in enumerate(GROUPS.items()):
+        own = np.zeros(3 ** len(group))
+        for key, n in counts.items():
+            own[key[g]] += n
+        out[name] = fit_group(own)
+    return out
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", out: str = "quality_rules", keep_at: float = 0.5) -> DataFrame:
-    """``docs`` with a struct ``out``: the signals, ``posterior``, ``base_failed`` and ``kept``.
+def judge(rows: DataFrame, out: str, keep_at: float = 0.5) -> DataFrame:
+    """``rows``, which have their signals in the struct ``out``, with posterior and verdict added to it.
 
-    At most ``3 ** 8`` pattern counts reach the driver, whatever the size of ``docs``.
+    ``rows`` are read twice; at most ``3 ** 8`` counts of patterns reach the driver, whatever their number.
     """
-    spark = docs.sparkSession
-    only = with_signals(docs.select(F.col(text_col).alias("text")), "text", "s").select("s")
-    found = np.array([tuple(r) for r in only.groupBy(pattern(F.col("s")).alias("p")).count().collect()], np.int64).reshape(-1, 2)
-    found = found[np.argsort(found[:, 0])]
-    post, model = fit(found[:, 0], found[:, 1].astype(float))
-    table = dict(zip(found[:, 0].tolist(), post.tolist(), strict=True))
-    listed = spark.createDataFrame([(k, v) for k, v in table.items()], "_fs_pattern int, _fs_posterior double")
-    rows = with_signals(docs, text_col, out)
     s = F.col(out)
-    rows = rows.withColumn("_fs_pattern", pattern(s)).join(F.broadcast(listed), "_fs_pattern", "left")  # 3 ** 8 rows at most
-    posterior = F.coalesce(F.col("_fs_posterior"), F.lit(model["prior"]))
+    numbers = [group_number(s, group) for group in GROUPS.values()]
+    found = rows.groupBy(*(n.alias(f"g{i}") for i, n in enumerate(numbers))).agg(F.count(F.lit(1)).alias("n")).collect()
+    model = fit({tuple(r[:-1]): r[-1] for r in found})
+    posterior = F.lit(1.0)
+    for number, (free, _) in zip(numbers, model.values(), strict=True):
+        posterior = posterior * F.element_at(F.array(*(F.lit(float(x)) for x in free)), number + 1)
     failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
     kept = ~failed & (posterior >= keep_at)
     full = F.struct(*(s[x].alias(x) for x in SIGNALS), posterior.alias("posterior"), failed.alias("base_failed"), kept.alias("kept"))
-    return rows.withColumn(out, full).drop("_fs_pattern", "_fs_posterior")
+    return rows.withColumn(out, full)
+
+
+def quality_rules(docs: DataFrame, text_col: str = "text", out: str = "quality_rules", keep_at: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """``docs`` with a struct ``out``: the signals, ``posterior``, ``base_failed`` and ``kept``.
+
+    Signals are computed once and written to the shared folder with the rows, without the text unless
+    ``keep_text``; counting and judging read them there.  A column named like ``out`` is replaced.
+    """
+    docs = docs.drop(out) if out != text_col else docs
+    rows = with_signals(docs, text_col, out)
+    return judge(materialise(rows if keep_text else rows.drop(text_col), "quality"), out, keep_at)

@@ -84,7 +84,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
-    out = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), out="q")
+    out = quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), out="q", keep_text=False)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return out.select("doc_id", *(F.col("q")[x].alias(x) for x in names), F.round(F.col("q")["posterior"], 6).alias("posterior"))
 
