@@ -17,7 +17,7 @@ from folioscope.llm.packing import pack, token_pieces
 from folioscope.llm.quality_rules import quality_rules
 from folioscope.llm.secret_scan import redact
 from folioscope.llm.simhash import simhash_dedup
-from folioscope.llm.storage import materialise
+from folioscope.storage import materialise
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 4096
