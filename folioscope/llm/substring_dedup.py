@@ -9,8 +9,8 @@ in the order of ids: a factor starts at a window that occurs earlier, refers to
 grows for as long as the words go on alike there; at its end the next window is looked up again, so windows
 across the boundary of two factors are not lost.  Factors of ``width`` words or more are duplicate spans.
 
-Words travel with the stretches, by a vocabulary for each message, so nothing is decided by hashes: they find
-candidates and route.  Copies inside one slice of documents are settled there and only a slice's first
+Words travel with the stretches, as numbers of the sample's frequent words and spelt out otherwise, so
+nothing is decided by hashes: they find candidates and route.  Copies inside one slice of documents are settled there and only a slice's first
 instance is sent on, so a group of copies shows up once per slice.  Anchors that a bounded sample of
 documents shows to be frequent are passed over for the next smallest in the window (or the window's own
 hash, if all are), so what surrounds a common phrase does not gather in one block.  The sample and the
@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +36,13 @@ from ..storage import shuffle_partitions
 from . import textops as T
 
 NULL_ID = (1 << 63) - 1
-ANCHOR_WORDS = 5
+ANCHOR_WORDS = 4
 #: Text of a slice of documents that is settled at once, and of a reference block.
 SLICE_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
 #: Documents of the sample in expectation, and how many of its stretches make an anchor frequent.
 SAMPLE_DOCUMENTS, FREQUENT = 20_000, 64
+#: Words that are sent as numbers: at most so many, of so many bytes at most, and seen so often in the sample.
+COMMON_WORDS, COMMON_BYTES, COMMON_SEEN = 1 << 16, 32, 4
 _CHUNK = 1 << 20
 _ALL = np.uint64((1 << 64) - 1)
 
@@ -65,6 +68,15 @@ def _unpack(message: bytes) -> list[np.ndarray]:
     return out
 
 
+def _planes(numbers: np.ndarray) -> np.ndarray:
+    """The low bytes of all numbers, then the next, and so on: small numbers compress better that way."""
+    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
+
+
 def _earliest(hashes: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """For each window the first window of equal words; ``equal`` compares the words of pairs of windows."""
     out, left = np.arange(len(hashes)), np.arange(len(hashes))
@@ -175,7 +187,7 @@ def _dealt(block: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
     return order, dict(zip(found.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(block)], strict=True), strict=True))
 
 
-def _settle(part: T.Slice, ids: np.ndarray, marks: np.ndarray, width: int, anchor: int, blocks: int, frequent: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _settle(part: T.Slice, ids: np.ndarray, marks: np.ndarray, width: int, anchor: int, blocks: int, frequent: np.ndarray, common: pa.Array) -> Iterator[tuple[int, bytes]]:
     """A slice's own factors and the stretches that it sends on, as messages to the blocks that occur."""
     hashes, vocabulary, codes, first_word = _word_hashes(part)
     at, document = T.window_documents(first_word, width)
@@ -211,23 +223,27 @@ def _settle(part: T.Slice, ids: np.ndarray, marks: np.ndarray, width: int, ancho
     long = counts + width - 1
     ahead = np.concatenate([[0], np.cumsum(long)])
     sequence = codes[_gather(at[heads], long)]
+    number = pc.fill_null(pc.index_in(vocabulary, value_set=common), -1).to_numpy(zero_copy_only=False)
     for block in sorted(bounds.keys() | factor_bounds.keys()):
         a, b = bounds.get(block, (0, 0))
         c, d = factor_bounds.get(block, (0, 0))
-        own = pa.array(sequence[ahead[a] : ahead[b]]).dictionary_encode()
-        lengths, data = _bytes_of(vocabulary.take(own.dictionary))
-        numbers = own.indices.to_numpy(zero_copy_only=False).astype(np.uint16 if len(lengths) < 1 << 16 else np.int32)
-        yield block, _pack([*(x[a:b] for x in stretches), numbers, lengths.astype(np.int32), data, *(x[c:d] for x in factors)])
+        own = sequence[ahead[a] : ahead[b]]
+        numbers = number[own]
+        spelt = np.flatnonzero(numbers < 0)
+        rare = pa.array(own[spelt]).dictionary_encode()
+        numbers[spelt] = len(common) + rare.indices.to_numpy(zero_copy_only=False)
+        lengths, data = _bytes_of(vocabulary.take(rare.dictionary))
+        yield block, _pack([*(x[a:b] for x in stretches), _planes(numbers), lengths.astype(np.int32), data, *(x[c:d] for x in factors)])
 
 
-def _entries(width: int, anchor: int, blocks: int, frequent: np.ndarray):
+def _entries(width: int, anchor: int, blocks: int, frequent: np.ndarray, common: pa.Array):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             marks = batch.column(1).to_numpy(zero_copy_only=False)
             for part in T.slices(batch.column(2), SLICE_BYTES):
                 own = slice(part.first, part.first + part.n)
-                rows = list(_settle(part, ids[own], marks[own], width, anchor, blocks, frequent))
+                rows = list(_settle(part, ids[own], marks[own], width, anchor, blocks, frequent, common))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], schema=_ENTRY)
 
@@ -244,8 +260,8 @@ def _window_hashes(codes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _block(width: int):
-    """The parse against a reference block, made of all messages to it."""
+def _block(width: int, n_common: int):
+    """The parse against a reference block, made of all messages to it; ``n_common`` words have numbers."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpack(x) for x in table.column("message").to_pylist()]
@@ -257,7 +273,11 @@ def _block(width: int):
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate([p[6] for p in parts]))])
         known = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int32)
         base = np.cumsum([0, *(len(p[5]) for p in parts)])
-        codes = np.concatenate([known[base[i] : base[i + 1]][p[4]] for i, p in enumerate(parts)]) if len(known) else np.zeros(0, np.int32)
+        codes = np.concatenate([_from_planes(p[4]) for p in parts])
+        message = np.repeat(base[:-1], [len(p[4]) // 4 for p in parts])
+        rare = np.flatnonzero(codes >= n_common)
+        codes[rare] = n_common + known[message[rare] + codes[rare] - n_common]
+        del message, rare
         del parts, words, known
         behind = np.cumsum(counts + width - 1) - (counts + width - 1)
         order = np.lexsort((places, ids))
@@ -283,12 +303,12 @@ def _block(width: int):
 
 
 def _sampled(width: int, anchor: int):
-    """Bytes of texts, and the anchors of their stretches with their numbers, of each slice of the sample."""
+    """Of each slice of the sample: bytes of texts, how many stretches an anchor has, and how often a word occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch.column(0), SLICE_BYTES):
-                hashes, _, _, first_word = _word_hashes(part)
+                hashes, vocabulary, codes, first_word = _word_hashes(part)
                 at, document = T.window_documents(first_word, width)
                 found, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if len(at):
@@ -297,26 +317,34 @@ def _sampled(width: int, anchor: int):
                     found, n = np.unique(low[heads], return_counts=True)
                 found = np.concatenate([found, [_ALL]])
                 n = np.concatenate([n, [len(part.data)]])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+                short = np.flatnonzero(_bytes_of(vocabulary)[0] <= COMMON_BYTES)
+                words = vocabulary.take(pa.array(short)).cast(pa.binary())
+                often = np.bincount(codes, minlength=len(vocabulary))[short]
+                anchors = pa.concat_arrays([pa.array(found.view(np.int64)), pa.nulls(len(short), pa.int64())])
+                words = pa.concat_arrays([pa.nulls(len(found), pa.binary()), words])
+                yield pa.RecordBatch.from_arrays([anchors, words, pa.array(np.concatenate([n, often]).astype(np.int64))], names=["anchor", "word", "n"])
 
     return run
 
 
-def frequent_anchors(docs: DataFrame, text_col: str, width: int, anchor: int) -> tuple[int, np.ndarray]:
-    """Bytes of all texts, estimated, and the frequent anchors of a sample of ``SAMPLE_DOCUMENTS`` documents.
+def sampled(docs: DataFrame, text_col: str, width: int, anchor: int) -> tuple[int, np.ndarray, pa.Array]:
+    """Bytes of all texts, estimated; and of a sample of ``SAMPLE_DOCUMENTS`` documents the frequent anchors and words.
 
-    Every frequent anchor has ``FREQUENT`` stretches in the sample, whose size does not grow with the table,
-    so the list is bounded.
+    Each frequent anchor has ``FREQUENT`` stretches in the sample, whose size does not grow with the table, and
+    of words there are ``COMMON_WORDS`` at most, so both lists are bounded.
     """
     rows = docs.count()
     if not rows:
-        return 0, np.zeros(0, np.uint64)
+        return 0, np.zeros(0, np.uint64), pa.array([], pa.large_binary())
     share = min(1.0, SAMPLE_DOCUMENTS / rows)
     texts = docs.select(F.col(text_col).alias("text"))
-    seen = (texts if share == 1.0 else texts.sample(share, seed=23)).mapInArrow(_sampled(width, anchor), "anchor long, n long")
-    found = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where((F.col("n") >= FREQUENT) | (F.col("anchor") == -1)).collect()
-    anchors = np.array([r.anchor for r in found if r.anchor != -1], np.int64).view(np.uint64)
-    return int(sum(r.n for r in found if r.anchor == -1) / share), np.sort(anchors)
+    seen = (texts if share == 1.0 else texts.sample(share, seed=23)).mapInArrow(_sampled(width, anchor), "anchor long, word binary, n long")
+    worth = F.when(F.col("word").isNotNull(), F.col("n") >= COMMON_SEEN).otherwise((F.col("n") >= FREQUENT) | (F.col("anchor") == -1))
+    found = seen.groupBy("anchor", "word").agg(F.sum("n").alias("n")).where(worth).collect()
+    anchors = np.array([r.anchor for r in found if r.word is None and r.anchor != -1], np.int64).view(np.uint64)
+    words = sorted(((-r.n, bytes(r.word)) for r in found if r.word is not None))[:COMMON_WORDS]
+    size = sum(r.n for r in found if r.word is None and r.anchor == -1)
+    return int(size / share), np.sort(anchors), pa.array([w for _, w in words], pa.large_binary())
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start:int,n_words:int,ref_id:long,ref_start:int>>"
@@ -368,12 +396,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     anchor = max(1, min(ANCHOR_WORDS, width // 2))
-    size, frequent = frequent_anchors(docs, text_col, width, anchor)
+    size, frequent, common = sampled(docs, text_col, width, anchor)
     tasks = max(shuffle_partitions(spark), -(-size // BLOCK_BYTES))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.hash(text).alias("mark"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    entries = keyed.select("id", "mark", "text").mapInArrow(_entries(width, anchor, tasks, frequent), "block int, message binary")
-    pieces = entries.repartition(tasks, "block").groupBy("block").applyInArrow(_block(width), PIECES)
+    entries = keyed.select("id", "mark", "text").mapInArrow(_entries(width, anchor, tasks, frequent, common), "block int, message binary")
+    pieces = entries.repartition(tasks, "block").groupBy("block").applyInArrow(_block(width, len(common)), PIECES)
     by_document = pieces.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "n", "ref_id", "ref_start")).alias("pieces"))
     joined = keyed.join(by_document, ["id", "mark"], "left").select("doc_id", "text", "pieces")
     return joined.mapInArrow(_cut(width), _KEPT)
