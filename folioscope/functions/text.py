@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,3 +145,11 @@ def squash_runs(items: Column, most: int = 3) -> Column:
         return F.struct(F.when(run <= most, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"), x.alias("last"), run.alias("run"))
 
     return F.aggregate(F.coalesce(items, F.array().cast("array<string>")), empty, step, lambda s: s["kept"])
+
+
+def free_name(taken: Iterable[str], base: str) -> str:
+    """``base``, with underscores after it until no column in ``taken`` is called so in any case of letters."""
+    names = {x.lower() for x in taken}
+    while base.lower() in names:
+        base += "_"
+    return base
