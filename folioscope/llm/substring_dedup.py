@@ -68,6 +68,28 @@ def _unpack(message: bytes) -> list[np.ndarray]:
     return out
 
 
+def even_keys(n: int) -> np.ndarray:
+    """Numbers of which Spark's hash (Murmur3 with seed 42) puts the i-th into partition i of ``n``.
+
+    Were it another hash, partitions would only be less even.
+    """
+    keys, mask = np.full(n, -1, np.int64), np.uint64(0xFFFFFFFF)
+    turn = lambda x, r: (x << np.uint64(r) | x >> np.uint64(32 - r)) & mask
+    first = 0
+    while (keys < 0).any():
+        x = np.arange(first, first + 8 * n, dtype=np.uint64)
+        h = np.uint64(42) ^ turn(x * np.uint64(0xCC9E2D51) & mask, 15) * np.uint64(0x1B873593) & mask
+        h = (turn(h, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & mask ^ np.uint64(4)
+        h = (h ^ h >> np.uint64(16)) * np.uint64(0x85EBCA6B) & mask
+        h = (h ^ h >> np.uint64(13)) * np.uint64(0xC2B2AE35) & mask
+        h = (h ^ h >> np.uint64(16)).astype(np.uint32).view(np.int32).astype(np.int64) % n
+        place, at = np.unique(h, return_index=True)
+        new = keys[place] < 0
+        keys[place[new]] = first + at[new]
+        first += 8 * n
+    return keys
+
+
 def _planes(numbers: np.ndarray) -> np.ndarray:
     """The low bytes of all numbers, then the next, and so on: small numbers compress better that way."""
     return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).ravel()
@@ -160,9 +182,7 @@ def _anchors(hashes: np.ndarray, at: np.ndarray, whole: np.ndarray, width: int,
     short = T.window_hashes(hashes, anchor)
     if len(frequent):
         short[frequent[np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)] == short] = _ALL
-    low = short[at]
-    for j in range(1, width - anchor + 1):
-        np.minimum(low, short[at + j], out=low)
+    low = T.sliding_min(short, width - anchor + 1)[at]
     return np.where(low == _ALL, whole, low)
 
 
@@ -184,11 +204,12 @@ def _dealt(block: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:
     """An order by block, and where in it each block that occurs begins and ends."""
     order = np.argsort(block, kind="stable")
     found, begin = np.unique(block[order], return_index=True)
-    return order, dict(zip(found.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(block)], strict=True), strict=True))
+    end = np.append(begin, len(block))[1:]
+    return order, dict(zip(found.tolist(), zip(begin.tolist(), end.tolist(), strict=True), strict=True))
 
 
-def _settle(part: T.Slice, ids: np.ndarray, marks: np.ndarray, width: int, anchor: int, blocks: int, frequent: np.ndarray, common: pa.Array) -> Iterator[tuple[int, bytes]]:
-    """A slice's own factors and the stretches that it sends on, as messages to the blocks that occur."""
+def _settle(part: T.Slice, ids: np.ndarray, marks: np.ndarray, width: int, anchor: int, blocks: np.ndarray, frequent: np.ndarray, common: pa.Array) -> Iterator[tuple[int, bytes]]:
+    """A slice's own factors and the stretches that it sends on, as messages to those of ``blocks`` that occur."""
     hashes, vocabulary, codes, first_word = _word_hashes(part)
     at, document = T.window_documents(first_word, width)
     if not len(at):
@@ -210,14 +231,14 @@ def _settle(part: T.Slice, ids: np.ndarray, marks: np.ndarray, width: int, ancho
     follows = np.zeros(len(at), bool)
     follows[1:] = (document[1:] == document[:-1]) & (place[1:] == place[:-1] + 1)
     factors = _factor_rows(_parse(first, doc_ids, place, follows), doc_ids, marks[document], place)
-    by_factor, factor_bounds = _dealt((T.mix(factors[0].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64))
+    by_factor, factor_bounds = _dealt(blocks[(T.mix(factors[0].astype(np.uint64)) % np.uint64(len(blocks))).astype(np.int64)])
     factors = [x[by_factor] for x in factors]
 
     sent = np.flatnonzero(first == np.arange(len(at)))
     at, document, place = at[sent], document[sent], place[sent]
     low = _anchors(hashes, at, whole[sent], width, anchor, frequent)
     heads, counts = _stretches(low, document, place)
-    order, bounds = _dealt((T.mix(low[heads]) % np.uint64(blocks)).astype(np.int64))
+    order, bounds = _dealt(blocks[(T.mix(low[heads]) % np.uint64(len(blocks))).astype(np.int64)])
     heads, counts = heads[order], counts[order]
     stretches = [ids[document[heads]].astype(np.int64), marks[document[heads]].astype(np.int32), place[heads].astype(np.int32), counts.astype(np.int32)]
     long = counts + width - 1
@@ -236,7 +257,7 @@ def _settle(part: T.Slice, ids: np.ndarray, marks: np.ndarray, width: int, ancho
         yield block, _pack([*(x[a:b] for x in stretches), _planes(numbers), lengths.astype(np.int32), data, *(x[c:d] for x in factors)])
 
 
-def _entries(width: int, anchor: int, blocks: int, frequent: np.ndarray, common: pa.Array):
+def _entries(width: int, anchor: int, blocks: np.ndarray, frequent: np.ndarray, common: pa.Array):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -252,11 +273,12 @@ def _entries(width: int, anchor: int, blocks: int, frequent: np.ndarray, common:
 
 def _window_hashes(codes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the windows from words ``at``, a chunk at a time."""
+    values = T.mix(np.arange(codes.max() + 1, dtype=np.uint64))
     out = np.empty(len(at), np.uint64)
     for i in range(0, len(at), _CHUNK):
         here = at[i : i + _CHUNK]
         a, b = int(here.min()), int(here.max()) + width
-        out[i : i + _CHUNK] = T.window_hashes(T.mix(codes[a:b].astype(np.uint64)), width)[here - a]
+        out[i : i + _CHUNK] = T.window_hashes(values[codes[a:b]], width)[here - a]
     return out
 
 
@@ -400,7 +422,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tasks = max(shuffle_partitions(spark), -(-size // BLOCK_BYTES))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.hash(text).alias("mark"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    entries = keyed.select("id", "mark", "text").mapInArrow(_entries(width, anchor, tasks, frequent, common), "block int, message binary")
+    keys = even_keys(tasks)
+    entries = keyed.select("id", "mark", "text").mapInArrow(_entries(width, anchor, keys, frequent, common), "block int, message binary")
     pieces = entries.repartition(tasks, "block").groupBy("block").applyInArrow(_block(width, len(common)), PIECES)
     by_document = pieces.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "n", "ref_id", "ref_start")).alias("pieces"))
     joined = keyed.join(by_document, ["id", "mark"], "left").select("doc_id", "text", "pieces")

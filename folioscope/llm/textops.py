@@ -34,6 +34,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _POWERS, _INVERSES = _powers(_BASE, _CHUNK), _powers(_INVERSE, _CHUNK)
+_WINDOW_POWERS, _WINDOW_INVERSES = _powers(_WINDOW_BASE, _CHUNK), _powers(_WINDOW_INVERSE, _CHUNK)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,13 +122,26 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, base = np.zeros(n, np.uint64), 1
-    for j in range(width):
-        out += hashes[j : j + n] * np.uint64(base)
-        base = base * _WINDOW_BASE & _MASK
+    out, size = np.empty(n, np.uint64), max(_CHUNK, 2 * width)
+    powers, inverses = (_WINDOW_POWERS, _WINDOW_INVERSES) if size == _CHUNK else (_powers(_WINDOW_BASE, size), _powers(_WINDOW_INVERSE, size))
+    for a in range(0, n, size - width):
+        b = min(a + size - width, n)
+        sums = np.zeros(b - a + width, np.uint64)
+        np.cumsum(hashes[a : b + width - 1] * powers[: b - a + width - 1], out=sums[1:])
+        out[a:b] = (sums[width:] - sums[:-width]) * inverses[: b - a]
     return mix(out)
 
 
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each ``width`` consecutive values."""
+    out, reach = values, 1
+    while reach < width:
+        step = min(reach, width - reach)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        reach += step
+    return out
+
+
 def window_documents(first_word: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window that lies within one document: the number of its first word and its document."""
     counts = np.diff(first_word)
