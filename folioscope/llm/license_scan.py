@@ -4,9 +4,9 @@ One automaton holds every word sequence that occurs in a licence template or bas
 words are streamed through it; the *matching statistics* (for each word the longest template sequence
 that ends there) are above one word only where neighbouring words stand side by side in a template, so
 only those stretches are walked.  A base phrase ends at a word if its state is among the suffix links of
-the current match.  Right-maximal matches of ``MIN_MATCH`` words or more are chained, in order in document
-and template with gaps up to ``MAX_GAP``, into covered spans; a template whose best chain covers
-``MIN_COVER`` of it adds its label.
+the current match.  Right-maximal matches of ``MIN_MATCH`` words or more are chained by dynamic programming,
+in order in document and template with gaps up to ``MAX_GAP``, into covered spans; a template whose best
+chain covers ``MIN_COVER`` of it adds its label.
 
 Defined results: a null, empty or wordless text has no words, places or labels and score 0; rows are
 judged one by one, so repeated rows repeat their results; other columns are ignored.
@@ -87,6 +87,34 @@ class SuffixAutomaton:
         return state
 
 
+def best_chain(found: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """Words covered, first word and end of the chain that covers most words of a template.
+
+    ``found`` are matches (word in document, word in template, length).  In a chain both places go forward
+    by gaps of ``MAX_GAP`` at most, and words that overlap in either count once.  By dynamic programming over
+    all matches: each is tried after every match that can precede it, so a passage that occurs at several
+    places of a template is taken at the one that fits.
+    """
+    found = sorted(set(found))
+    best: list[tuple[int, int]] = []  # words covered by the best chain that ends with a match; its first word
+    furthest: list[int] = []  # the last end in the document up to each match
+    top = (0, 0, 0)
+    for j, (start, at, length) in enumerate(found):
+        covered, first = length, start
+        for i in range(j - 1, -1, -1):
+            if furthest[i] < start - MAX_GAP:
+                break
+            before, before_at, n = found[i]
+            overlap = max(0, before + n - start, before_at + n - at)
+            if before < start and before_at < at and overlap < length and before + n >= start - MAX_GAP and before_at + n >= at - MAX_GAP and best[i][0] + length - overlap > covered:
+                covered, first = best[i][0] + length - overlap, best[i][1]
+        best.append((covered, first))
+        furthest.append(max(start + length, furthest[-1] if furthest else 0))
+        if covered > top[0]:
+            top = (covered, first, start + length)
+    return top
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], phrases: dict[str, str]):
         self.labels = list(templates)
@@ -137,16 +165,8 @@ class Scanner:
                     by_template.setdefault(k, []).append((end - length, template_end - length, length))
         out = []
         for k, found in by_template.items():
-            best = (0, 0, 0)
-            chain: list[int] | None = None  # first word, end in document, end in template, covered
-            for start, at, length in sorted(found):
-                if chain and 0 <= start - chain[1] + MAX_GAP and start - chain[1] <= MAX_GAP and at + length > chain[2] and at - chain[2] <= MAX_GAP and start + length > chain[1]:
-                    chain[3] += min(length, at + length - chain[2], start + length - chain[1])
-                    chain[1], chain[2] = start + length, at + length
-                else:
-                    chain = [start, start + length, at + length, length]
-                best = max(best, (chain[3], chain[0], chain[1]))
-            out.append((self.labels[k], best[1], best[2], min(1.0, best[0] / self.sizes[k])))
+            covered, first, end = best_chain(found)
+            out.append((self.labels[k], first, end, min(1.0, covered / self.sizes[k])))
         return out
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[tuple[str, int, int, float]]]:
