@@ -6,10 +6,12 @@ therefore keeps, for each suffix that can still grow into a piece, the trie node
 token before it and the token count there relative to now.  A transition is annotated with the change in
 the number of emitted tokens.  States are built on first use and kept, as in a lazy DFA.
 
-No piece has a word mark after another character, so the machine is at its start before every run of word
-marks.  A chunk's *state map* is its part before the first such place (still open: it depends on the state
-at entry), the count after it and the state at exit.  Maps compose associatively; long texts are cut into
-chunks and their maps are scanned pairwise.
+Long texts are cut into chunks.  A chunk's *state map* takes a state at entry to the tokens added and the
+state at exit.  It is made without knowing that state, by a run from the start state whose states are kept;
+from any other state the chunk is run only up to where both runs are in one state, which is where the
+chunk's text no longer depends on what precedes it: at the latest before a word mark after another
+character, since no piece has one inside.  Maps compose associatively, so those of a text's chunks are
+combined pairwise, as in a parallel prefix scan, and applied to the start state once.
 
 Defined results: a null or empty text has no tokens; rows are counted one by one; other columns are
 ignored.
@@ -29,20 +31,65 @@ from pyspark.sql import functions as F
 from . import textops as T
 
 MARK = "▁"
-CHUNK_CHARS = 1 << 16
+CHUNK_CHARS, CHUNKS_AT_ONCE = 1 << 16, 64
+#: States of a chunk's own run that are kept; a run from another state that has not met them by then goes on to the end.
+KEPT_STATES = 4096
 #: Bounds of what a worker keeps; beyond them it starts afresh.  They change no count.
 MAX_MOVES, MAX_UNITS = 400_000, 150_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _START = re.compile(f"(?<=[^{MARK}]){MARK}")
 
 
-@dataclass
 class StateMap:
-    """``open``: text that needs the state at entry.  ``count``, ``exit``: after it; no exit if all is open."""
+    """Of a chunk: state at entry to (tokens added, state at exit)."""
+
+    def __init__(self, machine: CountingTransducer, chunk: str):
+        first = _START.search(chunk)
+        self.machine, self.head = machine, chunk[: first.start()] if first else chunk
+        moves, state, count = machine.moves, 0, 0
+        self.states, self.counts = [], []
+        for i, c in enumerate(self.head):
+            if i < KEPT_STATES:
+                self.states.append(state)
+                self.counts.append(count)
+            move = moves[state].get(c) or machine._move(state, c)
+            state, count = move[0], count + move[1]
+        self.total, self.end, self.rest, self.exit = count, state, 0, None
+        if first:
+            units = _UNIT.findall(chunk, first.start())
+            count, self.exit = machine.run(units[-1])
+            self.rest = sum(map(machine.units.__getitem__, units[:-1])) + count
+
+    def __call__(self, entry: int) -> tuple[int, int]:
+        moves, state, count = self.machine.moves, entry, 0
+        for i, c in enumerate(self.head):
+            if i < len(self.states) and state == self.states[i]:
+                count, state = count + self.total - self.counts[i], self.end
+                break
+            move = moves[state].get(c) or self.machine._move(state, c)
+            state, count = move[0], count + move[1]
+        return count + self.rest, state if self.exit is None else self.exit
+
+
+@dataclass
+class Composed:
+    """The map of two neighbouring stretches."""
+
+    a: StateMap | Composed
+    b: StateMap | Composed
+
+    def __call__(self, entry: int) -> tuple[int, int]:
+        n, state = self.a(entry)
+        m, state = self.b(state)
+        return n + m, state
 
-    open: str
-    count: int = 0
-    exit: int | None = None
+
+def compose(maps: list[StateMap]) -> StateMap | Composed:
+    """The map of neighbouring chunks, combined pairwise."""
+    level: list = maps
+    while len(level) > 1:
+        level = [Composed(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return level[0]
 
 
 class CountingTransducer:
@@ -120,20 +167,6 @@ class CountingTransducer:
             count += move[1]
         return count, state
 
-    def state_map(self, chunk: str) -> StateMap:
-        first = _START.search(chunk)
-        if not first:
-            return StateMap(chunk)
-        units = _UNIT.findall(chunk, first.start())
-        count, exit_state = self.run(units[-1])
-        return StateMap(chunk[: first.start()], sum(map(self.units.__getitem__, units[:-1])) + count, exit_state)
-
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        if a.exit is None:
-            return StateMap(a.open + b.open, b.count, b.exit)
-        count, state = self.run(b.open, a.exit)
-        return StateMap(a.open, a.count + count + b.count, state if b.exit is None else b.exit)
-
     def count(self, text: str) -> int:
         if not text:
             return 0
@@ -146,10 +179,12 @@ class CountingTransducer:
             if "" not in words:
                 return sum(map(self.units.__getitem__, words))
         marked = MARK + text.replace(" ", MARK)
-        maps = [self.state_map(marked[i : i + CHUNK_CHARS]) for i in range(0, len(marked), CHUNK_CHARS)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return self.run(maps[0].open)[0] + maps[0].count
+        total, state = 0, 0
+        for i in range(0, len(marked), CHUNK_CHARS * CHUNKS_AT_ONCE):  # bounds what is kept of a text
+            part = marked[i : i + CHUNK_CHARS * CHUNKS_AT_ONCE]
+            n, state = compose([StateMap(self, part[k : k + CHUNK_CHARS]) for k in range(0, len(part), CHUNK_CHARS)])(state)
+            total += n
+        return total
 
 
 class _Units(dict):
