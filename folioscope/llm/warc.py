@@ -6,7 +6,7 @@ another with a separator, and the separator here is an empty skippable frame, wh
 
 Of records with equal payloads that with the smallest page id is the response and the others are revisits
 that refer to it.  Payloads are never gathered by content: only (id, digest) pairs are, and the page
-itself is moved once, by its id.
+itself is moved once, by its id and digest, into as many partitions as its archives need to stay small.
 
 Defined results: a null payload is an empty one; a null id is never a response if an equal payload has an
 id; rows that repeat id and payload have the same type; an empty table gives no archive and no rows; other
@@ -25,11 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_path
+from ..storage import materialise, new_path
 
 DICTIONARY_MAGIC, SKIPPABLE = 0x184D2A5D, range(0x184D2A50, 0x184D2A60)
 EMPTY_FRAME = "P*M\x18\0\0\0\0"
 DICTIONARY_BYTES, DICTIONARY_RECORDS, LEVEL = 32 << 10, 200, 3
+#: Payload of an archive on average: its whole file is one row when it is read back.
+ARCHIVE_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -130,16 +132,33 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """One archive per partition under ``path``."""
+def _firsts(pairs: DataFrame) -> DataFrame:
+    """``page, digest, first`` of distinct ``pairs``: the smallest page of each digest.
+
+    Totals are combined before the shuffle.  A digest of more than a thousandth of all rows is one of a
+    thousand at most, so those are broadcast and their rows are not gathered by digest.
+    """
+    totals = materialise(pairs.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")), "digests")
+    rows = totals.agg(F.sum("n")).head()[0] or 0
+    large = F.col("n") > max(1000, rows // 1000)
+    hot = F.broadcast(totals.where(large).select(F.col("digest").alias("h_digest"), F.col("first").alias("h_first")))  # 1000 rows at most
+    rest = totals.where(~large).select("digest", "first")
+    tried = pairs.distinct().join(hot, F.col("digest") == F.col("h_digest"), "left")
+    cold = tried.where(F.col("h_digest").isNull()).select("page", "digest").join(rest, "digest").select("page", "digest", "first")
+    return cold.unionByName(tried.where(F.col("h_digest").isNotNull()).select("page", "digest", F.col("h_first").alias("first")))
+
+
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Archives under ``path``, one per partition; partitions get ``archive_bytes`` of payload on average."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
+    key = [F.coalesce("page", F.lit(0)).alias("k_page"), F.isnull("page").alias("k_null")]
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    pairs = rows.select("page", "digest")
-    firsts = pairs.groupBy("digest").agg(F.min("page").alias("first"))
-    known = pairs.distinct().join(firsts, "digest")
-    known = known.select(F.col("page").alias("k_page"), F.col("digest").alias("k_digest"), "first")
-    typed = rows.join(known, F.col("page").eqNullSafe(F.col("k_page")) & (F.col("digest") == F.col("k_digest")))
-    frames = typed.select("page", "url", "payload", "first").mapInArrow(_frames, "frame binary")
+    pairs = materialise(rows.select("page", "digest", F.octet_length("payload").alias("bytes")), "pairs")
+    total = pairs.agg(F.sum(F.col("bytes").cast("long"))).head()[0] or 0
+    archives = max(1, -(-total // archive_bytes))
+    known = _firsts(pairs.select("page", "digest")).select(*key, "digest", "first").repartition(archives, "k_page", "k_null", "digest")
+    dealt = rows.select("*", *key).repartition(archives, "k_page", "k_null", "digest")
+    frames = dealt.join(known, ["k_page", "k_null", "digest"]).select("page", "url", "payload", "first").mapInArrow(_frames, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(path)
 
 
