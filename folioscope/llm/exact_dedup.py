@@ -11,7 +11,8 @@ sample only decides where rows go, never the result.
 
 Defined results: a null text equals an empty one; a null id loses to any other id; of rows that repeat
 both id and text one is kept; an empty table gives an empty result; with ``carry`` all columns of the
-input stay and the operator's own values are in the struct column ``out``.
+input stay, whatever their names, and the operator's own values are in the struct column ``out``, which
+replaces an input column of that name.
 """
 
 from __future__ import annotations
@@ -54,10 +55,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep}")
     partitions = shuffle_partitions(docs.sparkSession)
-    columns = list(docs.columns) if carry else []
+    columns = [c for c in docs.columns if carry and c.lower() != out.lower()]
     text = F.col(text_col)
     norm = normalised(text)
-    keyed = docs.select(*columns, F.col(id_col).alias("_fs_id"), text.alias("_fs_text"), F.substring(norm, 1, PREFIX_CHARS).alias("_fs_prefix"), F.sha2(norm, 256).alias("_fs_digest"))
+    # the input's columns travel in a struct, where their names cannot meet those used here
+    moved = F.struct(*columns).alias("_fs_row") if carry else F.struct(text.alias(text_col)).alias("_fs_row")
+    keyed = docs.select(moved, F.col(id_col).alias("_fs_id"), F.substring(norm, 1, PREFIX_CHARS).alias("_fs_prefix"), F.sha2(norm, 256).alias("_fs_digest"))
     best = F.min if keep == "smallest" else F.max
     hot = _hot_texts(keyed.select("_fs_digest"), partitions)
     if hot is not None:
@@ -71,12 +74,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if salt is not None:  # a constant would be folded out of the window's keys and not out of the ranges
         keyed, place = keyed.withColumn("_fs_salt", salt.cast("int")), [*place, "_fs_salt"]
     dealt = keyed.repartitionByRange(partitions, *place)
-    dealt = dealt.withColumn("_fs_norm", normalised(F.col("_fs_text")))
+    dealt = dealt.withColumn("_fs_norm", normalised(F.col("_fs_row")[text_col]))
     same = W.partitionBy(*place, "_fs_norm").orderBy(F.col("_fs_id").asc_nulls_last() if keep == "smallest" else F.col("_fs_id").desc_nulls_last())
     whole = same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     dealt = dealt.withColumns({"_fs_rank": F.row_number().over(same), "_fs_first": F.first("_fs_id").over(whole), "_fs_size": F.count(F.lit(1)).over(whole)})
     keep_id = F.coalesce("_fs_best", "_fs_first")
     values = [keep_id.alias("keep_id"), F.coalesce("_fs_count", "_fs_size").alias("group_size"), ((F.col("_fs_rank") == 1) & F.col("_fs_id").eqNullSafe(keep_id)).alias("kept"), F.col("_fs_digest").alias("text_sha256")]
     if carry:
-        return dealt.select(*columns, F.struct(*values).alias(out))
+        return dealt.select(*(F.col("_fs_row")[c].alias(c) for c in columns), F.struct(*values).alias(out))
     return dealt.select(F.col("_fs_id").alias("doc_id"), *values)
