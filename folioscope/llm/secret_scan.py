@@ -19,7 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import free_name
+
 _RUN = r"[A-Za-z0-9+/_\-]"
+#: A private key in its armour, with or without headers, in one piece.
+_ARMOUR = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=:,\- \t\r\n]{16,8192}?-----END [A-Z ]{0,20}PRIVATE KEY-----"
 _PREFIX = "AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|AIza|glpat-|eyJ"
 #: Runs of such a length are candidates anywhere, shorter ones after an assignment or with a known prefix.
 LONG, SHORT, BLANKS = 16, 4, 16
@@ -38,10 +42,11 @@ def _assigned(skip: int = 0, blanks: int = BLANKS) -> str:
     return here + (rf"|(?<=[ \t]{dots})(?:{_assigned(skip + 1, blanks - 1)})" if blanks else "")
 
 
-#: A run of the alphabets of keys with a letter or digit: a long one, one with a known prefix, or one that is assigned.
+#: An armoured key, or a run of the alphabets of keys with a letter or digit: a long one, one with a known prefix, or one
+#: that is assigned (the password in an URL follows a colon, too).
 #: Whether a keyword is near, and whether there are digits, is for the forest to weigh.
 CANDIDATE = (
-    rf"(?<!{_RUN})(?=[+/_\-]*[A-Za-z0-9])(?:(?={_RUN}{{{LONG}}})|(?={_PREFIX})|{_assigned()}|(?<=[\"'`])(?:{_assigned(1)}))"
+    rf"{_ARMOUR}|(?<!{_RUN})(?!//)(?=[+/_\-]*[A-Za-z0-9])(?:(?={_RUN}{{{LONG}}})|(?={_PREFIX})|{_assigned()}|(?<=[\"'`])(?:{_assigned(1)}))"
     rf"{_RUN}{{{SHORT},}}={{0,2}}(?![A-Za-z0-9+/_\-=])"
 )
 NEIGHBOURHOOD = 60
@@ -61,11 +66,11 @@ DICTIONARY = (
     "status string style summer support system table target template test text this time title token true type update user value version view volume week welcome window winter with word world your"
 ).split()
 KEYWORDS = r"(?i)(secret|token|passw(or)?d|pwd|api[_\- ]?key|auth|credential|private[_\- ]?key|access[_\- ]?key|bearer|client[_\- ]?id)"
-HARMLESS = r"(?i)(example|sample|dummy|placeholder|checksum|sha-?1|sha-?256|md5|commit|revision|hash|uuid|guid|digest|integrity|version|build|phone|isbn|order|invoice|card|serial|https?:|www\.|href)"
+HARMLESS = r"(?i)(example|sample|dummy|placeholder|checksum|sha-?1|sha-?256|md5|commit|revision|hash|uuid|guid|digest|integrity|version|build|phone|isbn|order|invoice|card|serial|certificate|public[_\- ]?key|https?:|www\.|href)"
 TEST_PATH = r"(?i)(test|example|fixture|spec|mock|sample|docs?/)"
-KNOWN_PREFIX = f"^({_PREFIX})"
+KNOWN_PREFIX = f"^({_PREFIX}|-----BEGIN)"
 
-FEATURES = ("length", "transitions", "digits", "upper", "hex", "distinct", "dictionary", "uuid", "repeats", "keyword", "assigned", "quoted", "harmless", "test_path", "prefix", "numeric", "slug")
+FEATURES = ("length", "transitions", "digits", "upper", "hex", "distinct", "dictionary", "uuid", "repeats", "keyword", "assigned", "quoted", "harmless", "test_path", "prefix", "numeric", "url", "slug")
 
 
 def features(candidate: Column, left: Column, right: Column, path: Column) -> dict[str, Column]:
@@ -93,6 +98,7 @@ def features(candidate: Column, left: Column, right: Column, path: Column) -> di
         "test_path": flag(path.rlike(TEST_PATH)),
         "prefix": flag(candidate.rlike(KNOWN_PREFIX)),
         "numeric": flag(candidate.rlike(r"^[0-9\-+/]+$")),
+        "url": flag(left.rlike("://[^/@ ]{1,40}:$") & right.rlike("^@")),
         "slug": flag(candidate.rlike("^[a-z]+([-_/][a-z0-9]+)+$")),
     }
 
@@ -109,7 +115,14 @@ def labelled_findings(rows: int = TRAINING_ROWS, seed: int = SEED) -> list[tuple
     tests = ["tests/test_api.py", "examples/demo.py", "spec/fixtures.yml", "docs/guide.md"]
 
     def secret() -> tuple[str, str, str]:
-        kind = r.randrange(9)
+        kind = r.randrange(11)
+        if kind == 9:
+            name = r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "])
+            lines = "\n".join(pick(b64, 64) for _ in range(r.randint(1, 26)))
+            return f"-----BEGIN {name}PRIVATE KEY-----\n{lines}\n-----END {name}PRIVATE KEY-----", words(r.randint(0, 6)) + r.choice([" ", "\n", ' = "']), r.choice(["\n", " ", '"'])
+        if kind == 10:  # a password in an URL
+            value = r.choice([r.choice(DICTIONARY) + pick(string.digits, r.randint(1, 4)), pick(alnum, r.randint(6, 20)), r.choice(pets) + pick(alnum, 4)])
+            return value, words(r.randint(0, 4)) + f" {r.choice(['postgres', 'mysql', 'https', 'redis', 'amqp'])}://{r.choice(['admin', 'root', 'user', 'app'])}:", f"@{r.choice(DICTIONARY)}.{r.choice(['host', 'local', 'example.net'])}/{r.choice(DICTIONARY)}"
         if kind == 0:
             value = pick(hexes, r.choice([32, 40, 64]))
         elif kind == 1:
@@ -137,7 +150,7 @@ def labelled_findings(rows: int = TRAINING_ROWS, seed: int = SEED) -> list[tuple
         return value, words(r.randint(0, 6)) + " " + lead, close + " " + words(r.randint(0, 4))
 
     def harmless() -> tuple[str, str, str]:
-        kind = r.randrange(14)
+        kind = r.randrange(15)
         lead, close = r.choice([(" ", " "), (" (", ") "), (': "', '"'), (" = ", " "), (" #", ".")])
         if kind == 0:
             value, lead = pick(hexes, r.choice([32, 40, 64])), r.choice([" sha256: ", " checksum ", " commit ", ' integrity="', " md5 = ", " revision "])
@@ -164,6 +177,8 @@ def labelled_findings(rows: int = TRAINING_ROWS, seed: int = SEED) -> list[tuple
         elif kind == 10:  # assigned to what is no keyword
             value = r.choice([r.choice(DICTIONARY), r.choice(pets).title(), pick(string.digits, r.randint(4, 12)), r.choice(DICTIONARY) + pick(string.digits, r.randint(1, 3)), pick(hexes, r.choice([6, 8, 12]))])
             lead = r.choice(["name", "color", "Title", "see", "id", "page", "Note", "width", "it", "phone", "lang"]) + r.choice([": ", "=", " = ", '="', ': "', " is "])
+        elif kind == 14:  # lines of a certificate
+            value, lead, close = pick(b64, 64), r.choice(["-----BEGIN CERTIFICATE-----\n", "-----BEGIN PUBLIC KEY-----\n", "public key: "]), "\n"
         elif kind in (11, 12):  # a word after a keyword
             value = r.choice([r.choice(DICTIONARY), r.choice(pets), r.choice(["required", "string", "None", "null", "your-password", "undefined", "changeme", "optional", "forgotten", "getToken", "os/environ"])])
             lead = r.choice(["token", "secret", "api_key", "password", "auth_token", "access_key", "Password"]) + r.choice([": ", "=", " = ", '="', ': "', " is "])
@@ -278,18 +293,19 @@ def redact(docs: DataFrame, text_col: str = "text", path_col: str = "source", fi
     forest = fit_forest(docs.sparkSession, findings)
     text, path = F.col(text_col), F.col(path_col).cast("string")
     candidates, pieces = _around(text)
-    work = docs.withColumn("_fs_hit", F.coalesce(text.rlike(CANDIDATE), F.lit(False)))
+    hit, found, between, judged = (free_name(docs.columns, x) for x in ("_fs_hit", "_fs_candidates", "_fs_pieces", "_fs_seen"))
+    work = docs.withColumn(hit, F.coalesce(text.rlike(CANDIDATE), F.lit(False)))
     empty = F.array().cast("array<string>")
-    work = work.withColumns({"_fs_candidates": F.when(F.col("_fs_hit"), candidates).otherwise(empty), "_fs_pieces": F.when(F.col("_fs_hit"), pieces).otherwise(empty)})
+    work = work.withColumns({found: F.when(F.col(hit), candidates).otherwise(empty), between: F.when(F.col(hit), pieces).otherwise(empty)})
 
     def seen(c: Column, i: Column) -> Column:
-        left, right = _neighbours(F.col("_fs_pieces"), i)
+        left, right = _neighbours(F.col(between), i)
         return F.struct(c.alias("c"), F.array(*features(c, left, right, path).values()).alias("x"))
 
     def piece(x: Column, i: Column) -> Column:
         hidden = score(forest, x["x"]) >= THRESHOLD
-        return F.concat(F.element_at("_fs_pieces", i + 1), F.when(hidden, F.lit(PLACEHOLDER)).otherwise(x["c"]))
+        return F.concat(F.element_at(between, i + 1), F.when(hidden, F.lit(PLACEHOLDER)).otherwise(x["c"]))
 
-    work = work.withColumn("_fs_seen", F.transform("_fs_candidates", seen))
-    rebuilt = F.concat(F.array_join(F.transform("_fs_seen", piece), ""), F.element_at("_fs_pieces", -1))
-    return work.withColumn(text_col, F.when(F.col("_fs_hit"), rebuilt).otherwise(text)).select(*docs.columns)
+    work = work.withColumn(judged, F.transform(found, seen))
+    rebuilt = F.concat(F.array_join(F.transform(judged, piece), ""), F.element_at(between, -1))
+    return work.withColumn(text_col, F.when(F.col(hit), rebuilt).otherwise(text)).select(*docs.columns)
