@@ -3,7 +3,6 @@
 import random
 import re
 
-import numpy as np
 import pytest
 import xxhash
 
@@ -44,7 +43,7 @@ def _features(c, left, right, path):
         "distinct": len(set(c)) / min(len(c), 40), "dictionary": 1 - len(rest) / len(c), "uuid": find("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", c),
         "repeats": find(r"(.)\1{3}|0123|1234|abcd|ABCD", c), "keyword": find(S.KEYWORDS, left[-30:]), "assigned": find("([=:]|=>|\\bis)\\s*[\"'`]?$", left),
         "quoted": float(bool(re.search("[\"'`]$", left) and re.search("^[\"'`]", right))), "harmless": max(find(S.HARMLESS, left[-40:]), find(S.HARMLESS, right[:20])),
-        "test_path": find(S.TEST_PATH, path), "prefix": find(S.KNOWN_PREFIX, c), "numeric": find(r"^[0-9\-+/]+$", c), "slug": find("^[a-z]+([-_/][a-z0-9]+)+$", c),
+        "test_path": find(S.TEST_PATH, path), "prefix": find(S.KNOWN_PREFIX, c), "numeric": find(r"^[0-9\-+/]+$", c), "url": float(bool(re.search("://[^/@ ]{1,40}:$", left) and re.search("^@", right))), "slug": find("^[a-z]+([-_/][a-z0-9]+)+$", c),
     }
 
 
@@ -110,14 +109,44 @@ def _votes(t):
     return [-1 if bad else 1 if good else 0 for bad, good in rules], n < 10 or 100 * len(twice) > 20 * n
 
 
-def _kept_by_quality(texts):
-    """Documents one by one, instead of counts of patterns, go through expectation-maximisation."""
-    from folioscope.llm.quality_rules import fit
+RULES = ("symbols", "duplicate_lines", "word_length", "shouting", "repetition", "exclamation", "digits", "sentences")
+
+
+def posteriors(votes):
+    """Probability of good for each document, by expectation-maximisation over documents one by one in plain Python."""
+    from math import exp, log
+
+    from folioscope.llm import quality_rules as Q
+
+    n, out = len(votes), [1.0] * len(votes)
+    for names in Q.GROUPS.values():
+        rows = [[v[RULES.index(x)] for x in names] for v in votes]
+        share, hit, alarm = Q.START_SHARE, [Q.START_HIT] * len(names), [Q.START_ALARM] * len(names)
+        k = Q.ANCHOR * n + 1
+        for _ in range(1000):
+            spoilt = []
+            for row in rows:
+                odds = log(share / (1 - share))
+                for j, vote in enumerate(row):
+                    odds += log(hit[j] / alarm[j]) if vote < 0 else log((1 - hit[j]) / (1 - alarm[j])) if vote > 0 else 0.0
+                spoilt.append(1 - 1 / (1 + exp(odds)))
+            before = (share, *hit, *alarm)
+            share = (sum(spoilt) + k * Q.START_SHARE) / (n + k)
+            for j in range(len(names)):
+                said = [(q, row[j]) for q, row in zip(spoilt, rows, strict=True) if row[j]]
+                clean, dirty = sum(1 - q for q, _ in said), sum(q for q, _ in said)
+                alarm[j] = min(0.3, max(1e-5, (sum(1 - q for q, v in said if v < 0) + k * Q.START_ALARM) / (clean + k)))
+                hit[j] = (sum(q for q, v in said if v < 0) + k * Q.HIT_WEIGHT * Q.START_HIT) / (dirty + k * Q.HIT_WEIGHT)
+                hit[j] = min(1 - 1e-5, max(0.05, hit[j], 2 * alarm[j]))
+            if max(abs(x - y) for x, y in zip(before, (share, *hit, *alarm), strict=True)) < 1e-13:
+                break
+        out = [p * (1 - q) for p, q in zip(out, spoilt, strict=True)]
+    return out
 
+
+def _kept_by_quality(texts):
     votes = [_votes(t) for t in texts]
-    numbers = np.array([int("".join(str(x + 1) for x in v), 3) for v, _ in votes])
-    post, _ = fit(numbers, np.ones(len(texts)))
-    return [not failed and p >= 0.5 for (_, failed), p in zip(votes, post, strict=True)]
+    return [not failed and p >= 0.5 for (_, failed), p in zip(votes, posteriors([v for v, _ in votes]), strict=True)]
 
 
 def _fingerprint(t):
@@ -184,7 +213,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
 
 #: Names that operators use themselves; all are extra columns of the odd table.
-CLASHES = ("id", "row", "path", "finding", "start", "score", "kept", "keep_id", "group_size", "fingerprint", "component_id", "n_words", "places", "piece", "ids", "length", "print", "exact_dedup", "quality_rules", "bucket", "s", "q", "left", "word", "key", "count", "out", "node", "page_id")
+CLASHES = ("id", "row", "path", "finding", "start", "score", "kept", "keep_id", "group_size", "fingerprint", "component_id", "n_words", "places", "piece", "ids", "length", "print", "exact_dedup", "quality_rules", "bucket", "s", "q", "left", "word", "key", "count", "out", "node", "page_id", "_fs_prefix", "_fs_hit", "_fs_pattern", "_fs_row", "_fs_id", "quality", "exact", "_fs_seen")
 
 
 @pytest.fixture(scope="module")
