@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import free_name
 from folioscope.llm.exact_dedup import exact_dedup
 from folioscope.llm.packing import pack, token_pieces
 from folioscope.llm.quality_rules import quality_rules
@@ -25,12 +26,14 @@ SEQUENCE_TOKENS = 4096
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' posterior rejects go."""
-    return quality_rules(docs, out="_fs_quality").where(F.col("_fs_quality.kept")).select(*docs.columns)
+    out = free_name(docs.columns, "quality")
+    return quality_rules(docs, out=out).where(F.col(out)["kept"]).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays, that with the largest id."""
-    return exact_dedup(docs, keep="largest", carry=True, out="_fs_exact").where(F.col("_fs_exact.kept")).select(*docs.columns)
+    out = free_name(docs.columns, "exact")
+    return exact_dedup(docs, keep="largest", carry=True, out=out).where(F.col(out)["kept"]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
