@@ -1,8 +1,12 @@
-"""Facts of a page that need its element tree: one parse per page, in one Arrow UDF."""
+"""Facts of a page that need its element tree: one parse per page, in one Arrow UDF.
+
+Nothing here recurses, so a page may nest as deeply as it likes.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -14,11 +18,9 @@ from pyspark.sql import functions as F
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HIDDEN = {"script", "style", "template"}
 BLOCKS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "table", "pre"}
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LISTS = {"ul", "ol"}
-#: Children that are no prose.
-NO_PROSE = {"ac:adf-extension", "ac:image", "ac:structured-macro", "figure", "table", "nav", "header", "footer", "aside"}
-FALLBACK, MACRO, LINK_FLAG = "ac:adf-fallback", "ac:structured-macro", re.compile(r"\[\[link to:\s+(~[A-Za-z0-9]+|[A-Z0-9]+):(.*?)\]\]", re.DOTALL)
+CELL, FALLBACK, MACRO, WIKI_LINK = "ac:layout-cell", "ac:adf-fallback", "ac:structured-macro", "ac:link"
+LINK_FLAG = re.compile(r"\[\[link to:\s+(~[A-Za-z0-9]+|[A-Z0-9]+):(.*?)\]\]", re.DOTALL)
 
 
 class Node:
@@ -28,6 +30,7 @@ class Node:
         self.name, self.attrs, self.parent, self.children = name, attrs or {}, parent, []
 
     def walk(self) -> Iterator[Node]:
+        """All elements below this one, in document order."""
         stack = list(reversed(self.children))
         while stack:
             x = stack.pop()
@@ -38,17 +41,18 @@ class Node:
     def find_all(self, *names: str) -> list[Node]:
         return [x for x in self.walk() if x.name in names]
 
-    def strings(self) -> Iterator[str]:
+    def strings(self, without: frozenset[str] | set[str] = frozenset(HIDDEN)) -> Iterator[str]:
+        """Visible text in document order, but for what is in elements named ``without``."""
         stack = list(reversed(self.children))
         while stack:
             x = stack.pop()
             if isinstance(x, str):
                 yield x
-            elif x.name not in HIDDEN:
+            elif x.name not in without:
                 stack.extend(reversed(x.children))
 
-    def text(self, separator: str = " ") -> str:
-        return separator.join(s for s in (x.strip() for x in self.strings()) if s)
+    def text(self, separator: str = " ", without: frozenset[str] | set[str] = frozenset(HIDDEN)) -> str:
+        return separator.join(s for s in (x.strip() for x in self.strings(without)) if s)
 
     def words(self) -> list[str]:
         return self.text().split()
@@ -61,14 +65,23 @@ class Node:
             at = at.parent
         return False
 
-    def remove(self) -> None:
-        if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-
     def html(self) -> str:
-        attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in self.attrs.items())
-        inner = "".join(c if isinstance(c, str) else c.html() for c in (escape(c, False) if isinstance(c, str) else c for c in self.children))
-        return f"<{self.name}{attrs}/>" if self.name in VOID else f"<{self.name}{attrs}>{inner}</{self.name}>"
+        """Markup of this element."""
+        out: list[str] = []
+        stack: list[Node | str] = [self]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                out.append(x)
+                continue
+            attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in x.attrs.items())
+            if x.name in VOID:
+                out.append(f"<{x.name}{attrs}/>")
+                continue
+            out.append(f"<{x.name}{attrs}>")
+            stack.append(f"</{x.name}>")
+            stack.extend(escape(c, False) if isinstance(c, str) else c for c in reversed(x.children))
+        return "".join(out)
 
 
 class _Tree(HTMLParser):
@@ -77,22 +90,26 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("[document]")
+        self.open: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Node(tag, dict(attrs), self.at))
 
     def handle_endtag(self, tag):
-        at = self.at
-        while at is not self.root and at.name != tag:
-            at = at.parent
-        if at is not self.root:
-            self.at = at.parent
+        if not self.open.get(tag):
+            return
+        while True:
+            closed, self.at = self.at, self.at.parent
+            self.open[closed.name] -= 1
+            if closed.name == tag:
+                return
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -110,10 +127,12 @@ def parse(html: str) -> Node:
 
 
 _AC_LINK = re.compile(r"<ac:link\b[^>]*>.*?</ac:link>", re.DOTALL)
+#: Element that ``flag_links`` adds; only the plain text shows what it holds.
+FLAG = "fs:flag"
 
 
 def flag_links(html: str, space_key: str | None) -> str:
-    """After each wiki link with a title a readable flag with its space and title."""
+    """After each wiki link with a title a readable flag with its space and title, in an element of its own."""
 
     def flagged(m: re.Match) -> str:
         title = re.search(r'ri:content-title="([^"]+)"', m[0])
@@ -121,63 +140,121 @@ def flag_links(html: str, space_key: str | None) -> str:
             return m[0]
         space = re.search(r'ri:space-key="([^"]+)"', m[0])
         key = space[1] if space else space_key
-        return f"{m[0]}[[link to: {key + ':' if key else ''}{title[1]}]]"
+        return f"{m[0]}<{FLAG}>[[link to: {key + ':' if key else ''}{title[1]}]]</{FLAG}>"
 
     return _AC_LINK.sub(flagged, html)
 
 
+#: What holds no text of the page itself.
+_NO_FLAGS = frozenset({*HIDDEN, FLAG})
+
+
 def _macro(node: Node) -> str | None:
     return node.attrs.get("ac:name") if node.name == MACRO else None
 
 
-def _clean(root: Node) -> Node:
-    for x in root.find_all(FALLBACK):
-        x.remove()
-    for x in root.find_all(MACRO):
-        if _macro(x) == "excerpt-include":
-            page = x.find_all("ri:page")
-            title = page[0].attrs.get("ri:content-title", "Unknown page") if page else "Unknown page"
-            mark = Node("p", {}, x.parent)
-            mark.children.append(f"[[Excerpt from: {title}]]")
-            x.parent.children = [mark if c is x else c for c in x.parent.children]
-    return root
+def _excerpt_mark(node: Node) -> str:
+    page = next((x for x in node.walk() if x.name == "ri:page"), None)
+    title = page.attrs.get("ri:content-title", "Unknown page") if page else "Unknown page"
+    return f"[[Excerpt from: {title}]]"
 
 
-def plain_text(html: str, space_key: str | None) -> tuple[str, int]:
+def _shown(block: Node) -> str:
+    """Text of a block as displayed: fallbacks left out, included excerpts named, link flags kept."""
+    out: list[str] = []
+    stack: list[Node | str] = list(reversed(block.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x.strip())
+        elif _macro(x) == "excerpt-include":
+            out.append(_excerpt_mark(x))
+        elif x.name == FLAG:  # what follows a flag at once is one text with it
+            out.append((x.text("") + (stack.pop() if x.parent.children[-1] is not x and isinstance(stack[-1], str) else "")).strip())
+        elif x.name not in HIDDEN and x.name != FALLBACK:
+            stack.extend(reversed(x.children))
+    return " ".join(x for x in out if x)
+
+
+def clean_html(html: str) -> str:
+    """Markup without fallbacks, with a paragraph for each included excerpt, and without elements that show no text."""
+    root = parse(html)
+    order = [root, *root.walk()]
+    for x in reversed(order):  # what is inside comes before what it is in
+        kept: list[Node | str] = []
+        for c in x.children:
+            if isinstance(c, Node) and _macro(c) == "excerpt-include":
+                mark = Node("p", {}, x)
+                mark.children.append(_excerpt_mark(c))
+                c = mark
+            if isinstance(c, str) or (c.name != FALLBACK and c.name not in HIDDEN and any(not isinstance(y, str) or y.strip() for y in c.children)):
+                kept.append(c)
+        if _macro(x) != "excerpt-include":
+            x.children = kept
+    return "".join(escape(c, False) if isinstance(c, str) else c.html() for c in root.children)
+
+
+def _blocks(root: Node) -> Iterator[tuple[str, Node]]:
+    """Outermost blocks, and included excerpts outside of them, in document order."""
+    stack = [c for c in reversed(root.children) if isinstance(c, Node)]
+    while stack:
+        x = stack.pop()
+        if x.name == FALLBACK:
+            continue
+        if x.name in BLOCKS or _macro(x) == "excerpt-include":
+            yield x.name, x
+        else:
+            stack.extend(c for c in reversed(x.children) if isinstance(c, Node))
+
+
+def _plain_text(root: Node) -> tuple[str, int]:
     """Display text, a line per outermost block and each line once, and the words in it without flags."""
-    if not html:
-        return "", 0
     lines: dict[str, str] = {}
-    for block in _clean(parse(flag_links(html, space_key))).find_all(*BLOCKS):
-        if block.inside(BLOCKS):
-            continue
-        text = block.text()
-        if not text:
+    for name, block in _blocks(root):
+        text = _excerpt_mark(block) if name == MACRO else _shown(block)
+        if not text:  # a block without visible text, which includes all that its tags hold, is no line
             continue
-        shown = f"[[Heading: {text}]]" if block.name in ("h1", "h2") else f"- {text}" if block.name == "li" else text
+        shown = f"[[Heading: {text}]]" if name in ("h1", "h2") else f"- {text}" if name == "li" else text
         lines.setdefault(shown.strip(), text)
     return "\n".join(lines), sum(len(LINK_FLAG.sub("", t).split()) for t in lines.values())
 
 
+def plain_text(html: str, space_key: str | None) -> tuple[str, int]:
+    return _plain_text(parse(flag_links(html, space_key))) if html else ("", 0)
+
+
 def _prose(root: Node) -> Iterator[list[Node]]:
-    """Units of prose: a paragraph with the lists right after it, or a list on its own."""
-    fallback = {FALLBACK}
-    for parent in root.find_all("ac:layout-cell") or [root]:
-        nodes, i = [c for c in parent.children if isinstance(c, Node)], 0
-        while i < len(nodes):
-            x, i = nodes[i], i + 1
-            if x.name in LISTS and not x.inside(fallback):
-                if x.text():
-                    yield [x]
-            elif x.name == "p" and x.name not in NO_PROSE:
-                n = len(x.text("").split())
-                if n < 2 or (n < 5 and x.find_all("ac:image", MACRO)) or x.inside(LISTS) or x.inside(fallback):
-                    continue
-                unit = [x]
-                while i < len(nodes) and nodes[i].name in LISTS and not nodes[i].inside(fallback):
-                    unit.append(nodes[i])
-                    i += 1
+    """Units of prose among the direct children of layout cells, or of the page if it has none.
+
+    A unit is a paragraph that says something with the lists that follow it at once, or a list with text that
+    follows no such paragraph.  Nothing inside a fallback is prose.
+    """
+    cells = [c for c in root.find_all(CELL)] or [root]
+    for cell in cells:
+        if cell.name == FALLBACK or cell.inside({FALLBACK}):
+            continue
+        nested = cell.inside(LISTS)
+        unit: list[Node] = []
+        for x in cell.children:
+            if not isinstance(x, Node) or x.name == FLAG:
+                continue
+            if x.name in LISTS and unit and unit[0].name == "p":
+                unit.append(x)
+                continue
+            if unit:
                 yield unit
+            unit = []
+            if x.name in LISTS:
+                unit = [x] if x.text("", _NO_FLAGS) else []
+                if unit:
+                    yield unit
+                unit = []
+            elif x.name == "p" and not nested:
+                n = len(x.text("", _NO_FLAGS).split())
+                if n >= 5 or (n >= 2 and not any(y.name in ("ac:image", MACRO) for y in x.walk())):
+                    unit = [x]
+        if unit:
+            yield unit
 
 
 def link_count(html: str) -> int:
@@ -192,18 +269,77 @@ FACTS = (
 )
 
 
+def _words(x: Node) -> int:
+    return len(x.text(" ", _NO_FLAGS).split())
+
+
+class _Sums:
+    """Running sums over a tree in document order, so that what an element holds is a difference of two.
+
+    Elements may nest in one another without an end, so their texts are not gathered one by one.
+    """
+
+    def __init__(self, root: Node):
+        self.users, self.words = [0], [0]
+        self.nodes: dict[int, list[int]] = {}
+        self.outside_words = self.outside_images = self.outside_diagrams = 0
+        texts: list[str] = []
+        tables = hidden = 0
+        stack: list[tuple[Node | str, bool]] = [(root, False)]
+        while stack:
+            x, closing = stack.pop()
+            if isinstance(x, str):
+                text = x.strip()
+                if text and not hidden:
+                    n = len(text.split())
+                    texts.append(text)
+                    self.words.append(self.words[-1] + n)
+                    self.outside_words += 0 if tables else n
+            elif closing:
+                self.nodes[id(x)][2:] = [len(texts), len(self.users) - 1]
+                tables -= x.name == "table"
+                hidden -= x.name in _NO_FLAGS
+            else:
+                self.nodes[id(x)] = [len(texts), len(self.users) - 1, 0, 0]
+                tables += x.name == "table"
+                hidden += x.name in _NO_FLAGS
+                self.users.append(self.users[-1] + (x.name == "ri:user"))
+                if not tables:
+                    self.outside_images += x.name == "ac:image"
+                    self.outside_diagrams += _macro(x) == "drawio"
+                stack.append((x, True))
+                stack.extend((c, False) for c in reversed(x.children))
+        joined, begin = " ".join(texts), [0]
+        for t in texts:
+            begin.append(begin[-1] + len(t) + 1)
+        self.begin, self.found = begin, [m.span() for m in _MINUTES.finditer(joined)]
+        self.first = [a for a, _ in self.found]
+
+    def cell(self, x: Node) -> int:
+        """Words of a cell, whose strings are joined without a blank, and mentions in it."""
+        a, u, b, v = self.nodes[id(x)]
+        return self.words[b] - self.words[a] - max(b - a - 1, 0) + self.users[v] - self.users[u]
+
+    def minutes_in(self, x: Node) -> int:
+        a, _, b, _ = self.nodes[id(x)]
+        low, high = bisect_left(self.first, self.begin[a]), bisect_left(self.first, self.begin[b])
+        return high - low - (high > low and self.found[high - 1][1] >= self.begin[b])
+
+
 def facts(html: str | None, space_key: str | None) -> dict:
-    html = html or ""
-    root = parse(html)
-    text, words = plain_text(html, space_key)
+    """All facts of a page from one parse, of the markup with link flags."""
+    root = parse(flag_links(html or "", space_key))
+    text, words = _plain_text(root) if html else ("", 0)
     units = list(_prose(root))
-    lead = "".join(x.html() for x in units[0]) if units else None
-    tables = root.find_all("table")
-    cells = [len(c.text("").split()) + len(c.find_all("ri:user")) for c in root.find_all("td")]
-    macros = root.find_all(MACRO)
+    lead = _without_flags("".join(x.html() for x in units[0])) if units else None
+    by_name: dict[str, list[Node]] = {}
+    for x in root.walk():
+        by_name.setdefault(x.name, []).append(x)
+    tables, macros = by_name.get("table", []), by_name.get(MACRO, [])
+    sums = _Sums(root)
     code = [m for m in macros if _macro(m) == "code"]
-    bodies = [b[0].text("\n") for b in (m.find_all("ac:plain-text-body") for m in code) if b]
-    param = lambda m: next((p.text() for p in m.find_all("ac:parameter") if p.attrs.get("ac:name") == "name"), None)
+    bodies = [b[0].text("\n", _NO_FLAGS) for b in (m.find_all("ac:plain-text-body") for m in code) if b]
+    param = lambda m: next((p.text(" ", _NO_FLAGS) for p in m.find_all("ac:parameter") if p.attrs.get("ac:name") == "name"), None)
     sources = [{"type": "navbox" if any(_macro(x) == "contentbylabel" for x in m.find_all(MACRO)) else "excerpt", "name": param(m) or "UNNAMED"} for m in macros if _macro(m) == "excerpt"]
     includes = []
     for m in macros:
@@ -211,18 +347,22 @@ def facts(html: str | None, space_key: str | None) -> dict:
         if page:
             includes.append({"name": param(m) or "UNNAMED", "title": page[0].attrs.get("ri:content-title"), "space_key": page[0].attrs.get("ri:space-key")})
     headers = root.find_all("h1", "h2")
-    minutes = sum(len(_MINUTES.findall(t.text())) for t in tables)
-    titles = ",".join(h.text("") for h in headers)
-    for t in tables:
-        t.remove()
     return {
-        "plain_text": text, "word_count": words, "lead_para": lead, "lead_words": sum(len(x.words()) for x in units[0]) if units else 0, "lead_links": link_count(lead) if lead else 0,
-        "paragraphs": [sum(len(x.words()) for x in u) for u in units], "header_count": len(headers), "header_titles": titles, "minutes_in_tables": minutes,
-        "words_outside_tables": len(root.words()), "images_outside_tables": len(root.find_all("ac:image")), "diagrams_outside_tables": sum(_macro(m) == "drawio" for m in root.find_all(MACRO)),
-        "cells": cells, "code_blocks": len(code), "code_lines": sum(len(b.splitlines()) for b in bodies), "sources": sources, "includes": includes,
+        "plain_text": text, "word_count": words, "lead_para": lead, "lead_words": sum(map(_words, units[0])) if units else 0, "lead_links": link_count(lead) if lead else 0,
+        "paragraphs": [sum(map(_words, u)) for u in units], "header_count": len(headers), "header_titles": ",".join(h.text("", _NO_FLAGS) for h in headers),
+        "minutes_in_tables": sum(map(sums.minutes_in, tables)),
+        "words_outside_tables": sums.outside_words, "images_outside_tables": sums.outside_images, "diagrams_outside_tables": sums.outside_diagrams,
+        "cells": [sums.cell(c) for c in by_name.get("td", [])], "code_blocks": len(code), "code_lines": sum(len(b.splitlines()) for b in bodies), "sources": sources, "includes": includes,
     }
 
 
+_FLAG_MARKUP = re.compile(f"<{FLAG}>.*?</{FLAG}>", re.DOTALL)
+
+
+def _without_flags(html: str) -> str:
+    return _FLAG_MARKUP.sub("", html)
+
+
 def _facts_of(html: pd.Series, space_key: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([facts(h, k) for h, k in zip(html, space_key, strict=True)], columns=[x.split()[0] for x in _top_fields()])
 

@@ -1,8 +1,13 @@
 """A paginated REST source, readable by ``spark.read.format("wiki_rest")``; JSON files can stand for the server.
 
-Options: ``root`` (an URL, or a folder with a file per endpoint page), ``endpoints`` (comma-separated, one
-partition each), ``fields`` (of each result, as dotted paths), ``limit``.  The token comes from the
-environment of the executors, named by ``token_env``, and is never in options, plans or messages.
+Options: ``root`` (an URL, or a folder with a file per endpoint page), ``endpoints`` (comma-separated),
+``fields`` (of each result, as dotted paths), ``limit``, ``most`` (results of an endpoint, for samples; all
+if absent), ``missing`` (``error``, or ``skip`` for endpoints that may be gone) and ``partitions`` (endpoints are
+dealt to that many; one each if absent).  The token comes from the environment of the executors, named by
+``token_env``, and is never in options, plans or messages.
+
+A read is complete or fails: only a missing endpoint under ``skip`` is passed over, any other failed request
+is tried again and then raises, so Spark runs the task anew or ends the job.
 """
 
 from __future__ import annotations
@@ -10,52 +15,85 @@ from __future__ import annotations
 import json
 import os
 import time
+import urllib.error
 import urllib.request
-from collections.abc import Iterator
-from urllib.parse import parse_qs, urlparse
+from collections.abc import Iterable, Iterator
+from urllib.parse import parse_qs, quote, urlencode, urlparse
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-PAUSE_SECONDS, TIMEOUT_SECONDS, MOST_ITEMS = 0.03, 30, 100_000
+PAUSE_SECONDS, TIMEOUT_SECONDS, TRIES = 0.03, 30, 4
+#: Ids in one request for page bodies.
+BODIES_AT_ONCE = 25
 
 
-class _Endpoint(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+class Missing(Exception):
+    """The server (or folder) has no such endpoint."""
 
 
-def _get(root: str, endpoint: str, cursor: str | None, limit: int, token: str | None) -> dict | None:
-    if not root.startswith("http"):
-        path = f"{root}/{endpoint.replace('/', '_')}{'.' + cursor if cursor else ''}.json"
+class _Endpoints(InputPartition):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+def replay_file(endpoint: str, cursor: str | None = None) -> str:
+    """Name of the file that stands for a page of an endpoint."""
+    return quote(endpoint, safe="").replace("%2F", "_") + (f".{quote(cursor, safe='')}" if cursor else "") + ".json"
+
+
+def _request(url: str, token: str | None) -> dict:
+    request = urllib.request.Request(url, headers={"Authorization": f"Bearer {token}"} if token else {})
+    for attempt in range(TRIES):
+        try:
+            with urllib.request.urlopen(request, timeout=TIMEOUT_SECONDS) as r:
+                return json.load(r)
+        except urllib.error.HTTPError as e:
+            if e.code in (404, 410):
+                raise Missing(url) from None
+            if attempt + 1 == TRIES or (e.code < 500 and e.code != 429):
+                raise OSError(f"HTTP {e.code} from {url}") from None
+        except OSError as e:
+            if attempt + 1 == TRIES:
+                raise OSError(f"no answer from {url}: {type(e).__name__}") from None
+        time.sleep(2**attempt)
+    raise AssertionError
+
+
+def _get(root: str, endpoint: str, cursor: str | None, limit: int, token: str | None) -> dict:
+    if not root.startswith(("http://", "https://")):
+        path = os.path.join(root, replay_file(endpoint, cursor))
         if not os.path.exists(path):
-            return None
+            raise Missing(path)
         with open(path, encoding="utf-8") as f:
             return json.load(f)
-    url = f"{root.rstrip('/')}/{endpoint}?limit={limit}{'&cursor=' + cursor if cursor else ''}"
-    request = urllib.request.Request(url, headers={"Authorization": f"Bearer {token}"} if token else {})
-    try:
-        with urllib.request.urlopen(request, timeout=TIMEOUT_SECONDS) as r:
-            return json.load(r)
-    except OSError:
-        return None
-
-
-def pages_of(root: str, endpoint: str, limit: int = 50, most: int = MOST_ITEMS, token: str | None = None) -> Iterator[dict]:
-    """Results of all pages of an endpoint; a failed page ends it."""
-    cursor, n = None, 0
-    while n < most:
-        page = _get(root, endpoint, cursor, limit, token)
-        if not page:
-            return
+    more = {"limit": limit} | ({"cursor": cursor} if cursor else {})
+    return _request(f"{root.rstrip('/')}/{endpoint}{'&' if '?' in endpoint else '?'}{urlencode(more)}", token)
+
+
+def pages_of(root: str, endpoint: str, limit: int = 50, most: int | None = None, token: str | None = None) -> Iterator[dict]:
+    """Results of all pages of an endpoint.  ``Missing`` if it does not exist; a lost later page is an error."""
+    cursor, n, seen = None, 0, set()
+    while True:
+        try:
+            page = _get(root, endpoint, cursor, limit, token)
+        except Missing as e:
+            if cursor is None:
+                raise
+            raise OSError(f"a page of {endpoint} is lost: {e}") from None
         for item in page.get("results", []):
+            if most is not None and n >= most:
+                return
             yield item
             n += 1
-            if n >= most:
-                return
         after = (page.get("_links") or {}).get("next")
         if not after:
             return
         cursor = parse_qs(urlparse(after).query).get("cursor", [None])[0]
+        if not cursor or cursor in seen:
+            raise OSError(f"{endpoint} does not go on after {n} results")
+        seen.add(cursor)
         if root.startswith("http"):
             time.sleep(PAUSE_SECONDS)
 
@@ -69,15 +107,25 @@ def _field(item: dict, path: str):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
+        if self.options.get("missing", "error") not in ("error", "skip"):
+            raise ValueError(f"missing: {self.options['missing']}")
 
-    def partitions(self) -> list[_Endpoint]:
-        return [_Endpoint(e.strip()) for e in self.options["endpoints"].split(",")]
+    def partitions(self) -> list[_Endpoints]:
+        names = [e.strip() for e in self.options["endpoints"].split(",") if e.strip()]
+        n = min(len(names), int(self.options.get("partitions", len(names))))
+        return [_Endpoints(names[i::n]) for i in range(n)]
 
-    def read(self, partition: _Endpoint):
-        fields = self.options["fields"].split(",")
+    def read(self, partition: _Endpoints):
+        fields = [f.strip() for f in self.options["fields"].split(",")]
         token = os.environ.get(self.options.get("token_env", ""))
-        for item in pages_of(self.options["root"], partition.name, int(self.options.get("limit", 50)), token=token):
-            yield (partition.name, *(_field(item, f.strip()) for f in fields))
+        most = self.options.get("most")
+        for name in partition.names:
+            try:
+                for item in pages_of(self.options["root"], name, int(self.options.get("limit", 50)), None if most is None else int(most), token):
+                    yield (name, *(_field(item, f) for f in fields))
+            except Missing:
+                if self.options.get("missing", "error") == "error":
+                    raise
 
 
 class WikiRest(DataSource):
@@ -90,3 +138,73 @@ class WikiRest(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
+
+
+def read(spark: SparkSession, root: str, endpoints: Iterable[str], fields: str, **options) -> DataFrame:
+    """The results of endpoints as strings, a column per field."""
+    spark.dataSource.register(WikiRest)
+    reader = spark.read.format("wiki_rest").option("root", root).option("endpoints", ",".join(endpoints)).option("fields", fields)
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
+    return reader.load()
+
+
+def _last(column: str, mark: str, upto: str | None = None) -> F.Column:
+    found = F.substring_index(column, mark, -1)
+    return found if upto is None else F.substring_index(found, upto, 1)
+
+
+def listed_pages(spark: SparkSession, root: str, space_ids: Iterable[str], **options) -> DataFrame:
+    """``id, version, space_id, tiny_link`` of the current pages of spaces."""
+    rows = read(spark, root, [f"spaces/{s}/pages" for s in space_ids], "id,version.number,spaceId,_links.tinyui,status", **options)
+    return rows.where("status = 'current' or status is null").select("id", F.col("version_number").cast("int").alias("version"), F.col("spaceId").alias("space_id"), F.col("_links_tinyui").alias("tiny_link"))
+
+
+def batches(ids: Iterable[str], size: int = BODIES_AT_ONCE) -> list[str]:
+    """Endpoints that fetch page bodies by lists of ids; the ids are separated by ``%2C``, a comma."""
+    ids = list(dict.fromkeys(ids))
+    return [f"pages?body-format=storage&id={'%2C'.join(ids[i : i + size])}" for i in range(0, len(ids), size)]
+
+
+def page_bodies(spark: SparkSession, root: str, ids: Iterable[str], size: int = BODIES_AT_ONCE, **options) -> DataFrame:
+    """``id, title, version, last_modified, html``; ids that are gone give no row."""
+    rows = read(spark, root, batches(ids, size), "id,title,version.number,version.createdAt,body.storage.value", **({"missing": "skip"} | options))
+    return rows.select("id", "title", F.col("version_number").cast("int").alias("version"), F.col("version_createdAt").alias("last_modified"), F.col("body_storage_value").alias("html"))
+
+
+def children(spark: SparkSession, root: str, ids: Iterable[str], **options) -> DataFrame:
+    """``id, child``; a page that is gone has no children."""
+    rows = read(spark, root, [f"pages/{i}/children" for i in ids], "id", **({"missing": "skip"} | options))
+    return rows.select(_last("endpoint", "pages/", "/children").alias("id"), F.col("id").alias("child"))
+
+
+def child_lists(found: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, child_list`` for all of ``ids``: sorted, empty where there are none."""
+    per = found.groupBy("id").agg(F.sort_array(F.collect_set("child")).alias("child_list"))
+    return ids.select("id").join(per, "id", "left").select("id", F.coalesce("child_list", F.array().cast("array<string>")).alias("child_list"))
+
+
+def versions(spark: SparkSession, root: str, ids: Iterable[str], **options) -> DataFrame:
+    """``id, pos, author_id``: the authors of a page's versions in the order that the server gives."""
+    rows = read(spark, root, [f"pages/{i}/versions" for i in ids], "authorId,number", **({"missing": "skip"} | options))
+    return rows.select(_last("endpoint", "pages/", "/versions").alias("id"), (-F.col("number").cast("long")).alias("pos"), F.col("authorId").alias("author_id"))
+
+
+def users(spark: SparkSession, root: str, ids: Iterable[str], size: int = BODIES_AT_ONCE, **options) -> DataFrame:
+    """``author_id, name, display_name, email`` of accounts."""
+    ids = list(dict.fromkeys(ids))
+    found = [f"users-bulk?accountId={'%2C'.join(ids[i : i + size])}" for i in range(0, len(ids), size)]
+    rows = read(spark, root, found, "accountId,publicName,displayName,email", **({"missing": "skip"} | options))
+    return rows.select(F.col("accountId").alias("author_id"), F.col("publicName").alias("name"), F.col("displayName").alias("display_name"), "email")
+
+
+def labels(spark: SparkSession, root: str, space_ids: Iterable[str], **options) -> DataFrame:
+    """``id, label, space_id`` of the labels in use in spaces."""
+    rows = read(spark, root, [f"spaces/{s}/content/labels" for s in space_ids], "id,name", **options)
+    return rows.select("id", F.col("name").alias("label"), _last("endpoint", "spaces/", "/content").alias("space_id"))
+
+
+def label_pages(spark: SparkSession, root: str, label_ids: Iterable[str], **options) -> DataFrame:
+    """``id, label_id`` of the current pages with a label; a label that is gone has none."""
+    rows = read(spark, root, [f"labels/{i}/pages" for i in label_ids], "id,status", **({"missing": "skip"} | options))
+    return rows.where("status = 'current' or status is null").select("id", _last("endpoint", "labels/", "/pages").alias("label_id"))
