@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LEAD_LINKS, LEAD_WORDS, STUB_WORDS
@@ -55,6 +55,7 @@ LOG_DIVISORS = {
     "b_performance": 5, "b_anti_release": 3, "b_anti_performance": 3,
 }
 DIVISORS = {"code_blocks": 4, "code_blocks_lines": 71}
+LEXICAL = ("lexic_jargon_share", "lexic_rare_words_share", "lexic_topical_focus")
 CONSTANT = ("metric_flags", "diagram_outside_tables")
 
 
@@ -66,8 +67,8 @@ def scale(key: str, value: Column) -> Column:
     return value.cast("double") / F.lit(float(DIVISORS.get(key, 1)))
 
 
-def raw_signals(html: Column, title: Column, plain_text: Column, word_count: Column, child_list: Column, dom: Column, base_url: str = "https://wiki.example/", repo_url: str = "repo.example", zipf: Column | None = None) -> dict[str, Column]:
-    """Each signal from a page's columns, its ``dom`` facts and, for the lexical ones, a map of word frequencies."""
+def raw_signals(html: Column, title: Column, plain_text: Column, word_count: Column, child_list: Column, dom: Column, base_url: str = "https://wiki.example/", repo_url: str = "repo.example", lexical: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Each signal from a page's columns, its ``dom`` facts and, for the lexical ones, their columns; these are zero without them."""
     html = F.coalesce(html, F.lit(""))
     words = F.coalesce(word_count, F.lit(0))
     macro = lambda name: F.regexp_count(html, F.lit(f'<ac:structured-macro ac:name="{name}"'))
@@ -91,7 +92,7 @@ def raw_signals(html: Column, title: Column, plain_text: Column, word_count: Col
         "child_count": F.coalesce(F.size(child_list), F.lit(0)), "table_count": n("<table>"), "minutes_in_tables": dom["minutes_in_tables"],
         "word_count_outside_tables": dom["words_outside_tables"], "diagram_outside_tables": dom["diagrams_outside_tables"], "img_outside_tables": dom["images_outside_tables"],
         "sig_table_has_cells": F.size(cells) > 0, "sig_cell_share_low_words": part(of(cells, lambda x: x < 5), cells), "sig_cell_share_empty": part(of(cells, lambda x: x == 0), cells),
-        "sig_table_long_cell": of(cells, lambda x: x > 100), "sig_cell_many": F.size(cells) > 40, **_lexical(plain_text, zipf),
+        "sig_table_long_cell": of(cells, lambda x: x > 100), "sig_cell_many": F.size(cells) > 40, **(lexical or {k: F.lit(0.0) for k in LEXICAL}),
         "macro_toc": macro("toc"), "macro_jira_query": html.contains(base_url + "issues/?jql=project") & html.contains("data-card-appearance="),
         "macro_struct_total": panels + expand + excerpts, "macro_panels": panels, "macro_expandables": expand, "macro_excerpts": excerpts,
         "macro_decisions": macro("decisionreport") > 0, "macro_children": macro("children") > 0, "code_blocks": dom["code_blocks"], "code_blocks_lines": dom["code_lines"],
@@ -102,19 +103,8 @@ def raw_signals(html: Column, title: Column, plain_text: Column, word_count: Col
     return {k: F.when(full, out[k].cast("double")).otherwise(0.0) for k in SIGNAL_KEYS}
 
 
-def _lexical(text: Column, zipf: Column | None) -> dict[str, Column]:
-    """Shares of tokens by a frequency map (word to Zipf value); zero without one."""
-    keys = ("lexic_jargon_share", "lexic_rare_words_share", "lexic_topical_focus")
-    if zipf is None:
-        return {k: F.lit(0.0) for k in keys}
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    z = lambda t: F.coalesce(F.element_at(zipf, t), F.lit(0.0))
-    n = lambda items: F.size(items)
-    often = F.filter(F.array_distinct(tokens), lambda t: (z(t) < 4) & (n(F.filter(tokens, lambda u: u == t)) >= 4))
-    part = lambda a: F.when(n(tokens) > 0, a / n(tokens)).otherwise(0.0)
-    return dict(zip(keys, (part(n(F.filter(tokens, lambda t: z(t) < 1.5))), part(n(F.filter(tokens, lambda t: z(t) < 3))), part(n(F.filter(tokens, lambda t: F.array_contains(often, t))))), strict=True))
-
-
-def signal_vectors(raw: dict[str, Column]) -> tuple[Column, Column]:
-    """The raw and the scaled vector as arrays of floats."""
-    return F.array(*(raw[k].cast("float") for k in SIGNAL_KEYS)), F.array(*(scale(k, raw[k]).cast("float") for k in SIGNAL_KEYS))
+def with_vectors(rows: DataFrame, signals: dict[str, Column], raw: str = "raw", scaled: str = "scaled") -> DataFrame:
+    """``rows`` with the raw and the scaled vector as arrays of floats; each signal is computed once."""
+    rows = rows.withColumn(raw, F.array(*(signals[k].cast("double") for k in SIGNAL_KEYS)))
+    rows = rows.withColumn(scaled, F.array(*(scale(k, F.col(raw)[i]).cast("float") for i, k in enumerate(SIGNAL_KEYS))))
+    return rows.withColumn(raw, F.col(raw).cast("array<float>"))

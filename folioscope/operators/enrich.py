@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dom import page_facts
-from ..functions.signals import raw_signals, signal_vectors
+from ..functions.signals import LEXICAL, raw_signals, with_vectors
 from ..functions.text import excerpt_name
 from ..schema import BASE_COLUMNS
+from ..storage import materialise
+from .lexical import STOP_WORDS, lexical_signals, zipf_of
 from .links import FLAG, resolve_links, title_index
 from .stats import eval_notes
 
@@ -25,22 +29,29 @@ def resolve_excerpts(found: DataFrame, index: DataFrame) -> DataFrame:
     return found.select("id").join(per, "id", "left").select("id", F.coalesce("excerpts", F.array().cast("array<struct<type:string,name:string,is_source:boolean,source_id:string>>")).alias("excerpts"))
 
 
-def enrich(base: DataFrame, spaces: DataFrame, base_url: str = "https://wiki.example/") -> DataFrame:
-    """The base columns with text, counts, notes, links, excerpts and signal vectors; each page is parsed once."""
+def enrich(base: DataFrame, spaces: DataFrame, base_url: str = "https://wiki.example/", zipf: DataFrame | None = None, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
+    """The base columns with text, counts, notes, links, excerpts and signal vectors.
+
+    Each page is parsed once, and what was found is written to the shared folder before it is joined with
+    links, excerpts and lexical signals.  ``zipf(word, zipf)`` is a list of word frequencies; without one they are
+    counted in the corpus itself.
+    """
     keyed = base.select(*BASE_COLUMNS).join(spaces.select(F.col("id").alias("space_id"), F.col("short_id").alias("key")), "space_id", "left")
-    parsed = keyed.withColumn("dom", page_facts(F.col("html"), F.col("key")))
+    parsed = materialise(keyed.withColumn("dom", page_facts(F.col("html"), F.col("key"))), "parsed")
     index = title_index(base, spaces)
-    links = resolve_links(parsed.select("id", F.col("dom.plain_text").alias("plain_text")), index)
+    links = materialise(resolve_links(parsed.select("id", F.col("dom.plain_text").alias("plain_text")), index), "links")
     excerpts = resolve_excerpts(parsed.select("id", "key", "dom.sources", "dom.includes"), index)
-    rows = parsed.join(links, "id").join(excerpts, "id")
-    raw = raw_signals(F.col("html"), F.col("title"), F.col("plain_text"), F.col("dom.word_count"), F.col("child_list"), F.col("dom"), base_url)
+    texts = links.select("id", F.col("plain_text").alias("text"))
+    lexical = lexical_signals(texts, materialise(zipf_of(texts), "zipf") if zipf is None else zipf, stop_words)
+    rows = parsed.join(links, "id").join(excerpts, "id").join(lexical, "id")
+    raw = raw_signals(F.col("html"), F.col("title"), F.col("plain_text"), F.col("dom.word_count"), F.col("child_list"), F.col("dom"), base_url, lexical={k: F.col(k) for k in LEXICAL})
+    rows = with_vectors(rows, raw)
     tree = F.col("html").contains('ac:name="children"') | F.col("html").contains('ac:name="pagetree"')
     notes = eval_notes(F.col("dom.word_count"), F.col("dom.header_count"), F.col("html").contains('ac:name="toc"'), F.col("dom.lead_words"), F.col("dom.lead_links"))
-    vectors = signal_vectors(raw)
     return rows.select(
         *BASE_COLUMNS, "plain_text", F.col("dom.lead_para").alias("lead_para"), F.col("dom.word_count").alias("word_count"),
         (F.regexp_count("html", F.lit(r"<ac:link[>\s]")) + F.regexp_count("html", F.lit(r"<a\s+[^>]*href=")) - F.regexp_count("html", F.lit(r"<a\s+[^>]*href\s*=\s*[\"']?mailto:"))).alias("link_count"),
-        F.regexp_count("html", F.lit("</ac:image>")).alias("image_count"), tree.alias("has_link_tree"), notes.alias("eval_notes"), "links_list", "excerpts", vectors[0].alias("raw"), vectors[1].alias("scaled"),
+        F.regexp_count("html", F.lit("</ac:image>")).alias("image_count"), tree.alias("has_link_tree"), notes.alias("eval_notes"), "links_list", "excerpts", "raw", "scaled",
     )
 
 

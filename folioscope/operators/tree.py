@@ -50,8 +50,18 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def descendants(pages: DataFrame, edges: DataFrame, page_id: str, most: int | None = None) -> DataFrame:
-    found = closure(edges).where(F.col("ancestor") == page_id)
-    found = found if most is None else found.where(F.col("distance") <= most)
+    """``descendant, title, distance`` of one page, level by level from it: no other page's subtree is looked at."""
+    spark = edges.sparkSession
+    level = seen = spark.createDataFrame([(page_id, 0)], "id string, distance int")
+    distance = 0
+    while most is None or distance < most:
+        distance += 1
+        below = edges.join(level.select(F.col("id").alias("parent")), "parent").select(F.col("child").alias("id")).distinct()
+        level = materialise(below.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(distance)), "level")
+        if not level.head(1):
+            break
+        seen = seen.unionByName(level)
+    found = seen.where("distance > 0").withColumnRenamed("id", "descendant")
     return found.join(pages.select(F.col("id").alias("descendant"), "title"), "descendant", "left").select("descendant", "title", "distance").orderBy("distance", F.coalesce("title", F.lit("")), "descendant")
 
 
@@ -99,3 +109,13 @@ def scores(nodes: DataFrame, group: str = "space_id") -> DataFrame:
 
 def depth_name(depth) -> F.Column:
     return F.when(depth == 0, "root").when(depth == 1, "top level").when(depth <= 3, "mid level").otherwise("deep")
+
+
+def gems(nodes: DataFrame) -> DataFrame:
+    """The gems among scored nodes, the best first."""
+    return nodes.where("gem").orderBy(F.desc(F.col("importance") + F.col("structural")), "id")
+
+
+def visible_branches(nodes: DataFrame, least: int = 150) -> DataFrame:
+    """Without branches of few words (on average over the subtree) but for roots, which always show."""
+    return nodes.where((F.col("depth") == 0) | (F.col("avg_words") >= least))

@@ -52,6 +52,12 @@ def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "pages").selectExpr(*(f"{e if isinstance(e, str) else e[0]} AS {c}" for c, e in pick.items()))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores dealt out to all of them; larger tables are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {c}" for c, e in LINKS.items()))
 

@@ -174,15 +174,21 @@ def q_cross_space(spark, d):
     return out.select("space_id", "n_self", "n_cross", F.array_join(F.transform(F.array_sort(F.map_entries("by_target")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("targets"))
 
 
-@query("""WITH t AS (SELECT trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title, max(page_id) AS page_id FROM pages GROUP BY 1),
-    f AS (SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN regexp_extract(html, '<title>(.*?)</title>', 1) ELSE 'nowhere' END AS title FROM pages WHERE NOT contains(regexp_extract(html, '<title>(.*?)</title>', 1), ':') AND NOT contains(regexp_extract(html, '<title>(.*?)</title>', 1), ']'))
-    SELECT CAST(id AS STRING) AS id, 'see [[link to: S:' || coalesce(CAST(t.page_id AS STRING), f.title) || ']] end' AS plain_text, 'S:' || coalesce(CAST(t.page_id AS STRING), f.title) AS link FROM f LEFT JOIN t ON t.title = trim(f.title)""")
+_TITLES = """CASE page_id % 10 WHEN 3 THEN 'Part: ' || @ WHEN 6 THEN @ || ']' WHEN 7 THEN 'x]y ' || @ WHEN 9 THEN '] ' || @ ELSE @ END"""
+
+
+@query("""WITH p AS (SELECT page_id, (""" + _TITLES.replace("@", "regexp_extract(html, '<title>(.*?)</title>', 1)") + """) AS title FROM pages), t AS (SELECT trim(title) AS title, max(page_id) AS page_id FROM p GROUP BY 1),
+    f AS (SELECT page_id AS id, CASE WHEN page_id % 4 <> 1 THEN title ELSE 'nowhere' END || ']] end' AS s FROM p), g AS (SELECT id, s, instr(s, ']') AS k FROM f),
+    h AS (SELECT id, s, k, substr(s, k + 1, 1) = ']' AND k > 1 AS flag, substr(s, 1, k - 1) AS title FROM g),
+    r AS (SELECT h.id, s, flag, substr(s, k + 2) AS rest, 'S:' || coalesce(CAST(t.page_id AS STRING), h.title) AS link FROM h LEFT JOIN t ON flag AND t.title = trim(h.title))
+    SELECT CAST(id AS STRING) AS id, 'see [[link to: ' || CASE WHEN flag THEN link || ']]' || rest ELSE 'S:' || s END AS plain_text, CASE WHEN flag THEN link END AS link FROM r""")
 def q_link_resolution(spark, d):
-    pages = A.corpus(spark, d, "id", "n", "title").withColumn("space_id", F.lit("0"))
+    """Titles with a colon keep what follows it; a flag ends at the first two brackets, and one that a bracket breaks is none."""
+    title = F.expr(_TITLES.replace("page_id", "n").replace("@", "title"))
+    pages = A.corpus(spark, d, "id", "n", "title").withColumns({"space_id": F.lit("0"), "title": title})
     space = spark.range(1).select(F.lit("0").alias("id"), F.lit("S").alias("short_id"))
-    plain = pages.where(~F.col("title").contains(":") & ~F.col("title").contains("]"))
-    texts = plain.select("id", F.concat(F.lit("see [[link to: S:"), F.when(F.col("n") % 2 == 0, F.col("title")).otherwise("nowhere"), F.lit("]] end")).alias("plain_text"))
-    return L.resolve_links(texts, L.title_index(pages, space)).select("id", "plain_text", F.col("links_list")[0].alias("link"))
+    texts = pages.select("id", F.concat(F.lit("see [[link to: S:"), F.when(F.col("n") % 4 != 1, F.col("title")).otherwise("nowhere"), F.lit("]] end")).alias("plain_text"))
+    return L.resolve_links(texts, L.title_index(pages, space)).select("id", "plain_text", F.get("links_list", F.lit(0)).alias("link"))
 
 
 _OLD = "SELECT o_orderkey AS id, CAST(o_orderkey % 4 AS INT) AS version, o_orderstatus AS status FROM orders"
@@ -293,7 +299,7 @@ def q_threshold_sweep(spark, d):
     WHERE list_distance(a.embedding, b.embedding) <= 1.11 AND sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))) <= 1.1""")
 def q_radius_pairs(spark, d):
     vectors = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return duplicates.radius_pairs(vectors, 1.1).select("a", "b", F.round("distance", 6).alias("distance"))
+    return duplicates.radius_pairs(vectors, 1.1).select("a", "b", F.round("distance", 6).alias("distance")).orderBy("distance", "a", "b")
 
 
 @query("SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY embedding) AS class_id FROM embeddings")
@@ -314,7 +320,7 @@ _SHINGLES = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coal
 
 @query(f"WITH {_SHINGLES} SELECT a, b, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.8")
 def q_shingle_jaccard(spark, d):
-    return duplicates.jaccard_join(_texts(spark, d), 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return duplicates.jaccard_join(_texts(spark, d), 0.8).select("a", "b", F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "a", "b")
 
 
 @query(f"WITH {_SHINGLES} SELECT doc_id AS id, class_id FROM cl")
@@ -448,11 +454,6 @@ def q_sql_setops(spark, d):
     return c.intersect(s).exceptAll(A.table(spark, d, "nation").where("n_regionkey = 1").select("n_nationkey")).unionAll(spark.range(1).select(F.lit(99)))
 
 
-@query("WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM t WHERE n < 20) SELECT n, f FROM t")
-def q_sql_recursive(spark, d):
-    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM t WHERE n < 20) SELECT n, f FROM t")
-
-
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")
 def q_sql_json(spark, d):
     return A.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.from_json("props", "k long")["k"]).alias("k"))
@@ -473,7 +474,7 @@ def q_sql_joins(spark, d):
 def _facts(spark, d):
     from ..functions.dom import page_facts
 
-    return A.corpus(spark, d, "id", "html", "space_id").select("id", page_facts(F.col("html"), F.upper("space_id")).alias("f"))
+    return A.spread(A.corpus(spark, d, "id", "html", "space_id")).select("id", page_facts(F.col("html"), F.upper("space_id")).alias("f"))
 
 
 @query()
@@ -486,29 +487,30 @@ def q_lead_paragraph(spark, d):
     return _facts(spark, d).select("id", "f.lead_para", "f.lead_words", "f.lead_links", F.size("f.paragraphs").alias("n_paragraphs"))
 
 
-@query()
-def q_excerpts(spark, d):
-    return _facts(spark, d).select("id", F.size("f.sources").alias("n_sources"), F.size("f.includes").alias("n_includes"))
-
-
 @query()
 def q_signals(spark, d):
-    from ..functions.signals import raw_signals, signal_vectors
-
-    c = A.corpus(spark, d, "id", "html", "space_id", "title", "child_list")
     from ..functions.dom import page_facts
+    from ..functions.signals import LEXICAL, SIGNAL_KEYS, raw_signals, with_vectors
+    from ..operators.lexical import lexical_signals, zipf_of
+    from ..schema import STUB_WORDS
+    from ..storage import materialise
 
-    f = c.withColumn("f", page_facts(F.col("html"), F.upper("space_id")))
+    c = A.spread(A.corpus(spark, d, "id", "html", "space_id", "title", "child_list")).withColumn("f", page_facts(F.col("html"), F.upper("space_id")))
     raw = raw_signals(F.col("html"), F.col("title"), F.col("f.plain_text"), F.col("f.word_count"), F.col("child_list"), F.col("f"))
-    vectors = signal_vectors(raw)
-    return f.select("id", vectors[0].alias("raw"), vectors[1].alias("scaled"))
+    # signals of the page itself are made before the join, so only short rows are moved
+    own = materialise(c.select("id", F.col("f.plain_text").alias("text"), F.array(*(raw[k] for k in SIGNAL_KEYS)).alias("own")), "signals")
+    texts = own.select("id", "text")
+    rows = own.join(lexical_signals(texts, materialise(zipf_of(texts), "zipf")), "id")
+    full = F.col("own")[0] >= STUB_WORDS
+    signals = {k: F.when(full, F.col(k)).otherwise(0.0) if k in LEXICAL else F.col("own")[i] for i, k in enumerate(SIGNAL_KEYS)}
+    return with_vectors(rows, signals).select("id", "raw", "scaled")
 
 
 @query()
 def q_enrich(spark, d):
     from ..operators.enrich import enrich
 
-    base = A.corpus(spark, d, "id", "title", "version", "last_modified", "space_id", "html", "child_list").withColumns({"tiny_link": F.lit(None).cast("string"), "retrieved_at": F.lit("2024-01-20T00:00:00Z")})
+    base = A.spread(A.corpus(spark, d, "id", "title", "version", "last_modified", "space_id", "html", "child_list")).withColumns({"tiny_link": F.lit(None).cast("string"), "retrieved_at": F.lit("2024-01-20T00:00:00Z")})
     spaces = base.select(F.col("space_id").alias("id")).distinct().withColumn("short_id", F.upper("id"))
     return enrich(base, spaces)
 
@@ -533,4 +535,4 @@ def q_fuzzy_labels(spark, d):
 def q_redundant_labels(spark, d):
     from ..functions.fuzzy import redundant_labels
 
-    return redundant_labels(A.table(spark, d, "part").groupBy(F.lower("p_type").alias("label")).agg(F.count("*").alias("pages")), 80)
+    return redundant_labels(A.table(spark, d, "part").groupBy(F.concat(F.lower("p_type"), F.when(F.col("p_partkey") % 3 == 0, " s").otherwise("")).alias("label")).agg(F.count("*").alias("pages")), 80)

@@ -41,9 +41,21 @@ def update_fields(pages: DataFrame, changes: DataFrame) -> DataFrame:
     return out.select(*(F.coalesce(f"new_{c}", pages[c]).alias(c) if c in changes.columns and c != "id" else pages[c] for c in pages.columns))
 
 
-def random_pages(pages: DataFrame, count: int, seed: int = 42) -> DataFrame:
-    """A sample of ids, in an order fixed by the seed."""
-    return pages.select("id").orderBy(F.xxhash64(F.lit(seed), "id")).limit(count)
+def random_pages(pages: DataFrame, count: int, seed: int = 42, replacement: bool = False) -> DataFrame:
+    """A sample of ids, fixed by the seed; with ``replacement`` each of ``count`` draws may give any id."""
+    if not replacement:
+        return pages.select("id").orderBy(F.xxhash64(F.lit(seed), "id")).limit(count)
+    draws = pages.select("id", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("draw")) if count else pages.select("id", F.lit(0).alias("draw")).limit(0)
+    return draws.groupBy("draw").agg(F.min_by("id", F.xxhash64(F.lit(seed), "draw", "id")).alias("id")).select("id")
+
+
+def arrays_from_json(rows: DataFrame, *columns: str) -> DataFrame:
+    """Columns that hold JSON arrays of strings as arrays; null for null and for what is no JSON."""
+    return rows.withColumns({c: F.from_json(c, "array<string>") for c in columns})
+
+
+def arrays_to_json(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.to_json(c) for c in columns})
 
 
 def write_snapshot(pages: DataFrame, root: str, date: str, stage: str) -> None:
