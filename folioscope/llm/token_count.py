@@ -35,7 +35,7 @@ CHUNK_CHARS, CHUNKS_AT_ONCE = 1 << 16, 64
 #: States of a chunk's own run that are kept; a run from another state that has not met them by then goes on to the end.
 KEPT_STATES = 4096
 #: Bounds of what a worker keeps; beyond them it starts afresh.  They change no count.
-MAX_MOVES, MAX_UNITS = 400_000, 150_000
+MAX_MOVES, MAX_UNITS = 600_000, 250_000
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _START = re.compile(f"(?<=[^{MARK}]){MARK}")
 
@@ -171,7 +171,7 @@ class CountingTransducer:
         if not text:
             return 0
         if len(self.units) > MAX_UNITS:
-            self.units.clear()
+            self.units.age()
         if self.n_moves > MAX_MOVES:
             self._reset()
         if len(text) <= CHUNK_CHARS and MARK not in text:
@@ -193,9 +193,17 @@ class _Units(dict):
     def __init__(self, machine: CountingTransducer):
         super().__init__()
         self.machine = machine
+        self.older: dict[str, int] = {}
+
+    def age(self) -> None:
+        """Make room: what was used since the last time is kept for once more."""
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, unit: str) -> int:
-        n = self.machine.run(unit if unit[0] == MARK else MARK + unit)[0]
+        n = self.older.get(unit)
+        if n is None:
+            n = self.machine.run(unit if unit[0] == MARK else MARK + unit)[0]
         if len(unit) <= 40:
             self[unit] = n
         return n
