@@ -83,10 +83,10 @@ def pages_of(root: str, endpoint: str, limit: int = 50, most: int | None = None,
                 raise
             raise OSError(f"a page of {endpoint} is lost: {e}") from None
         for item in page.get("results", []):
-            if most is not None and n >= most:
-                return
             yield item
             n += 1
+            if most is not None and n >= most:
+                return
         after = (page.get("_links") or {}).get("next")
         if not after:
             return
@@ -161,14 +161,14 @@ def listed_pages(spark: SparkSession, root: str, space_ids: Iterable[str], **opt
 
 
 def batches(ids: Iterable[str], size: int = BODIES_AT_ONCE) -> list[str]:
-    """Endpoints that fetch page bodies by lists of ids; the ids are separated by ``%2C``, a comma."""
-    ids = list(dict.fromkeys(ids))
+    """Endpoints that fetch page bodies by lists of sorted ids; the ids are separated by ``%2C``, a comma."""
+    ids = sorted(set(ids))
     return [f"pages?body-format=storage&id={'%2C'.join(ids[i : i + size])}" for i in range(0, len(ids), size)]
 
 
 def page_bodies(spark: SparkSession, root: str, ids: Iterable[str], size: int = BODIES_AT_ONCE, **options) -> DataFrame:
     """``id, title, version, last_modified, html``; ids that are gone give no row."""
-    rows = read(spark, root, batches(ids, size), "id,title,version.number,version.createdAt,body.storage.value", **({"missing": "skip"} | options))
+    rows = read(spark, root, batches(ids, size), "id,title,version.number,version.createdAt,body.storage.value", **options)
     return rows.select("id", "title", F.col("version_number").cast("int").alias("version"), F.col("version_createdAt").alias("last_modified"), F.col("body_storage_value").alias("html"))
 
 
@@ -192,9 +192,9 @@ def versions(spark: SparkSession, root: str, ids: Iterable[str], **options) -> D
 
 def users(spark: SparkSession, root: str, ids: Iterable[str], size: int = BODIES_AT_ONCE, **options) -> DataFrame:
     """``author_id, name, display_name, email`` of accounts."""
-    ids = list(dict.fromkeys(ids))
+    ids = sorted(set(ids))
     found = [f"users-bulk?accountId={'%2C'.join(ids[i : i + size])}" for i in range(0, len(ids), size)]
-    rows = read(spark, root, found, "accountId,publicName,displayName,email", **({"missing": "skip"} | options))
+    rows = read(spark, root, found, "accountId,publicName,displayName,email", **options)
     return rows.select(F.col("accountId").alias("author_id"), F.col("publicName").alias("name"), F.col("displayName").alias("display_name"), "email")
 
 
