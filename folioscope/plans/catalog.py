@@ -308,7 +308,7 @@ def q_vector_classes(spark, d):
 
 
 def _texts(spark, d):
-    return A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return A.spread(A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 _SHINGLES = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\s]+'), lambda x: x <> '') AS w FROM documents),
