@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from ..operators.components import connected_components
+from ..operators.skew import join_groups
 from ..storage import materialise, shuffle_partitions
 
 BITS, ERRORS, SHINGLE, SEED = 64, 4, 4, 42
@@ -198,13 +199,16 @@ def links(classes: DataFrame) -> DataFrame:
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``.
 
-    The fingerprint column of a document is made once and kept in the shared folder.  Documents become one class per fingerprint before anything is joined, so copies cost one row each.
+    Fingerprints are made once and kept in the shared folder.  Documents become one class per fingerprint
+    before anything is joined, so copies cost one row each; large classes and components are broadcast.
     """
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = materialise(named.mapInArrow(_fingerprints, "id long, print long"), "prints")
-    classes = materialise(prints.groupBy("print").agg(F.min("id").alias("id")), "classes")
+    classes = materialise(prints.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes")
     linked = connected_components(links(classes)).select(F.col("node").alias("print"), "component")
-    placed = classes.join(linked, "print", "left").select("print", "id", F.coalesce("component", "print").alias("component"))
-    named = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    out = prints.join(placed.join(named, "component").select("print", "component_id"), "print")
+    placed = materialise(classes.join(linked, "print", "left").select("print", "id", "n", F.coalesce("component", "print").alias("component")), "placed")
+    named = materialise(placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("classes")), "components")
+    count, rows = named.agg(F.sum("classes")).head()[0] or 0, placed.agg(F.sum("n")).head()[0] or 0
+    found = materialise(join_groups(placed.select("print", "n", "component"), named, "component", "classes", count).select("print", "n", "component_id"), "named")
+    out = join_groups(prints, found, "print", "n", rows)
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
