@@ -9,19 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signals import SIGNAL_KEYS
+from ..functions.text import author_name
 from ..operators.changes import dead_pages, delta, mark_processed, merge_rows, replace_rows, too_many_dead
-from ..operators.duplicates import duplicate_groups, group_members, scan_duplicates
+from ..operators.duplicates import group_members, scan_duplicates
 from ..operators.enrich import enrich
 from ..operators.stats import author_history
 from ..operators.types import assign_types
 from ..sources import rest
 from ..sources.store import Corpus, loaded_vectors
 from ..sources.tables import full_labels
-from ..functions.text import author_name
 from ..storage import materialise
 
-__all__ = ["STEPS", "duplicate_groups", "sync"]
-
 #: The steps after the pages themselves, in order.
 STEPS = ("children", "authors", "labels", "parse_text", "basic_stats", "convert_links", "excerpts", "assign_type", "find_duplicates")
 #: Steps that one enrichment of the base columns answers together; resuming at any of them runs it.
