@@ -477,14 +477,48 @@ def _facts(spark, d):
     return A.spread(A.corpus(spark, d, "id", "html", "space_id")).select("id", page_facts(F.col("html"), F.upper("space_id")).alias("f"))
 
 
-@query()
+def _unescaped(x: str) -> str:
+    return f"""replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')"""
+
+
+def _shown(x: str) -> str:
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '<[^>]*>'), lambda s: trim({_unescaped('s')}, e' \\t\\n\\r')), lambda s: s <> ''), ' ')"
+
+
+def _n_words(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '[^ \\t\\n\\r]+'))"
+
+
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_PLAIN_TEXT = f"""
+    WITH b AS (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1), lambda x: {_shown('x')}) AS items,
+      {_shown("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS head, {_shown("regexp_extract(html, '(?s)</h1>(.*?)</article>', 1)")} AS body FROM pages),
+    l AS (SELECT page_id, list_transform(items, lambda x: {{'text': x, 'line': '- ' || x}}) || [{{'text': head, 'line': '[[Heading: ' || head || ']]'}}, {{'text': body, 'line': body}}] AS lines FROM b),
+    u AS (SELECT page_id, list_filter(lines, lambda x, i: x.text <> '' AND list_position(list_transform(lines, lambda y: y.line), x.line) = i) AS lines FROM l)
+    SELECT CAST(page_id AS STRING) AS id, array_to_string(list_transform(lines, lambda x: x.line), e'\\n') AS plain_text,
+      CAST(coalesce(list_sum(list_transform(lines, lambda x: {_n_words('x.text')})), 0) AS INT) AS word_count FROM u"""
+
+
+@query(_PLAIN_TEXT)
 def q_plain_text(spark, d):
     return _facts(spark, d).select("id", "f.plain_text", "f.word_count")
 
 
-@query()
+_OPENING = "'<p><b>([^<]*)<br>'"
+_LEAD = f"""
+    WITH p AS (SELECT page_id, list_filter(regexp_extract_all(regexp_replace({_ARTICLE}, {_OPENING}, '<h2>\\1</h2>', 'g'), '(?s)<p>(.*?)</p>', 1), lambda x: {_n_words('x')} >= 2) AS paras FROM pages)
+    SELECT CAST(page_id AS STRING) AS id, '<p>' || replace(replace(replace({_unescaped('paras[1]')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' AS lead_para,
+      CAST(coalesce({_n_words('paras[1]')}, 0) AS INT) AS lead_words, CAST(coalesce(len(regexp_extract_all(paras[1], '<a href=')), 0) AS INT) AS lead_links, CAST(len(paras) AS INT) AS n_paragraphs FROM p"""
+
+
+@query(_LEAD)
 def q_lead_paragraph(spark, d):
-    return _facts(spark, d).select("id", "f.lead_para", "f.lead_words", "f.lead_links", F.size("f.paragraphs").alias("n_paragraphs"))
+    """Prose of the articles, which are the pages' storage bodies; what opens them and is never closed is a header."""
+    from ..functions.dom import page_facts
+
+    body = F.expr(f"regexp_replace({_ARTICLE}, {_OPENING}, '<h2>$1</h2>')")
+    c = A.spread(A.corpus(spark, d, "id", "html", "space_id")).select("id", page_facts(body, F.upper("space_id")).alias("f"))
+    return c.select("id", "f.lead_para", "f.lead_words", "f.lead_links", F.size("f.paragraphs").alias("n_paragraphs"))
 
 
 @query()
