@@ -558,11 +558,30 @@ def q_type_assign(spark, d):
     return assign_types(e.select("id", "vec"), model)
 
 
-@query()
+_NAME = "small new gizmo"
+_FUZZY = f"""
+    WITH l AS (SELECT DISTINCT lower(p_name) AS label, '{_NAME}' AS name FROM part WHERE lower(p_name) <> '{_NAME}'),
+    t AS (SELECT label, name, list_sort(string_split(label, ' ')) AS ls, list_sort(string_split(name, ' ')) AS ns, greatest(length(label), length(name)) / least(length(label), length(name)) >= 1.5 AS parts FROM l),
+    u AS (SELECT *, array_to_string(list_filter(ls, lambda x: list_contains(ns, x)), ' ') AS mid, array_to_string(list_filter(ls, lambda x: NOT list_contains(ns, x)), ' ') AS lo, array_to_string(list_filter(ns, lambda x: NOT list_contains(ls, x)), ' ') AS hi FROM t),
+    c AS (SELECT label, 'whole' AS kind, false AS parts, label AS a, name AS b FROM u UNION ALL SELECT label, 'part', true, label, name FROM u WHERE parts
+      UNION ALL SELECT label, 'tokens', parts, array_to_string(ls, ' '), array_to_string(ns, ' ') FROM u UNION ALL SELECT label, 'tokens', parts, trim(mid || ' ' || lo), trim(mid || ' ' || hi) FROM u
+      UNION ALL SELECT label, 'tokens', parts, mid, trim(mid || ' ' || lo) FROM u WHERE mid <> '' UNION ALL SELECT label, 'tokens', parts, mid, trim(mid || ' ' || hi) FROM u WHERE mid <> ''),
+    o AS (SELECT label, kind, parts, CASE WHEN length(a) > length(b) THEN b ELSE a END AS a, CASE WHEN length(a) > length(b) THEN a ELSE b END AS b FROM c),
+    w AS (SELECT label, kind, a, b FROM o WHERE NOT parts UNION ALL SELECT label, kind, a, substring(b, greatest(i, 0) + 1, least(length(b), i + length(a)) - greatest(i, 0))
+      FROM (SELECT *, unnest(range(1 - length(a), length(b))) AS i FROM o WHERE parts)),
+    r AS (SELECT label, kind, max(200.0::DOUBLE * list_last(list_reduce(list_transform(string_split(b, ''), lambda y: [ord(y)]),
+        lambda row, y: [0] || list_transform(range(1, length(a) + 1), lambda j: greatest(row[j + 1], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: ord(a[k]) = y[1]), lambda k: row[k] + 1)), 0))),
+        list_transform(range(0, length(a) + 1), lambda j: 0))) / (length(a) + length(b))) AS score FROM w GROUP BY label, kind),
+    s AS (SELECT u.label, max(CASE r.kind WHEN 'whole' THEN r.score WHEN 'part' THEN 0.9::DOUBLE * r.score ELSE 0.95::DOUBLE * CASE WHEN parts THEN 0.9::DOUBLE ELSE 1 END * CASE WHEN mid <> '' AND (lo = '' OR hi = '') THEN 100 ELSE r.score END END) AS score
+      FROM u JOIN r ON u.label = r.label GROUP BY u.label)
+    SELECT label, round(score, 6) AS score FROM s WHERE score >= 60 ORDER BY score DESC, label LIMIT 40"""
+
+
+@query(_FUZZY)
 def q_fuzzy_labels(spark, d):
     from ..functions.fuzzy import nearest_labels
 
-    return nearest_labels(A.table(spark, d, "part").select(F.lower("p_type").alias("label")), "economy brass", 60, 5)
+    return nearest_labels(A.table(spark, d, "part").select(F.lower("p_name").alias("label")), _NAME, 60, 40).withColumn("score", F.round("score", 6))
 
 
 @query()

@@ -8,7 +8,7 @@ import pytest
 from folioscope.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-CHEAP = ["q_overview_space", "q_type_breakdown", "q_author_squash", "q_popular_links", "q_orphans", "q_cross_space", "q_merge_upsert", "q_date_in_title", "q_eval_notes", "q_snapshot_diff", "q_norm_author", "q_scores_gems", "q_label_merge", "q_vector_classes", "q_radius_pairs", "q_plain_text", "q_lead_paragraph"]
+CHEAP = ["q_overview_space", "q_type_breakdown", "q_author_squash", "q_popular_links", "q_orphans", "q_cross_space", "q_merge_upsert", "q_date_in_title", "q_eval_notes", "q_snapshot_diff", "q_norm_author", "q_scores_gems", "q_label_merge", "q_vector_classes", "q_radius_pairs", "q_plain_text", "q_lead_paragraph", "q_fuzzy_labels"]
 
 
 def _rows(rows):
