@@ -5,8 +5,8 @@ after a candidate are the two pieces around it.  The forest is trained by ``pysp
 findings and compiled to one SQL expression, so scoring runs where the candidate is, also within an array,
 and a text need not be moved to be redacted.  Everything on this path is DataFrame operations.
 
-Defined results: a null or empty text has no candidates and stays as it is; a null path counts as an
-ordinary one; repeated rows repeat their findings; an empty table gives no findings; ``redact`` leaves all
+Defined results: a null or empty text has no candidates and stays as it is; a null path, or a table without the
+column of paths, counts as an ordinary path; repeated rows repeat their findings; an empty table gives no findings; ``redact`` leaves all
 columns but the text as they are.
 """
 
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from ..functions.text import free_name
 
 _RUN = r"[A-Za-z0-9+/_\-]"
-#: A private key in its armour, with or without headers, in one piece.
-_ARMOUR = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=:,\- \t\r\n]{16,8192}?-----END [A-Z ]{0,20}PRIVATE KEY-----"
+#: A private key of any length in its armour, with or without headers, in one piece.  Headers have 12 hyphens at most;
+#: stretches between hyphens are possessive, so a text of opening lines alone is read once.
+_BODY = r"[A-Za-z0-9+/=:, \t\r\n]"
+_ARMOUR = rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----(?={_BODY}{{4}}){_BODY}++(?:-{_BODY}++){{0,12}}-----END [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----"
 _PREFIX = "AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk-|sk_live_|AIza|glpat-|eyJ"
 #: Runs of such a length are candidates anywhere, shorter ones after an assignment or with a known prefix.
 LONG, SHORT, BLANKS = 16, 4, 16
@@ -70,11 +72,18 @@ HARMLESS = r"(?i)(example|sample|dummy|placeholder|checksum|sha-?1|sha-?256|md5|
 TEST_PATH = r"(?i)(test|example|fixture|spec|mock|sample|docs?/)"
 KNOWN_PREFIX = f"^({_PREFIX}|-----BEGIN)"
 
+#: What candidates are made of.
+ALPHABET = string.ascii_letters + string.digits + "+/_-=:, \n"
+
 FEATURES = ("length", "transitions", "digits", "upper", "hex", "distinct", "dictionary", "uuid", "repeats", "keyword", "assigned", "quoted", "harmless", "test_path", "prefix", "numeric", "url", "slug")
 
 
 def features(candidate: Column, left: Column, right: Column, path: Column) -> dict[str, Column]:
-    """What the forest sees of a candidate; ``left`` and ``right`` are its neighbourhood."""
+    """What the forest sees of a candidate; ``left`` and ``right`` are its neighbourhood.
+
+    A candidate may be as long as a text.  Java recurses once for each turn of a repeated group and cannot for long ones, so
+    patterns over candidates repeat single characters only, and no feature takes a candidate apart into an array.
+    """
     size = F.length(candidate)
     share = lambda pattern: 1 - F.length(F.regexp_replace(candidate, pattern, "")) / size
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
@@ -87,7 +96,7 @@ def features(candidate: Column, left: Column, right: Column, path: Column) -> di
         "digits": share("[0-9]"),
         "upper": share("[A-Z]"),
         "hex": flag(candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
-        "distinct": F.size(F.array_distinct(F.split(candidate, ""))) / F.least(size, F.lit(40)),
+        "distinct": F.size(F.filter(F.split(F.lit(ALPHABET), ""), lambda x: (x != "") & F.contains(candidate, x))) / F.least(size, F.lit(40)),
         "dictionary": 1 - F.length(words) / size,
         "uuid": flag(candidate.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
         "repeats": flag(candidate.rlike(r"(.)\1{3}|0123|1234|abcd|ABCD")),
@@ -99,7 +108,7 @@ def features(candidate: Column, left: Column, right: Column, path: Column) -> di
         "prefix": flag(candidate.rlike(KNOWN_PREFIX)),
         "numeric": flag(candidate.rlike(r"^[0-9\-+/]+$")),
         "url": flag(left.rlike("://[^/@ ]{1,40}:$") & right.rlike("^@")),
-        "slug": flag(candidate.rlike("^[a-z]+([-_/][a-z0-9]+)+$")),
+        "slug": flag(candidate.rlike("^[a-z]++[-_/][a-z0-9_/-]++$") & ~candidate.rlike("[-_/]([-_/]|$)")),
     }
 
 
@@ -254,6 +263,10 @@ def score(forest: list[tuple], seen: Column) -> Column:
     return F.aggregate(trees, F.lit(0.0), lambda total, t: total + F.element_at(value, t * size + leaf(t) + 1)) / F.lit(float(len(heaps)))
 
 
+def _path(docs: DataFrame, path_col: str) -> Column:
+    return F.col(path_col).cast("string") if path_col.lower() in {c.lower() for c in docs.columns} else F.lit(None).cast("string")
+
+
 def _around(text: Column) -> tuple[Column, Column]:
     """Candidates of a text and the pieces between them."""
     return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
@@ -269,7 +282,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``finding`` counts the candidates of a document from 0, ``start`` is in characters from 0.
     """
     forest = fit_forest(docs.sparkSession, findings)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(path_col).cast("string").alias("path")).where(F.col("text").rlike(CANDIDATE))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _path(docs, path_col).alias("path")).where(F.col("text").rlike(CANDIDATE))
     candidates, pieces = _around(F.col("text"))
     rows = rows.select("doc_id", "path", F.monotonically_increasing_id().alias("row"), candidates.alias("candidates"), pieces.alias("pieces"))
 
@@ -291,7 +304,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def redact(docs: DataFrame, text_col: str = "text", path_col: str = "source", findings: list[tuple] | None = None) -> DataFrame:
     """``docs`` with each secret in the text replaced by ``PLACEHOLDER``; no row is moved."""
     forest = fit_forest(docs.sparkSession, findings)
-    text, path = F.col(text_col), F.col(path_col).cast("string")
+    text, path = F.col(text_col), _path(docs, path_col)
     candidates, pieces = _around(text)
     hit, found, between, judged = (free_name(docs.columns, x) for x in ("_fs_hit", "_fs_candidates", "_fs_pieces", "_fs_seen"))
     work = docs.withColumn(hit, F.coalesce(text.rlike(CANDIDATE), F.lit(False)))

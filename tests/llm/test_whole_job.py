@@ -73,3 +73,18 @@ def test_local_search_ends_only_when_stuck():
     bins = [[i] for i in range(5000)] + [[5000, 5001], [5002, 5003]]
     got = [sorted(lengths[i] for i in b) for b in improve(bins, lengths, 100)]
     assert [5, 12, 70] in got and len(got) == len(bins)
+
+
+def test_secrets_in_very_long_runs(spark):
+    """Slugs of a million parts, runs of one character, long candidates, keys over 8192 characters and openings without an end."""
+    from folioscope.llm import secret_scan as S
+
+    r = random.Random(3)
+    base64 = "".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(1_000_000))
+    lines = "\n".join(base64[i : i + 64] for i in range(0, 13_000, 64))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n{lines}\n-----END RSA PRIVATE KEY-----"
+    plain = {0: "see " + "-".join(["ab"] * 1_000_000) + " end", 1: "a" * 2_000_000, 2: "-----BEGIN PRIVATE KEY-----\nabcdefgh ijk. " * 20_000, 3: "a-" * 1_000_000, 4: "=> " * 300_000 + "a"}
+    secret = {5: ("it has ", key, " in it"), 6: ('token = "', base64, '" here')}
+    docs = spark.createDataFrame([(i, t) for i, t in plain.items()] + [(i, "".join(t)) for i, t in secret.items()], "doc_id long, text string").repartition(7)
+    assert {(x.doc_id, x.start, x.length) for x in S.secret_scan(docs).collect() if x.is_secret} == {(i, len(t[0]), len(t[1])) for i, t in secret.items()}
+    assert {x.doc_id: x.text for x in S.redact(docs).collect()} == plain | {i: t[0] + S.PLACEHOLDER + t[2] for i, t in secret.items()}
