@@ -95,6 +95,24 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", F.round("score", 6).alias("score"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import centroid_clusters
+
+    return centroid_clusters(_table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -106,9 +124,30 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_language_id": op12_language_id,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """Assignment to the centroids of a round and the centroids of the next, so many times."""
+    out = ""
+    for i in range(rounds + 1):
+        out += f""",
+        a{i} AS (SELECT row, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM
+          (SELECT row, cluster, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{i} c USING (pos) GROUP BY row, cluster) GROUP BY row)"""
+        if i < rounds:
+            out += f""",
+        c{i + 1} AS (SELECT c.cluster, c.pos, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x FROM c{i} c LEFT JOIN
+          (SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM v JOIN a{i} USING (row) GROUP BY cluster, pos) USING (cluster, pos))"""
+    return out
+
+
+_PART = "1 + (1000000000 * (CAST({n} AS HUGEINT) + 5)) // ({total} + 5 * {terms})"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
@@ -133,4 +172,28 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
           sha256(array_to_string(list_filter(words, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
         FROM w LEFT JOIN r ON w.doc_id = r.doc_id""",
+    "op11_source_divergence": f"""
+        WITH d AS (SELECT row_number() OVER () AS document, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS text FROM documents),
+        t AS (SELECT lang, source, document, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT document) >= 30),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+        l AS (SELECT lang, count(*) AS terms, sum(total) AS total FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        s AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+        p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, {_PART.format(n="coalesce(c.n, 0)", total="s.total", terms="l.terms")} AS p, {_PART.format(n="k.total", total="l.total", terms="l.terms")} AS q
+          FROM s JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+        f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term) WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM f)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op13_centroid_clusters": f"""
+        WITH e AS (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        v AS (SELECT row, vec_id, unnest(range(1, 65)) AS pos, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM e),
+        o AS (SELECT row, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS cluster FROM e),
+        c0 AS (SELECT cluster, pos, CAST(x AS HUGEINT) AS x FROM o JOIN v USING (row) WHERE cluster < 16){_centroid_rounds(3)},
+        h AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos)) AS centroid_sha256 FROM c3 GROUP BY cluster)
+        SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+          CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a3 a JOIN e USING (row) JOIN h ON h.cluster = a.cluster""",
 }
