@@ -83,23 +83,40 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(ratio(a, b), scale * partial_ratio(a, b), 0.95 * scale * _token_ratios(a, b, partial_ratio))
 
 
-def _overlap(a: str, b: str) -> int:
-    """Letters in common whatever their order, without blanks: no subsequence of any order of tokens has more."""
-    return sum(min(a.count(c), b.count(c)) for c in set(a) if c != " ")
+@lru_cache(maxsize=1 << 14)
+def _letters(a: str) -> tuple[dict[str, int], int, int, int]:
+    """How often each letter occurs but for blanks, how many there are, and the fewest and the most blanks of any way in which the tokens are joined."""
+    counts: dict[str, int] = {}
+    for c in a:
+        if not c.isspace():
+            counts[c] = counts.get(c, 0) + 1
+    n, tokens = sum(counts.values()), len(a.split())
+    return counts, n, min(max(tokens - 1, 0), len(a) - n), max(tokens - 1, len(a) - n)
+
+
+def _most(a: str, b: str, scale: float) -> float:
+    """What any order of the tokens of two names scores at most: no common subsequence is longer than their common letters."""
+    (x, n, p, q), (y, m, r, s) = _letters(a), _letters(b)
+    common = sum(min(k, y.get(c, 0)) for c, k in x.items()) + min(q, s)
+    most = 200.0 * common / max(n + p + m + r, 1)
+    if scale != 1.0:  # a window may be as short as what is common
+        short = min(n + p, m + r)
+        most = max(most, scale * 200.0 * common / max(short + min(common, short), 1))
+    return most
 
 
 def can_reach(a: str, b: str, least: float) -> bool:
-    """False only if ``weighted_ratio`` is below ``least``; cheap, from letters in common."""
+    """False only if ``weighted_ratio`` is below ``least``; cheap, from letters in common.
+
+    A name is compared as it is and as the set of its tokens, which is shorter where tokens repeat.
+    """
     if not a or not b:
         return least <= 0
-    scale = _scale(a, b)
-    if set(a.split()) & set(b.split()):
+    one, two = dict.fromkeys(a.split()), dict.fromkeys(b.split())
+    if not one.keys().isdisjoint(two):
         return True
-    n, m = sorted((len(a) - a.count(" "), len(b) - b.count(" ")))
-    if scale != 1.0:  # a part may be all that counts, and blanks may make up for a few letters of it
-        return 100.0 * scale * (_overlap(a, b) + 1 + min(a.count(" "), b.count(" "))) / max(n, 1) >= least
-    blanks = 1 + min(a.count(" "), b.count(" "))
-    return 200.0 * (_overlap(a, b) + blanks) / max(n + m, 1) >= least
+    scale = _scale(a, b)
+    return _most(a, b, scale) >= least or _most(" ".join(one), " ".join(two), scale) >= least
 
 
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -102,6 +102,17 @@ def test_fuzzy_scores_and_their_bound():
         score = Z.weighted_ratio(a, b)
         for least in (60, 75, 80, 90):
             assert score < least or Z.can_reach(a, b, least)
+    tokens = ["no", "ha", "na", "know", "ledge", "base", "chart", "a", "on", "tools", "x"]
+    repeated = lambda: r.choice([" ", "  ", "-", "\t"]).join(r.choice(tokens) for _ in range(r.randint(1, 5)))
+    pairs = [("no no no", "knowledge-base"), ("ha ha ha", "chart-tools-x"), (" a a", "a-b")] + [(repeated(), repeated()) for _ in range(30_000)]
+    refused = 0
+    for a, b in pairs:
+        score = Z.weighted_ratio(a, b)
+        for least in (50, 60, 75, 80, 90):
+            fine = Z.can_reach(a, b, least)
+            refused += not fine
+            assert score < least or fine, (a, b, score, least)
+    assert refused > 30_000  # a bound that refuses nothing would be right, too
     assert Z.partial_ratio("abc", "xxabcxx") == 100.0 and Z.weighted_ratio("release notes", "notes release") == 95.0 and Z.weighted_ratio("", "a") == 0.0
 
 
