@@ -1,8 +1,8 @@
 """Source divergence audit: how unlike the sources of a language use its terms, by a sort-based stream.
 
 The terms of each document are counted where it is read and combined per (lang, term, source) over the documents of a
-task, up to a bounded number of entries.  These rows are repartitioned by (lang, term) and sorted within partitions by
-lang, term, source and first document; a scan adds up runs in one pass, holding the rows of one term, one per source, at a
+task, up to a bounded size of text.  These rows are repartitioned by (lang, term) and sorted within partitions by term,
+lang, source and first document; a scan adds up runs in one pass, holding the rows of one term, one per source, at a
 time.  A run yields the term's document frequency, which decides whether its language keeps it, and its counts, which
 are written once.  A hot term has a row for each task and source, not for each document.
 
@@ -23,8 +23,6 @@ no pairs; bytes that are not UTF-8 count as letters; an empty table gives an emp
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,42 +34,77 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 
-TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
+_BYTES = np.arange(256, dtype=np.uint8)
+_IS_TERM = (_BYTES >= 128) | ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES | 32, _BYTES).astype(np.uint8)
 UNIT, PRIOR = 1_000_000_000, 5
-#: Entries that a task combines before it hands them on, and pairs that a scan makes at once.
-HELD, PAIRS, LONG_TEXT = 400_000, 1 << 21, 1 << 20
+#: Bytes of text whose terms are combined at once, pairs that a scan makes at once, and pairs that it holds.
+CHUNK, PAIRS, HELD = 24 << 20, 1 << 21, 400_000
 _RUN = "lang binary, term binary, source binary, document long, n_docs long, n long"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Term counts, combined over documents: ``document`` is the first that has the term."""
-    held: dict[tuple[bytes, bytes], dict[bytes, list[int]]] = {}
-    entries = 0
+def _terms(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct terms of texts that stand one after another in ``data``, and each term's number and text."""
+    inside = _IS_TERM[data]
+    before = np.empty_like(inside)
+    before[:1], before[1:] = False, inside[:-1]
+    before[ends[ends < len(data)]] = False  # a text ends a term
+    starts = np.flatnonzero(inside & ~before)
+    sums = np.concatenate([[0], np.cumsum(inside)])
+    packed = _LOWER[data[inside]]
+    offsets = np.append(sums[starts], len(packed)).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+    return terms.dictionary, terms.indices.to_numpy(), np.searchsorted(ends, starts, "right")
+
+
+def _long_text(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct terms of one text and how often each occurs, cut into parts where no term is."""
+    parts, a = [], 0
+    gaps = np.flatnonzero(~_IS_TERM[data])
+    while a < len(data):
+        i = np.searchsorted(gaps, a + CHUNK)
+        b = int(gaps[i]) + 1 if i < len(gaps) else len(data)
+        terms, code, _ = _terms(data[a:b], np.array([b - a]))
+        parts.append(pa.table({"term": terms, "n": np.bincount(code, minlength=len(terms))}))
+        a = b
+    found = pa.concat_tables(parts).group_by("term").aggregate([("n", "sum")])
+    return found["term"].combine_chunks(), found["n_sum"].to_numpy()
+
+
+def _chunk(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """``lang, term, source, document, n_docs, n`` of texts, combined over documents; ``document`` is the first with the term."""
+    groups: dict[tuple[bytes, bytes], int] = {}
+    group = np.array([groups.setdefault(r[:2], len(groups)) for r in rows], np.int64)
+    if len(rows) == 1 and len(rows[0][3]) > CHUNK:
+        terms, n = _long_text(rows[0][3])
+        code, own, first, docs = np.arange(len(terms)), np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64), np.ones(len(terms), np.int64)
+    else:
+        terms, code, text = _terms(np.concatenate([r[3] for r in rows]), np.cumsum([len(r[3]) for r in rows]))
+        pairs, n = np.unique(text.astype(np.int64) << 32 | code, return_counts=True)
+        text, code = pairs >> 32, pairs & 0xFFFFFFFF
+        keys, first, where, docs = np.unique(group[text] << 32 | code, return_index=True, return_inverse=True, return_counts=True)
+        n = np.bincount(where, n, len(keys)).astype(np.int64)  # exact below 2^53
+        own, code, first = keys >> 32, keys & 0xFFFFFFFF, text[first]
+    langs, sources = (pa.array([g[i] for g in groups], pa.binary()) for i in range(2))
+    documents = np.array([r[2] for r in rows], np.int64)
+    for a in range(0, len(code), 50_000):
+        at = slice(a, a + 50_000)
+        columns = [langs.take(pa.array(own[at])), terms.take(pa.array(code[at])), sources.take(pa.array(own[at])), *(pa.array(x.astype(np.int64)) for x in (documents[first[at]], docs[at], n[at]))]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "document", "n_docs", "n"])
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        rows = [(lang, term, source, *found) for (lang, source), terms in held.items() for term, found in terms.items()]
-        for a in range(0, len(rows), 50_000):
-            columns = list(zip(*rows[a : a + 50_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i < 3 else pa.int64()) for i, c in enumerate(columns)], ["lang", "term", "source", "document", "n_docs", "n"])
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for batch in batches:
         for lang, source, document, text in zip(*(batch[c].to_pylist() for c in ("lang", "source", "document")), batch["text"], strict=True):
-            terms, text = held.setdefault((lang, source), {}), text.as_py().lower()  # of bytes: A-Z only
-            own = Counter(TERM.findall(text) if len(text) < LONG_TEXT else (m.group() for m in TERM.finditer(text)))
-            before = len(terms)
-            for term, n in own.items():
-                found = terms.get(term)
-                if found is None:
-                    terms[term] = [document, 1, n]
-                else:
-                    found[1] += 1
-                    found[2] += n
-            entries += len(terms) - before
-            if entries >= HELD:
-                yield from flush()
-                held.clear()
-                entries = 0
-    yield from flush()
+            data = np.frombuffer(text.as_buffer(), np.uint8) if len(text.as_buffer()) else np.zeros(0, np.uint8)
+            if held and size + len(data) > CHUNK:
+                yield from _chunk(held)
+                held, size = [], 0
+            held.append((lang, source, document, data))
+            size += len(data)
+    if held:
+        yield from _chunk(held)
 
 
 def _changes(table: pa.Table, names: list[str]) -> np.ndarray:
@@ -172,7 +205,7 @@ def kept_terms(docs: DataFrame, lang_col: str, source_col: str, text_col: str, l
     and 1 on the first row of a term; written to the shared folder."""
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(plain(lang_col).alias("lang"), plain(source_col).alias("source"), F.monotonically_increasing_id().alias("document"), plain(text_col).alias("text"))
-    runs = rows.mapInArrow(_count, _RUN).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+    runs = rows.mapInArrow(_count, _RUN).repartition("lang", "term").sortWithinPartitions("term", "lang", "source", "document")  # the first column tells most rows apart
     return materialise(runs.mapInArrow(_frequent(least), "lang binary, term binary, source binary, n long, total long, head long"), "kept-terms")
 
 
@@ -189,7 +222,7 @@ def source_divergence(docs: DataFrame, lang_col: str = "lang", source_col: str =
     seen = kept.join(groups.select("lang", "source", "own_n", "terms", "lang_n", "p0"), ["lang", "source"])
     seen = seen.select("lang", "term", "source", "p0", _share(F.col("n"), F.col("own_n"), F.col("terms")).alias("p"), _share(F.col("total"), F.col("lang_n"), F.col("terms")).alias("q"))
 
-    together = seen.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(_pairs, "lang binary, source binary, item binary, value long")
+    together = seen.select("lang", "term", "source", "p", "p0").repartition("lang", "term").sortWithinPartitions("term", "lang", "source").mapInArrow(_pairs, "lang binary, source binary, item binary, value long")
     exact = lambda c: F.sum(c.cast("decimal(38,0)"))
     together = together.groupBy("lang", "source", "item").agg(exact(F.col("value")).alias("value"))
     # each group's distinct p with running counts and sums, and among them the p0 of every other group

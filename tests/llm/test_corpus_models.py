@@ -85,13 +85,13 @@ def test_counts_handed_on_early(monkeypatch):
 
     def runs(size):
         counted = pa.Table.from_batches(list(D._count(iter([batch]))))
-        counted = counted.take(pa.array(sorted(range(counted.num_rows), key=lambda i: tuple(counted[c][i].as_py() for c in ("lang", "term", "source", "document")))))
+        counted = counted.take(pa.array(sorted(range(counted.num_rows), key=lambda i: tuple(counted[c][i].as_py() for c in ("term", "lang", "source", "document")))))
         return sorted(map(str, pa.Table.from_batches(list(D._frequent(4)(iter(counted.to_batches(max_chunksize=size))))).to_pylist()))
 
     whole = runs(100_000)
-    monkeypatch.setattr(D, "HELD", 7)
-    monkeypatch.setattr(D, "LONG_TEXT", 20)
-    assert runs(3) == whole
+    for chunk in (50, 7, 3000):
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        assert runs(3) == whole
 
 
 def _cost(kept, after, seen, total, limit):
