@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LEAD_LINKS, LEAD_WORDS, STUB_WORDS
+from .dom import link_count
 from .text import keyword_hits, per_hundred, title_dates
 
 #: Order of the signals in a vector.
@@ -74,7 +75,7 @@ def raw_signals(html: Column, title: Column, plain_text: Column, word_count: Col
     macro = lambda name: F.regexp_count(html, F.lit(f'<ac:structured-macro ac:name="{name}"'))
     n = lambda pattern: F.regexp_count(html, F.lit(pattern))
     images, mentions = n("</ac:image>"), n("<ac:link><ri:user ri:account-id=")
-    links = n(r"<ac:link[>\s]") + n(r"<a\s+[^>]*href=") - n(r"<a\s+[^>]*href\s*=\s*[\"']?mailto:")
+    links = link_count(html)
     p, cells = dom["paragraphs"], dom["cells"]
     of = lambda items, f: F.size(F.filter(items, f))
     part = lambda a, items: F.when(F.size(items) > 0, a / F.size(items)).otherwise(0.0)

@@ -7,13 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dom import page_facts
+from ..functions.dom import link_count
 from ..functions.signals import LEXICAL, raw_signals, with_vectors
 from ..functions.text import excerpt_name
 from ..schema import BASE_COLUMNS
 from ..storage import materialise
+from .dom import with_facts
 from .lexical import STOP_WORDS, lexical_signals, zipf_of
-from .links import FLAG, resolve_links, title_index
+from .links import resolve_links, title_index
 from .stats import eval_notes
 
 
@@ -32,12 +33,12 @@ def resolve_excerpts(found: DataFrame, index: DataFrame) -> DataFrame:
 def enrich(base: DataFrame, spaces: DataFrame, base_url: str = "https://wiki.example/", zipf: DataFrame | None = None, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
     """The base columns with text, counts, notes, links, excerpts and signal vectors.
 
-    Each page is parsed once, and what was found is written to the shared folder before it is joined with
-    links, excerpts and lexical signals.  ``zipf(word, zipf)`` is a list of word frequencies; without one they are
+    Each page is cut into nodes once; they and the facts that follow are written to the shared folder before these are
+    joined with links, excerpts and lexical signals.  ``zipf(word, zipf)`` is a list of word frequencies; without one they are
     counted in the corpus itself.
     """
     keyed = base.select(*BASE_COLUMNS).join(spaces.select(F.col("id").alias("space_id"), F.col("short_id").alias("key")), "space_id", "left")
-    parsed = materialise(keyed.withColumn("dom", page_facts(F.col("html"), F.col("key"))), "parsed")
+    parsed = materialise(with_facts(keyed), "parsed")
     index = title_index(base, spaces)
     links = materialise(resolve_links(parsed.select("id", F.col("dom.plain_text").alias("plain_text")), index), "links")
     excerpts = resolve_excerpts(parsed.select("id", "key", "dom.sources", "dom.includes"), index)
@@ -50,10 +51,7 @@ def enrich(base: DataFrame, spaces: DataFrame, base_url: str = "https://wiki.exa
     notes = eval_notes(F.col("dom.word_count"), F.col("dom.header_count"), F.col("html").contains('ac:name="toc"'), F.col("dom.lead_words"), F.col("dom.lead_links"))
     return rows.select(
         *BASE_COLUMNS, "plain_text", F.col("dom.lead_para").alias("lead_para"), F.col("dom.word_count").alias("word_count"),
-        (F.regexp_count("html", F.lit(r"<ac:link[>\s]")) + F.regexp_count("html", F.lit(r"<a\s+[^>]*href=")) - F.regexp_count("html", F.lit(r"<a\s+[^>]*href\s*=\s*[\"']?mailto:"))).alias("link_count"),
+        link_count(F.col("html")).alias("link_count"),
         F.regexp_count("html", F.lit("</ac:image>")).alias("image_count"), tree.alias("has_link_tree"), notes.alias("eval_notes"), "links_list", "excerpts", "raw", "scaled",
     )
 
-
-def links_in_text(text: F.Column) -> F.Column:
-    return F.regexp_extract_all(text, F.lit(FLAG), F.lit(1))

@@ -471,10 +471,13 @@ def q_sql_joins(spark, d):
     return joined.groupBy("n_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total")).where("n_orders > 5")
 
 
-def _facts(spark, d):
-    from ..functions.dom import page_facts
+def _facts(spark, d, html=None):
+    """Facts of the pages, or of other markup made from them."""
+    from ..operators.dom import with_facts
 
-    return A.spread(A.corpus(spark, d, "id", "html", "space_id")).select("id", page_facts(F.col("html"), F.upper("space_id")).alias("f"))
+    pages = A.spread(A.corpus(spark, d, "id", "html", "space_id"))
+    pages = pages.select("id", (F.col("html") if html is None else html).alias("html"), F.upper("space_id").alias("key"))
+    return with_facts(pages, out="f").drop("html")
 
 
 def _unescaped(x: str) -> str:
@@ -514,22 +517,20 @@ _LEAD = f"""
 @query(_LEAD)
 def q_lead_paragraph(spark, d):
     """Prose of the articles, which are the pages' storage bodies; what opens them and is never closed is a header."""
-    from ..functions.dom import page_facts
-
-    body = F.expr(f"regexp_replace({_ARTICLE}, {_OPENING}, '<h2>$1</h2>')")
-    c = A.spread(A.corpus(spark, d, "id", "html", "space_id")).select("id", page_facts(body, F.upper("space_id")).alias("f"))
+    c = _facts(spark, d, F.expr(f"regexp_replace({_ARTICLE}, {_OPENING}, '<h2>$1</h2>')"))
     return c.select("id", "f.lead_para", "f.lead_words", "f.lead_links", F.size("f.paragraphs").alias("n_paragraphs"))
 
 
 @query()
 def q_signals(spark, d):
-    from ..functions.dom import page_facts
     from ..functions.signals import LEXICAL, SIGNAL_KEYS, raw_signals, with_vectors
+    from ..operators.dom import with_facts
     from ..operators.lexical import lexical_signals, zipf_of
     from ..schema import STUB_WORDS
     from ..storage import materialise
 
-    c = A.spread(A.corpus(spark, d, "id", "html", "space_id", "title", "child_list")).withColumn("f", page_facts(F.col("html"), F.upper("space_id")))
+    c = A.spread(A.corpus(spark, d, "id", "html", "space_id", "title", "child_list")).withColumn("key", F.upper("space_id"))
+    c = with_facts(c, out="f")
     raw = raw_signals(F.col("html"), F.col("title"), F.col("f.plain_text"), F.col("f.word_count"), F.col("child_list"), F.col("f"))
     # signals of the page itself are made before the join, so only short rows are moved
     own = materialise(c.select("id", F.col("f.plain_text").alias("text"), F.array(*(raw[k] for k in SIGNAL_KEYS)).alias("own")), "signals")

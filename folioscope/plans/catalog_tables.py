@@ -96,11 +96,67 @@ def q_merged_excerpts(spark, d):
     return merged.select("id", F.array_join(F.transform("excerpts", lambda x: x["type"]), ",").alias("types"))
 
 
-@query("SELECT CAST(page_id AS STRING) AS id, CAST(len(regexp_extract_all(html, 'ac:name=\"excerpt\"')) AS INT) AS n_sources, CAST(len(regexp_extract_all(html, 'ac:name=\"excerpt-include\"')) AS INT) AS n_includes FROM pages")
+#: Storage markup made from documents, in both dialects: each offers an excerpt, a navigation box or nothing, and shows that of
+#: the document with half its id, named by title, with or without a space.
+_WORDS = ("regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ')", "regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g')")
+_NAV = '<ac:structured-macro ac:name="contentbylabel"><ac:parameter ac:name="name">no</ac:parameter></ac:structured-macro>'
+_MARKUP = (
+    "concat('<h1>Page ', doc_id, '</h1><p>', {words}, '</p>', CASE WHEN doc_id % 3 < 2 THEN concat('<ac:structured-macro ac:name=\"excerpt\"><ac:parameter ac:name=\"name\">Box  ', doc_id, '</ac:parameter>', "
+    f"CASE WHEN doc_id % 3 = 1 THEN '{_NAV}' ELSE '' END, '<p>in it</p></ac:structured-macro>') ELSE '' END, "
+    "'<div><p><ac:structured-macro ac:name=\"excerpt-include\"><ac:parameter ac:name=\"name\">Box  ', {half}, '</ac:parameter><ac:parameter ac:name=\"\"><ac:link><ri:page ri:content-title=\"Page ', {half}, '\"', "
+    "CASE WHEN doc_id % 2 = 0 THEN ' ri:space-key=\"EN\"' ELSE '' END, '/></ac:link></ac:parameter></ac:structured-macro></p></div>')"
+)
+
+
+def _macro_pages(spark, d):
+    half = "CAST(doc_id DIV 2 AS STRING)"
+    return A.spread(A.table(spark, d, "documents").selectExpr("CAST(doc_id AS STRING) AS id", "concat('Page ', doc_id) AS title", "lang AS space_id", "upper(lang) AS key", f"{_MARKUP.format(words=_WORDS[0], half=half)} AS html"))
+
+
+@query("""
+    WITH p AS (SELECT doc_id, upper(lang) AS key, doc_id // 2 AS half, CASE WHEN doc_id % 2 = 0 THEN 'EN' ELSE upper(lang) END AS asked FROM documents),
+    s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'navbox' ELSE 'excerpt' END || ':box  ' || doc_id || ':source:' || doc_id AS x FROM p WHERE doc_id % 3 < 2),
+    i AS (SELECT p.doc_id, CASE WHEN o.doc_id % 3 = 1 THEN 'navbox' ELSE 'excerpt' END || ':box  ' || o.doc_id || ':shown:' || o.doc_id AS x FROM p JOIN p o ON o.doc_id = p.half AND o.key = p.asked)
+    SELECT CAST(p.doc_id AS STRING) AS id, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (FROM s UNION ALL FROM i) e WHERE e.doc_id = p.doc_id), '') AS excerpts FROM p""")
 def q_excerpts(spark, d):
-    from .catalog import _facts
-
-    return _facts(spark, d).select("id", F.size("f.sources").alias("n_sources"), F.size("f.includes").alias("n_includes"))
+    from ..operators.dom import with_facts
+    from ..operators.enrich import resolve_excerpts
+    from ..operators.links import title_index
+
+    pages = _macro_pages(spark, d)
+    spaces = pages.select(F.col("space_id").alias("id"), F.col("key").alias("short_id")).distinct()
+    facts = with_facts(pages).select("id", "key", "dom.sources", "dom.includes")
+    found = resolve_excerpts(facts, title_index(pages.select("id", "title", "space_id"), spaces))
+    text = lambda x: F.concat_ws(":", x["type"], F.lower(x["name"]), F.when(x["is_source"], "source").otherwise("shown"), x["source_id"])
+    return found.select("id", F.array_join(F.array_sort(F.transform("excerpts", text)), ",").alias("excerpts"))
+
+
+_TABLE = "concat('<table><tr><td>', {words}, '</td><td> </td><td>5 min</td><td><ri:user/>x y</td></tr></table>')"
+_STRUCTURE = (
+    "concat('<ac:layout><ac:layout-section><ac:layout-cell><h2>On ', doc_id, '</h2><p>', {words}, '</p><ul><li>one</li><li>two three</li></ul><p>ab <ac:image/></p>', "
+    "repeat({table}, CAST(doc_id % 4 AS INT)), '</ac:layout-cell><ac:layout-cell><ul><li>', {words}, '</li></ul><ac:adf-fallback><p>not this one at all</p></ac:adf-fallback><p>12 min of all', "
+    "repeat('<ac:image><ri:attachment/></ac:image>', CAST(doc_id % 3 AS INT)), '</p><ac:structured-macro ac:name=\"code\"><ac:plain-text-body><![CDATA[', {lines}, ']]></ac:plain-text-body></ac:structured-macro>"
+    "</ac:layout-cell></ac:layout-section></ac:layout>')"
+)
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, len(regexp_extract_all({_WORDS[1]}, '[A-Za-z]+')) AS n, CAST(doc_id % 4 AS INT) AS t, CAST(doc_id % 3 AS INT) AS im FROM documents),
+    u AS (SELECT *, list_filter([CASE WHEN n >= 5 OR n >= 2 THEN n + 3 ELSE 3 END, CASE WHEN n > 0 THEN n END, CASE WHEN im = 0 THEN 4 END], lambda x: x IS NOT NULL) AS units FROM w)
+    SELECT CAST(doc_id AS STRING) AS id, CAST(1 AS INT) AS header_count, 'On ' || doc_id AS header_titles, CAST(2 * n + 16 + doc_id % 5 AS INT) AS words_outside, CAST(1 + im AS INT) AS images_outside, t AS minutes_in_tables,
+      CAST(4 * t AS INT) AS n_cells, CAST(t * n + 5 * t AS INT) AS cell_words, CAST(1 AS INT) AS code_blocks, CAST(1 + doc_id % 5 AS INT) AS code_lines, CAST(len(units) AS INT) AS n_units, CAST(list_sum(units) AS INT) AS unit_words, CAST(units[1] AS INT) AS lead_words FROM u""")
+def q_dom_structure(spark, d):
+    from ..operators.dom import with_facts
+
+    words, lines = _WORDS[0], "concat('a', repeat('\\nb', CAST(doc_id % 5 AS INT)))"
+    html = _STRUCTURE.format(words=words, table=_TABLE.format(words=words), lines=lines)
+    pages = A.spread(A.table(spark, d, "documents").selectExpr("CAST(doc_id AS STRING) AS id", f"{html} AS html", "CAST(NULL AS STRING) AS key"))
+    f = with_facts(pages)
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
+    return f.select(
+        "id", "dom.header_count", "dom.header_titles", F.col("dom.words_outside_tables").alias("words_outside"), F.col("dom.images_outside_tables").alias("images_outside"), "dom.minutes_in_tables", F.size("dom.cells").alias("n_cells"), total("dom.cells").alias("cell_words"),
+        "dom.code_blocks", "dom.code_lines", F.size("dom.paragraphs").alias("n_units"), total("dom.paragraphs").alias("unit_words"), "dom.lead_words",
+    )
 
 
 def _documents(spark, d):

@@ -27,15 +27,6 @@ def test_query_equals_sql(spark, name):
     assert _rows(got.collect()) == _rows(want)
 
 
-def test_plain_text_and_lead():
-    from folioscope.functions.dom import facts
-
-    page = '<h1>Top</h1><p>One two <b>three</b></p><ul><li>four</li></ul><p>One two <b>three</b></p><ac:adf-fallback><p>gone</p></ac:adf-fallback><p><ac:link><ri:page ri:content-title="T"/></ac:link></p>'
-    f = facts(page, "KEY")
-    assert f["plain_text"] == "[[Heading: Top]]\nOne two three\n- four\n[[link to: KEY:T]]"
-    assert (f["word_count"], f["lead_words"], f["paragraphs"], f["header_count"]) == (5, 4, [4, 3], 1)
-
-
 def test_excerpts_round_trip(spark):
     from folioscope.operators.changes import add_excerpts, remove_excerpts
 

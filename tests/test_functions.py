@@ -6,56 +6,6 @@ import random
 import numpy as np
 import pytest
 
-from folioscope.functions import dom
-
-LAYOUT = (
-    "<ac:layout><ac:layout-section><ac:layout-cell><h2>Title</h2><p>First <em>words</em> of the page</p><ul><li>one</li><li>two</li></ul>"
-    '<p>ab <ac:image><ri:attachment ri:filename="x.png"/></ac:image></p><ac:adf-fallback><p>not this one at all</p></ac:adf-fallback>'
-    '<p><ac:structured-macro ac:name="excerpt-include"><ac:parameter ac:name="name">box</ac:parameter><ac:parameter ac:name=""><ac:link><ri:page ri:content-title="Other" ri:space-key="K"/></ac:link></ac:parameter></ac:structured-macro></p>'
-    "</ac:layout-cell><ac:layout-cell><p>Second cell of prose here</p></ac:layout-cell></ac:layout-section></ac:layout>"
-)
-
-
-def test_layout_page():
-    f = dom.facts(LAYOUT, "S")
-    assert f["plain_text"] == "[[Heading: Title]]\nFirst words of the page\n- one\n- two\nab\n[[Excerpt from: Other]]\nSecond cell of prose here"
-    assert f["paragraphs"] == [7, 5] and f["lead_words"] == 7 and f["lead_para"] == "<p>First <em>words</em> of the page</p><ul><li>one</li><li>two</li></ul>"
-    assert f["includes"] == [{"name": "box", "title": "Other", "space_key": "K"}] and f["sources"] == [] and f["images_outside_tables"] == 1
-
-
-def test_flags_stay_out_of_all_but_the_text():
-    page = '<p>See the page <ac:link><ri:page ri:content-title="A &amp; B"/></ac:link>, and <ac:link><ri:page ri:content-title="C" ri:space-key="ZZ"/></ac:link> too</p><ac:link><ri:user/></ac:link>'
-    f = dom.facts(page, "S")
-    assert f["plain_text"] == "See the page [[link to: S:A & B]], and [[link to: ZZ:C]] too" and f["word_count"] == 6
-    assert "fs:flag" not in f["lead_para"] and "link to" not in f["lead_para"] and f["lead_words"] == 6 and f["words_outside_tables"] == 6
-    assert dom.facts(page, None)["plain_text"].startswith("See the page [[link to: A & B]]")
-
-
-def test_tables_and_code():
-    page = (
-        "<table><tr><td>5 min</td><td></td><td>a b c d e f</td><td><ri:user/>x</td></tr><tr><td>late <b>120</b> Min of it</td></tr></table><p>out 7 min</p>"
-        '<ac:structured-macro ac:name="code"><ac:plain-text-body><![CDATA[a\nb\nc]]></ac:plain-text-body></ac:structured-macro><script>var x = 1;</script>'
-        '<ac:structured-macro ac:name="excerpt"><ac:parameter ac:name="name">n</ac:parameter><ac:structured-macro ac:name="contentbylabel"/></ac:structured-macro><ac:structured-macro ac:name="excerpt"><p>x</p></ac:structured-macro>'
-    )
-    f = dom.facts(page, "S")
-    assert f["minutes_in_tables"] == 2 and f["cells"] == [2, 0, 6, 2, 3] and (f["code_blocks"], f["code_lines"]) == (1, 3)
-    assert f["sources"] == [{"type": "navbox", "name": "n"}, {"type": "excerpt", "name": "UNNAMED"}] and f["words_outside_tables"] == 8
-
-
-def test_lines_once_and_empty_pages():
-    assert dom.plain_text("<p>a</p><p> a </p><li>a</li><h1>a</h1><h3>a</h3>", "S") == ("a\n- a\n[[Heading: a]]", 3)
-    assert dom.plain_text("", "S") == ("", 0) and dom.facts(None, None)["paragraphs"] == [] and dom.facts("", "S")["lead_para"] is None
-    assert dom.clean_html('<p>a<b> </b></p><div><span></span></div><ac:adf-fallback>x</ac:adf-fallback><ac:structured-macro ac:name="excerpt-include"/>') == "<p>a</p><p>[[Excerpt from: Unknown page]]</p>"
-
-
-@pytest.mark.parametrize("tag", ["p", "b", "td", "ul", "div"])
-def test_a_hundred_thousand_levels(tag):
-    page = f"<{tag}>x " * 100_000
-    f = dom.facts(page, "S")
-    assert f["words_outside_tables"] == 100_000 and dom.clean_html(page).count(f"<{tag}>") == 100_000
-    assert dom.facts("<p>one two " + page + "</p>", "S")["lead_words"] == 100_002
-
-
 def test_link_titles_with_odd_letters(spark):
     from folioscope.operators.links import resolve_links, title_index
 
