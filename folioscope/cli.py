@@ -1,8 +1,8 @@
 """The command line: ``python -m folioscope --corpus DIR COMMAND ...`` over a stored corpus.
 
 Every command is a DataFrame that is printed, or with ``--json`` written as JSON lines; with ``--ids-only`` only
-ids are.  Commands that would change a server plan their actions and print them; without a sink they are a
-dry run.
+ids are.  Commands that change a server print what became of each action; with ``--dry-run``, or without a configured
+server and token, they print the plan.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from .functions.text import label_name
 from .operators import changes, duplicates, links, overview, stats, tree
 from .operators.excerpts import excerpt_list
 from .sources.config import EngineConfig
+from .sources.rest import Sink
 from .sources.store import Corpus
 from .sources.tables import lookup, parse_ids, with_links
 
@@ -158,6 +159,31 @@ def sql_columns(corpus: Corpus, args) -> DataFrame:
     return corpus.spark.createDataFrame(corpus.table(args.table).dtypes, "column string, type string")
 
 
+def _sink(corpus: Corpus, args):
+    """What sends changes to the configured server; None for a dry run, or without a server and a token."""
+    path, config = _config(corpus)
+    return None if args.dry_run or not (config.url and config.token) else Sink(config.url, path)
+
+
+def _send_labels(corpus: Corpus, args, actions: DataFrame) -> DataFrame:
+    """Send label actions; those that worked are done to the stored pages, too."""
+    sink = _sink(corpus, args)
+    sent = changes.send(actions, sink)
+    if sink is not None:
+        corpus.write("pages", changes.apply_label_actions(corpus.table("pages"), sent.where("status in ('ok', 'absent')")))
+    return sent
+
+
+def _send_pages(corpus: Corpus, args, plan: DataFrame) -> DataFrame:
+    """Send changed pages; with a server the plan's status becomes what it said."""
+    sink = _sink(corpus, args)
+    if sink is None:
+        return plan
+    sent = changes.send(changes.page_writes(plan, corpus.table("pages")), sink)
+    done = sent.select("id", F.col("status").alias("sent"))
+    return plan.join(done, "id", "left").select("id", "html", "version", F.coalesce("sent", "status").alias("status"))
+
+
 def label_command(corpus: Corpus, args) -> DataFrame:
     space, pages = _space(corpus, args)
     if args.action == "list":
@@ -171,10 +197,10 @@ def label_command(corpus: Corpus, args) -> DataFrame:
         return fuzzy.nearest_labels(corpus.table("labels"), args.rest[0], top=5)
     if args.action == "merge":
         old, new = args.rest
-        return changes.send(changes.label_actions(corpus.table("pages"), corpus.table("pages").select("id"), "merge", old, new))
+        return _send_labels(corpus, args, changes.label_actions(corpus.table("pages"), corpus.table("pages").select("id"), "merge", old, new))
     args.pids = args.rest[1:]
     name = corpus.spark.range(1).select(label_name(F.lit(args.rest[0]))).head()[0]
-    return changes.send(changes.label_actions(corpus.table("pages"), _id_rows(corpus, args), args.action, name))
+    return _send_labels(corpus, args, changes.label_actions(corpus.table("pages"), _id_rows(corpus, args), args.action, name))
 
 
 def excerpt_command(corpus: Corpus, args) -> DataFrame:
@@ -183,21 +209,26 @@ def excerpt_command(corpus: Corpus, args) -> DataFrame:
     args.pids = args.rest[1:] if args.action == "add" else args.rest
     ids, pages = _id_rows(corpus, args), corpus.table("pages")
     if args.action == "remove":
-        return changes.remove_excerpts(pages, ids)
+        return _send_pages(corpus, args, changes.remove_excerpts(pages, ids))
     source = lookup(pages, args.rest[0], "title", "space_id", "excerpts").head()
     if source is None or not any(x.is_source for x in source.excerpts or []):
         raise ValueError(f"page {args.rest[0]} is no source of an excerpt")
     keys = {r.id: r.short_id for r in corpus.spaces().collect()}
     named = pages.withColumn("space_id", F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in keys.items() for x in kv)), F.col("space_id")), F.col("space_id"))) if keys else pages
     name = next(x.name for x in source.excerpts if x.is_source)
-    return changes.add_excerpts(named, ids, source.title, name, keys.get(source.space_id, source.space_id))
+    return _send_pages(corpus, args, changes.add_excerpts(named, ids, source.title, name, keys.get(source.space_id, source.space_id)))
 
 
 def move(corpus: Corpus, args) -> DataFrame:
     pages = corpus.table("pages")
     if lookup(pages, args.parent, "id").head() is None:
         raise ValueError(f"no such page: {args.parent}")
-    return changes.send(changes.move_pages(tree.parent_map(tree.tree_edges(pages)), _id_rows(corpus, args), args.parent))
+    plan = changes.move_pages(tree.parent_map(tree.tree_edges(pages)), _id_rows(corpus, args), args.parent)
+    sink = _sink(corpus, args)
+    if sink is None:
+        return changes.send(plan)
+    sent = changes.send(plan.select(F.col("child").alias("id"), F.lit("move").alias("op"), F.col("new_parent").alias("payload")), sink)
+    return plan.join(sent.select(F.col("id").alias("child"), "status"), "child")
 
 
 def preview(corpus: Corpus, args) -> DataFrame:
@@ -331,6 +362,8 @@ def build() -> argparse.ArgumentParser:
     p.add_argument("rest", nargs="*")
     p.add_argument("--sources-only", "-s", action="store_true")
     p.add_argument("--navboxes-only", "-n", action="store_true")
+    for p in (commands.choices["labels"], commands.choices["excerpts"]):
+        p.add_argument("--dry-run", action="store_true")
     p = add(commands, "move-pages", move, space=False, writes=True)
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--quiet", "-q", action="store_true")

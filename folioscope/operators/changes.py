@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dom import insert_include, strip_includes
+from ..storage import materialise
 
 
 def delta(remote: DataFrame, local: DataFrame, hard: bool = False) -> DataFrame:
@@ -62,10 +63,12 @@ def apply_label_actions(pages: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def add_excerpts(pages: DataFrame, ids: DataFrame, title: str, name: str, source_space: str) -> DataFrame:
-    """``id, html, version, status``: with an include; pages that have one or no place for it are left."""
+    """``id, html, version, status``: with an include; pages that have one or no place for it are left, as are those that
+    show a navigation box of another page, where ``pages`` has excerpts."""
     chosen = pages.join(ids.select("id"), "id", "left_semi")
     new = insert_include(F.col("html"), F.col("id"), F.lit(title), F.lit(name), F.col("space_id"), F.lit(source_space))
-    status = F.when(F.col("html").contains('ac:name="excerpt-include"'), "has-include").when(new.isNull(), "no-place").otherwise("changed")
+    boxed = F.exists("excerpts", lambda x: (x["type"] == "navbox") & ~x["is_source"]) if "excerpts" in pages.columns else F.lit(False)
+    status = F.when(F.coalesce(boxed, F.lit(False)), "has-navbox").when(F.col("html").contains('ac:name="excerpt-include"'), "has-include").when(new.isNull(), "no-place").otherwise("changed")
     out = chosen.withColumns({"status": status, "new": new})
     return out.select("id", F.when(F.col("status") == "changed", F.col("new")).otherwise(F.col("html")).alias("html"), (F.col("version") + (F.col("status") == "changed").cast("int")).alias("version"), "status")
 
@@ -87,12 +90,22 @@ def apply_moves(tree: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def send(actions: DataFrame, sink=None) -> DataFrame:
-    """Actions with their status; without a sink it is a dry run.  ``sink`` takes a row and returns whether it worked."""
+    """Actions with their status; without a sink it is a dry run.
+
+    ``sink`` takes a row and returns a status, or whether it worked.  What it returned is written to the shared folder, so
+    that reading the result does not send anything again.
+    """
     if sink is None:
         return actions.withColumn("status", F.lit("dry-run"))
+    said = lambda x: x if isinstance(x, str) else "ok" if x else "failed"
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(status=["ok" if sink(r) else "failed" for r in pdf.to_dict("records")])
+            yield pdf.assign(status=[said(sink(r)) for r in pdf.to_dict("records")])
+
+    return materialise(actions.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in [*actions.dtypes, ("status", "string")])), "sent")
+
 
-    return actions.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in [*actions.dtypes, ("status", "string")]))
+def page_writes(changed: DataFrame, pages: DataFrame) -> DataFrame:
+    """``id, op, payload, title, version`` that write the changed pages of a plan over the versions it was made from."""
+    return changed.where("status = 'changed'").select("id", F.lit("put").alias("op"), F.col("html").alias("payload")).join(pages.select("id", "title", "version"), "id")

@@ -31,8 +31,3 @@ def merged_excerpts(*found: DataFrame) -> DataFrame:
     for f in found[1:]:
         rows = rows.unionByName(f.select("id", F.explode("excerpts").alias("x")))
     return rows.groupBy("id").agg(F.sort_array(F.collect_set("x")).alias("excerpts"))
-
-
-def has_navbox(pages: DataFrame) -> DataFrame:
-    """``id`` of pages that show a navigation box of another page: they take no further include."""
-    return pages.where(F.exists("excerpts", lambda x: (x["type"] == "navbox") & ~x["is_source"])).select("id")

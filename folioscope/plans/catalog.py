@@ -357,7 +357,7 @@ _SUBTREE = f"""{_CLOSURE}, {A.CORPUS_SQL}, m AS (SELECT a, count(*) AS n_descend
 
 @query(f"WITH RECURSIVE {_SUBTREE} SELECT m.a AS id, n_descendants, CAST(avg_words AS DOUBLE) AS avg_words, page_type AS common_type FROM m LEFT JOIN t ON t.a = m.a AND k = 1")
 def q_subtree_metrics(spark, d):
-    return G.subtree_metrics(_nodes(spark, d), G.closure(A.tree(spark, d)))
+    return G.subtree_metrics(_nodes(spark, d), A.tree(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_SUBTREE}, {A.LINKS_SQL}, dep AS (SELECT x, max(n) AS depth FROM up GROUP BY x), j AS (SELECT c.id, c.title, c.page_type, (SELECT count(*) FROM tree WHERE parent = c.id) AS n_children, coalesce(n_descendants, 0) AS n_descendants, coalesce(avg_words, 0) AS avg_words, t.page_type AS common_type,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import os
 import time
 
 from pyspark.sql import DataFrame
@@ -26,16 +27,22 @@ STEPS = ("children", "authors", "labels", "parse_text", "basic_stats", "convert_
 _ENRICHED = STEPS[3:7]
 
 
+def _signed(corpus: Corpus) -> dict[str, str]:
+    """Where the e-mail and the token of the requests are stored."""
+    path = os.path.join(corpus.root, "connection.json")
+    return {"connection": path} if os.path.exists(path) else {}
+
+
 def _fetch(corpus: Corpus, root: str, space_ids: list[str], hard: bool, whole: bool, force: bool) -> list[str]:
     """Ids of the pages that are new or newer than ours, with their rows stored; lost pages go if all spaces are listed."""
     local = corpus.table("pages")
-    listed = materialise(rest.listed_pages(corpus.spark, root, space_ids), "listed")
+    listed = materialise(rest.listed_pages(corpus.spark, root, space_ids, **_signed(corpus)), "listed")
     changed = [r.id for r in delta(listed, local.select("id", "version"), hard).collect()]  # the requests that follow are the driver's to plan
     if changed:
         now = datetime.datetime.now(datetime.timezone.utc).isoformat()
         ids = corpus.spark.createDataFrame([(i,) for i in changed], "id string")
         fresh = replace_rows(local, listed.join(ids, "id", "left_semi").withColumn("retrieved_at", F.lit(now)))
-        local = corpus.write("pages", merge_rows(fresh, materialise(rest.page_bodies(corpus.spark, root, changed), "bodies")))
+        local = corpus.write("pages", merge_rows(fresh, materialise(rest.page_bodies(corpus.spark, root, changed, **_signed(corpus)), "bodies")))
     if whole:
         lost, kept = dead_pages(local, listed).count(), local.count()
         if lost and too_many_dead(lost, kept) and not force:
@@ -50,21 +57,21 @@ def _merge(corpus: Corpus, new: DataFrame) -> None:
 
 
 def _authors(corpus: Corpus, root: str, ids: list[str]) -> None:
-    edits = materialise(rest.versions(corpus.spark, root, ids), "versions")
+    edits = materialise(rest.versions(corpus.spark, root, ids, **_signed(corpus)), "versions")
     known = corpus.table("authors")
     unknown = [r.author_id for r in edits.where("author_id is not null").select("author_id").distinct().join(known.select("author_id"), "author_id", "left_anti").collect()]
     if unknown:
-        found = rest.users(corpus.spark, root, unknown).withColumn("name_normalized", author_name(F.coalesce("display_name", "name")))
+        found = rest.users(corpus.spark, root, unknown, **_signed(corpus)).withColumn("name_normalized", author_name(F.coalesce("display_name", "name")))
         known = corpus.write("authors", known.unionByName(found, allowMissingColumns=True))
     _merge(corpus, author_history(edits.where("author_id is not null"), known))
 
 
 def _labels(corpus: Corpus, root: str, space_ids: list[str]) -> None:
     """All labels anew: a label that is gone leaves its pages, too."""
-    found = materialise(rest.labels(corpus.spark, root, space_ids).dropDuplicates(["id"]), "labels")
+    found = materialise(rest.labels(corpus.spark, root, space_ids, **_signed(corpus)).dropDuplicates(["id"]), "labels")
     now = datetime.datetime.now(datetime.timezone.utc).isoformat()
     corpus.write("labels", found.withColumn("retrieved_at", F.lit(now)))
-    pages = rest.label_pages(corpus.spark, root, [r.id for r in found.select("id").collect()])
+    pages = rest.label_pages(corpus.spark, root, [r.id for r in found.select("id").collect()], **_signed(corpus))
     named = pages.join(found.select(F.col("id").alias("label_id"), "label"), "label_id").select("id", "label")
     table = corpus.table("pages")
     corpus.write("pages", table.drop("labels").join(materialise(full_labels(named, table), "page_labels"), "id"))
@@ -123,7 +130,7 @@ def sync(corpus: Corpus, root: str, space: str | None = None, hard: bool = False
     steps = STEPS[STEPS.index(from_step) if from_step else 0 :]
     if "children" in steps:
         ours = corpus.spark.createDataFrame([(i,) for i in ids], "id string")
-        timed("children", lambda: _merge(corpus, rest.child_lists(rest.children(corpus.spark, root, ids), ours)))
+        timed("children", lambda: _merge(corpus, rest.child_lists(rest.children(corpus.spark, root, ids, **_signed(corpus)), ours)))
     if "authors" in steps:
         timed("authors", _authors, corpus, root, ids)
     if "labels" in steps:

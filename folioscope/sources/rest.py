@@ -3,8 +3,12 @@
 Options: ``root`` (an URL, or a folder with a file per endpoint page), ``endpoints`` (comma-separated),
 ``fields`` (of each result, as dotted paths), ``limit``, ``most`` (results of an endpoint, for samples; all
 if absent), ``missing`` (``error``, or ``skip`` for endpoints that may be gone) and ``partitions`` (endpoints are
-dealt to that many; one each if absent).  The token comes from the environment of the executors, named by
-``token_env``, and is never in options, plans or messages.
+dealt to that many; one each if absent).  ``connection`` names a file of settings on the driver, whose e-mail and token
+go to the tasks with the reader; without it the token comes from the environment of the executors, named by ``token_env``.
+Neither is ever in options, plans or messages.
+
+``Sink`` sends changes.  What it does may be done twice without harm, since a task may run again: a page is written only
+over the version that the change was made from, and one that already has the new text counts as written.
 
 A read is complete or fails: only a missing endpoint under ``skip`` is passed over, any other failed request
 is tried again and then raises, so Spark runs the task anew or ends the job.
@@ -12,6 +16,7 @@ is tried again and then raises, so Spark runs the task anew or ends the job.
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import time
@@ -24,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .config import EngineConfig
+
 PAUSE_SECONDS, TIMEOUT_SECONDS, TRIES = 0.03, 30, 4
 #: Ids in one request for page bodies.
 BODIES_AT_ONCE = 25
@@ -33,6 +40,14 @@ class Missing(Exception):
     """The server (or folder) has no such endpoint."""
 
 
+class Refused(OSError):
+    """The server will not do it, however often it is asked."""
+
+    def __init__(self, code: int):
+        super().__init__(f"HTTP {code}")
+        self.code = code
+
+
 class _Endpoints(InputPartition):
     def __init__(self, names: list[str]):
         self.names = names
@@ -43,15 +58,30 @@ def replay_file(endpoint: str, cursor: str | None = None) -> str:
     return quote(endpoint, safe="").replace("%2F", "_") + (f".{quote(cursor, safe='')}" if cursor else "") + ".json"
 
 
-def _request(url: str, token: str | None) -> dict:
-    request = urllib.request.Request(url, headers={"Authorization": f"Bearer {token}"} if token else {})
+def credentials(connection: str | None) -> str | None:
+    """The authorization header for the settings in a file: an e-mail and a token, or a token alone."""
+    if not connection or not os.path.exists(connection):
+        return None
+    config = EngineConfig.load(connection)
+    if not config.token:
+        return None
+    return "Basic " + base64.b64encode(f"{config.email}:{config.token}".encode()).decode() if config.email else f"Bearer {config.token}"
+
+
+def _request(url: str, token: str | None, method: str = "GET", body: object = None) -> dict:
+    headers = {"Authorization": token if token.startswith(("Basic ", "Bearer ")) else f"Bearer {token}"} if token else {}
+    data = None if body is None else json.dumps(body).encode()
+    request = urllib.request.Request(url, data, headers | ({"Content-Type": "application/json"} if data else {}), method=method)
     for attempt in range(TRIES):
         try:
             with urllib.request.urlopen(request, timeout=TIMEOUT_SECONDS) as r:
-                return json.load(r)
+                text = r.read()
+                return json.loads(text) if text.strip() else {}
         except urllib.error.HTTPError as e:
             if e.code in (404, 410):
                 raise Missing(url) from None
+            if e.code in (400, 401, 403, 409):
+                raise Refused(e.code) from None
             if attempt + 1 == TRIES or (e.code < 500 and e.code != 429):
                 raise OSError(f"HTTP {e.code} from {url}") from None
         except OSError as e:
@@ -109,6 +139,7 @@ class _Reader(DataSourceReader):
         self.options = options
         if self.options.get("missing", "error") not in ("error", "skip"):
             raise ValueError(f"missing: {self.options['missing']}")
+        self.header = credentials(self.options.get("connection"))  # read on the driver; tasks get the reader itself
 
     def partitions(self) -> list[_Endpoints]:
         names = [e.strip() for e in self.options["endpoints"].split(",") if e.strip()]
@@ -117,7 +148,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Endpoints):
         fields = [f.strip() for f in self.options["fields"].split(",")]
-        token = os.environ.get(self.options.get("token_env", ""))
+        token = self.header or os.environ.get(self.options.get("token_env", ""))
         most = self.options.get("most")
         for name in partition.names:
             try:
@@ -128,6 +159,60 @@ class _Reader(DataSourceReader):
                     raise
 
 
+class Sink:
+    """Sends rows ``id, op, payload`` (and for pages ``title, version``) and returns what became of each: ``ok``, ``absent``,
+    ``conflict`` (the page is not at the version that the change was made from), ``refused`` or ``failed``.
+
+    Ops are ``add`` and ``remove`` (a label), ``put`` (markup) and ``move`` (below the page ``payload``).
+    """
+
+    def __init__(self, root: str, connection: str | None = None):
+        self.root, self.header = root.rstrip("/"), credentials(connection)
+        self.old = self.root.replace("/api/v2", "/rest/api")
+
+    def __call__(self, row: dict) -> str:
+        try:
+            return getattr(self, f"_{row['op']}")(row)
+        except Missing:
+            return "absent"
+        except Refused as e:
+            return "conflict" if e.code == 409 else "refused"
+        except OSError:
+            return "failed"
+
+    def _add(self, row: dict) -> str:
+        _request(f"{self.old}/content/{row['id']}/label", self.header, "POST", [{"prefix": "global", "name": row["payload"]}])
+        return "ok"
+
+    def _remove(self, row: dict) -> str:
+        _request(f"{self.old}/content/{row['id']}/label?{urlencode({'name': row['payload']})}", self.header, "DELETE")
+        return "ok"
+
+    def _move(self, row: dict) -> str:
+        _request(f"{self.old}/content/{row['id']}/move/append/{row['payload']}", self.header, "PUT")
+        return "ok"
+
+    def _put(self, row: dict) -> str:
+        url, version = f"{self.root}/pages/{row['id']}", int(row["version"])
+        body = {"id": row["id"], "status": "current", "title": row["title"], "body": {"representation": "storage", "value": row["payload"]}, "version": {"number": version + 1}}
+
+        def state() -> str | None:
+            """``ok`` if an earlier try has written it, None if it is still to be written."""
+            now = _request(f"{url}?body-format=storage", self.header)
+            at = int(now["version"]["number"])
+            return None if at == version else "ok" if at == version + 1 and _field(now, "body.storage.value") == row["payload"] else "conflict"
+
+        done = state()
+        if done is None:
+            try:
+                _request(url, self.header, "PUT", body)
+            except Refused as e:
+                if e.code != 409:
+                    raise
+                return state() or "conflict"
+        return done or "ok"
+
+
 class WikiRest(DataSource):
     @classmethod
     def name(cls) -> str:

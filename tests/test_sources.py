@@ -202,3 +202,111 @@ def test_small_tables(spark, tmp_path):
         EngineConfig(url="ftp://x")
     with pytest.raises(ValueError):
         tables.lookup(pages, "1", "no_such")
+
+
+class _Wiki:
+    """A server with two versions of its interface, in a thread: it keeps what it is sent, and page 13 always fails."""
+
+    def __init__(self):
+        import threading
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        self.pages = {str(i): {"id": str(i), "version": {"number": 3}, "body": {"storage": {"value": f"<p>{i}</p>"}}} for i in (1, 2, 3, 13)}
+        self.labels, self.moves, self.seen, self.lost = {"1": {"old"}, "2": set()}, {}, [], {"2": 1}
+        wiki = self
+
+        class Handler(BaseHTTPRequestHandler):
+            def reply(self, code, body=None):
+                self.send_response(code)
+                self.end_headers()
+                self.wfile.write(json.dumps(body).encode() if body is not None else b"")
+
+            def log_message(self, *_):
+                pass
+
+            def handle_any(self):
+                path, _, query = self.path.partition("?")
+                body = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or "null")
+                wiki.seen.append((self.command, path, self.headers.get("Authorization")))
+                parts = path.split("/")
+                if "13" in parts:
+                    return self.reply(500)
+                if parts[2] == "api":
+                    page = wiki.pages.get(parts[-1])
+                    if page is None:
+                        return self.reply(404)
+                    if self.command == "GET":
+                        return self.reply(200, page)
+                    if body["version"]["number"] != page["version"]["number"] + 1:
+                        return self.reply(409)
+                    page["version"], page["body"] = body["version"], {"storage": {"value": body["body"]["value"]}}
+                    if wiki.lost.get(page["id"]):  # it is done, and the answer is lost
+                        wiki.lost[page["id"]] -= 1
+                        return self.reply(503)
+                    return self.reply(200, page)
+                if "move" in parts:
+                    wiki.moves[parts[5]] = parts[-1]
+                    return self.reply(200)
+                held = wiki.labels.get(parts[5])
+                if held is None:
+                    return self.reply(404)
+                if self.command == "POST":
+                    held.add(body[0]["name"])
+                    return self.reply(200, {})
+                name = query.partition("=")[2]
+                self.reply(204 if name in held else 404)
+                held.discard(name)
+
+            do_GET = do_POST = do_PUT = do_DELETE = handle_any
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.root = f"http://127.0.0.1:{self.server.server_port}/wiki/api/v2"
+
+
+@pytest.fixture
+def wiki():
+    found = _Wiki()
+    yield found
+    found.server.shutdown()
+
+
+def test_changes_are_sent_once(spark, wiki, tmp_path, monkeypatch):
+    from folioscope.operators import changes
+
+    path = str(tmp_path / "connection.json")
+    EngineConfig(email="a@x", url=wiki.root, token="secret").save(path)
+    monkeypatch.setattr(rest, "TRIES", 2)
+    sink = rest.Sink(wiki.root, path)
+    rows = [("1", "add", "new"), ("1", "remove", "old"), ("2", "remove", "old"), ("9", "add", "new"), ("13", "add", "new"), ("3", "move", "1")]
+    sent = changes.send(spark.createDataFrame(rows, "id string, op string, payload string"), sink)
+    want = dict(zip([r[:2] for r in rows], ["ok", "ok", "absent", "absent", "failed", "ok"], strict=True))
+    for _ in range(2):  # reading the result again sends nothing
+        assert {(r.id, r.op): r.status for r in sent.collect()} == want
+    assert wiki.labels == {"1": {"new"}, "2": set()} and wiki.moves == {"3": "1"}
+    assert sum(method == "POST" and path.endswith("/1/label") for method, path, _ in wiki.seen) == 1
+    assert {x for _, _, x in wiki.seen} == {"Basic YUB4OnNlY3JldA=="}
+
+    pages = spark.createDataFrame([(i, f"T{i}", v, "<p>x</p>") for i, v in (("1", 3), ("2", 3), ("3", 2), ("13", 3))], "id string, title string, version int, html string")
+    plan = changes.page_writes(pages.select("id", pages["html"], "version").selectExpr("id", "html", "version + 1 as version", "'changed' as status"), pages)
+    assert {r.id: r.status for r in changes.send(plan, sink).collect()} == {"1": "ok", "2": "ok", "3": "conflict", "13": "failed"}  # the answer for page 2 was lost once
+    assert {r.id: r.status for r in changes.send(plan, sink).collect()} == {"1": "ok", "2": "ok", "3": "conflict", "13": "failed"}  # a task that runs again
+    assert wiki.pages["1"]["version"]["number"] == wiki.pages["2"]["version"]["number"] == 4 and wiki.pages["3"]["body"]["storage"]["value"] == "<p>3</p>"
+
+
+def test_pages_with_a_navigation_box_take_no_include(spark):
+    from folioscope.operators.changes import add_excerpts
+    from folioscope.schema import EXCERPT
+
+    shown = lambda kind, own: [(kind, "n", own, "7")]
+    rows = [("1", "<p>a</p>", 1, "S", shown("navbox", False)), ("2", "<p>a</p>", 1, "S", shown("navbox", True)), ("3", "<p>a</p>", 1, "S", None)]
+    pages = spark.createDataFrame(rows, f"id string, html string, version int, space_id string, excerpts array<{EXCERPT}>")
+    assert {r.id: r.status for r in add_excerpts(pages, pages.select("id"), "T", "n", "S").collect()} == {"1": "has-navbox", "2": "changed", "3": "changed"}
+
+
+def test_reads_carry_the_stored_connection(spark, wiki, tmp_path):
+    path = str(tmp_path / "connection.json")
+    EngineConfig(email="a@x", url=wiki.root, token="secret").save(path)
+    found = rest.read(spark, wiki.root, ["pages/1"], "id", connection=path)
+    assert found.collect() == [] and {x for _, _, x in wiki.seen} == {"Basic YUB4OnNlY3JldA=="}
+    assert "secret" not in found._jdf.queryExecution().toString()
