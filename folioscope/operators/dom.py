@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dom import FLAG, MACRO, VOID, html_nodes, link_count
-from ..storage import materialise
+from ..storage import materialise, shuffle_partitions
 
 BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "table", "pre")
 LISTS = ("ul", "ol")
@@ -42,10 +42,14 @@ def _any(condition: Column) -> Column:
 
 
 def _events(nodes: DataFrame, *more: str) -> DataFrame:
-    """A row per start, end and text, with ``way`` 1, -1 and 0."""
+    """A row per start, end and text, with ``way`` 1, -1 and 0.
+
+    Nodes are dealt out by page before they become events, to a stated number of tasks: what follows is work, not bytes.
+    """
     own = nodes.withColumns({"name": F.when(F.col("tag") == MACRO, F.col("attrs")["ac:name"]), "piece": strip(F.col("text"))})
     place = F.when(F.col("tag").isNull(), F.array("pre")).otherwise(F.array("pre", "post"))
-    own = own.select("page", "pre", "post", "parent", "parent_tag", "tag", "name", "text", "piece", *more, F.explode(place).alias("pos"))
+    own = own.select("page", "pre", "post", "parent", "parent_tag", "tag", "name", "text", "piece", *more, place.alias("place")).repartition(shuffle_partitions(nodes.sparkSession), "page")
+    own = own.withColumn("pos", F.explode("place")).drop("place")
     return own.withColumn("way", F.when(F.col("tag").isNull(), 0).when(F.col("pos") == F.col("pre"), 1).otherwise(-1))
 
 
@@ -79,7 +83,7 @@ def _sums(nodes: DataFrame) -> DataFrame:
     """Events with depths and running sums.  ``begin`` is where a text, or what follows, stands in the page's texts joined by blanks."""
     title = F.when(F.col("tag") == "ri:page", F.struct(F.col("attrs")["ri:content-title"].alias("title"), F.col("attrs")["ri:space-key"].alias("key"))).alias("ref")
     param = _any((F.col("tag") == "ac:parameter") & (F.col("attrs")["ac:name"] == "name")).alias("is_param")
-    rows = _events(nodes.withColumns({"ref": title, "is_param": param}), "ref", "is_param")
+    rows = _events(nodes.withColumns({"ref": title, "is_param": param}), "ref", "is_param").where("tag is not null or piece <> ''")
     rows = rows.withColumns({
         "flags": _depth(F.col("tag") == FLAG), "fallbacks": _depth(F.col("tag") == FALLBACK), "tables": _depth(F.col("tag") == "table"), "lists": _depth(F.col("tag").isin(*LISTS)),
         "users": _total(F.lit(1), (F.col("tag") == "ri:user") & (F.col("way") == 1)), "rich": _total(F.lit(1), F.col("tag").isin("ac:image", MACRO) & (F.col("way") == 1)),
@@ -259,9 +263,12 @@ def clean_html(nodes: DataFrame) -> DataFrame:
 
 
 def page_facts(nodes: DataFrame) -> DataFrame:
-    """All facts of each page, a row per page; ``nodes`` is read several times, so it should be a written table."""
+    """All facts of each page, a row per page; ``nodes`` is read several times, so it should be a written table.
+
+    Elements with what they hold are written, since four kinds of facts come from them.
+    """
     sums = _sums(nodes)
-    elements = _elements(sums)
+    elements = materialise(_elements(sums), "elements")
     texts, units = _texts(sums), _units(elements)
     lead = _lead(nodes, units)
     rows = _element_facts(elements).join(texts, "page").join(plain_text(nodes), "page").join(units.select("page", "paragraphs", "lead_words"), "page", "left").join(lead, "page", "left").join(_minutes(elements, texts), "page", "left")
@@ -279,4 +286,5 @@ def with_facts(pages: DataFrame, id_col: str = "id", html_col: str = "html", key
     """``pages`` with a struct of all facts.  Markup is cut into nodes once, and they are written to the shared folder."""
     nodes = materialise(html_nodes(pages, id_col, html_col, key_col), "nodes")
     found = page_facts(nodes)
-    return pages.join(found.select(F.col("page").alias(id_col), F.struct(*(c for c in found.columns if c != "page")).alias(out)), id_col)
+    found = found.select(F.col("page").alias(id_col), F.struct(*(c for c in found.columns if c != "page")).alias(out))
+    return pages.repartition(shuffle_partitions(pages.sparkSession), id_col).join(found, id_col)

@@ -504,7 +504,12 @@ _PLAIN_TEXT = f"""
 
 @query(_PLAIN_TEXT)
 def q_plain_text(spark, d):
-    return _facts(spark, d).select("id", "f.plain_text", "f.word_count")
+    from ..functions.dom import html_nodes
+    from ..operators.dom import plain_text
+    from ..storage import materialise
+
+    pages = A.spread(A.corpus(spark, d, "id", "html", "space_id")).withColumn("key", F.upper("space_id"))
+    return plain_text(materialise(html_nodes(pages), "nodes")).withColumnRenamed("page", "id")
 
 
 _OPENING = "'<p><b>([^<]*)<br>'"
