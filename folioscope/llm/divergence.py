@@ -39,7 +39,7 @@ _IS_TERM = (_BYTES >= 128) | ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES | 32, _BYTES).astype(np.uint8)
 UNIT, PRIOR = 1_000_000_000, 5
 #: Bytes of text whose terms are combined at once, pairs that a scan makes at once, and pairs that it holds.
-CHUNK, PAIRS, HELD = 24 << 20, 1 << 21, 400_000
+CHUNK, PAIRS, HELD = 10 << 20, 1 << 21, 400_000
 _RUN = "lang binary, term binary, source binary, document long, n_docs long, n long"
 
 
