@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import changes, duplicates, overview, stats
+from ..operators import changes, duplicates, hierarchy, overview, stats
 from ..operators import links as L
 from ..operators import tree as G
 from . import adapter as A
@@ -302,6 +302,12 @@ def q_radius_pairs(spark, d):
     return duplicates.radius_pairs(vectors, 1.1).select("a", "b", F.round("distance", 6).alias("distance")).orderBy("distance", "a", "b")
 
 
+@query()
+def q_density_hierarchy(spark, d):
+    vectors = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return hierarchy.hierarchical_clusters(vectors).select("id", "cluster", F.round("prob", 6).alias("prob"))
+
+
 @query("SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY embedding) AS class_id FROM embeddings")
 def q_vector_classes(spark, d):
     return duplicates.vector_classes(A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")))
