@@ -1,28 +1,27 @@
-"""Facts of pages from their node table: running sums over starts, ends and texts in document order.
+"""Facts of pages from their node table.
 
-Each element of ``html_nodes`` becomes two events, its start and its end.  Running sums over a page's events turn "inside
-of" into a depth above 0 and "what it holds" into a difference of two values, so elements may nest as deeply as they
-like.  What comes next in a page (the first page reference in a macro, say) is the last value of the events read
-backwards.  All steps are windows and groups of a page, dealt out once by page.
+The nodes of ``html_nodes`` carry depths ("inside of") and what they hold, which the tokenizer sums up as it goes, so elements
+may nest as deeply as they like and most facts are groups of narrow rows.  Only texts, lead paragraphs and cleaned markup move what pages
+say.  For the last, each element becomes two events, its start and its end.
 
 Defined results: a page without markup has no text, no units and no cells; a page's id is unique.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.dom import FLAG, MACRO, VOID, html_nodes, link_count
+from ..functions.dom import BLOCKS, FALLBACK, FLAG, INCLUDE, LISTS, MACRO, VOID, html_nodes, link_count
 from ..storage import materialise, shuffle_partitions
 
-BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "table", "pre")
-LISTS = ("ul", "ol")
-CELL, FALLBACK, INCLUDE = "ac:layout-cell", "ac:adf-fallback", "excerpt-include"
+CELL = "ac:layout-cell"
 #: What a string's blanks are: those of Unicode and the separators of ASCII.
 BLANK = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _MINUTES = rf"(?<![\p{{L}}\p{{N}}_])[1-9]\p{{Nd}}{{0,2}}[{BLANK}]*+(?i:min)(?![\p{{L}}\p{{N}}_])"
 #: Fixed value: the flag of a link, its space key and title.
 LINK_FLAG = r"(?s)\[\[link to:\s+(?:~[A-Za-z0-9]+|[A-Z0-9]+):.*?\]\]"
@@ -30,7 +29,7 @@ _STRINGS = "array<string>"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{BLANK}]++|(?<![{BLANK}])[{BLANK}]++\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def n_words(text: Column) -> Column:
@@ -70,86 +69,47 @@ def _total(value: Column, condition: Column) -> Column:
     return F.sum(F.when(_any(condition), value).otherwise(0)).over(_so_far())
 
 
-def _is_block() -> Column:
-    return F.col("tag").isin(*BLOCKS) | F.col("name").eqNullSafe(INCLUDE)
-
-
-def _counted() -> Column:
-    """Texts that say something and are no flag."""
-    return (F.col("way") == 0) & (F.col("piece") != "") & (F.col("flags") == 0)
-
-
-def _sums(nodes: DataFrame) -> DataFrame:
-    """Events with depths and running sums.  ``begin`` is where a text, or what follows, stands in the page's texts joined by blanks."""
-    title = F.when(F.col("tag") == "ri:page", F.struct(F.col("attrs")["ri:content-title"].alias("title"), F.col("attrs")["ri:space-key"].alias("key"))).alias("ref")
-    param = _any((F.col("tag") == "ac:parameter") & (F.col("attrs")["ac:name"] == "name")).alias("is_param")
-    rows = _events(nodes.withColumns({"ref": title, "is_param": param}), "ref", "is_param").where("tag is not null or piece <> ''")
-    rows = rows.withColumns({
-        "flags": _depth(F.col("tag") == FLAG), "fallbacks": _depth(F.col("tag") == FALLBACK), "tables": _depth(F.col("tag") == "table"), "lists": _depth(F.col("tag").isin(*LISTS)),
-        "users": _total(F.lit(1), (F.col("tag") == "ri:user") & (F.col("way") == 1)), "rich": _total(F.lit(1), F.col("tag").isin("ac:image", MACRO) & (F.col("way") == 1)),
-        "navs": _total(F.lit(1), (F.col("name") == "contentbylabel") & (F.col("way") == 1)),
-    })
-    said = _counted()
-    rows = rows.withColumns({
-        "words": _total(n_words(F.col("piece")), said), "pieces": _total(F.lit(1), said), "letters": _total(F.length("piece"), said), "lines": _total(F.regexp_count("piece", F.lit(_BREAKS)) + 1, said),
-    })
-    return rows.withColumn("begin", F.col("letters") + F.col("pieces"))
-
-
-_HELD = ("users", "rich", "navs", "words", "pieces", "letters", "lines", "begin")
-
-
-def _elements(sums: DataFrame) -> DataFrame:
-    """A row per element: depths outside of it, and of each running sum what it was (``x_at``) and what the element holds (``x``)."""
-    start, end = F.col("way") == 1, F.col("way") == -1
-    held = [F.max(F.when(start, F.col(c))).alias(f"{c}_at") for c in _HELD] + [(F.max(F.when(end, F.col(c))) - F.max(F.when(start, F.col(c)))).alias(c) for c in _HELD]
-    depths = [F.max(F.when(start, F.col(c))).alias(c) for c in ("fallbacks", "tables", "lists")]
-    same = [F.first(c, ignorenulls=True).alias(c) for c in ("post", "parent", "parent_tag", "tag", "name", "ref", "is_param")]
-    return sums.where("way <> 0").groupBy("page", "pre").agg(*same, *depths, *held)
+def _elements(nodes: DataFrame) -> DataFrame:
+    """A row per element with what it holds; no text is read."""
+    name = F.when(F.col("tag") == MACRO, F.col("attrs")["ac:name"])
+    return nodes.where("tag is not null").withColumn("name", name).drop("attrs", "text")
 
 
 def _listed(condition: Column, *values: Column) -> Column:
     """The values of the rows that hold ``condition``, as an array in document order."""
-    return F.array_sort(F.collect_list(F.when(_any(condition), F.struct("pre", *values))))
+    return F.sort_array(F.collect_list(F.when(_any(condition), F.struct("pre", *values))))
 
 
 def _element_facts(elements: DataFrame) -> DataFrame:
-    back = W.partitionBy("page").orderBy(F.desc("pre")).rowsBetween(W.unboundedPreceding, -1)
-    after = lambda condition, *values: F.last(F.when(_any(condition), F.struct("pre", *values)), ignorenulls=True).over(back)
-    rows = elements.withColumns({
-        "next_ref": after(F.col("ref").isNotNull(), F.col("ref.title").alias("title"), F.col("ref.key").alias("key")),
-        "next_param": after(F.col("is_param"), F.col("begin_at").alias("a"), F.col("begin").alias("n")),
-        "next_body": after(F.col("tag") == "ac:plain-text-body", "lines"),
-    })
-    inside = lambda c: _any(F.col(f"{c}.pre") < F.col("post"))
-    range_of = F.when(inside("next_param"), F.struct("next_param.a", "next_param.n")).alias("range")
     cell = F.col("words") - F.greatest(F.col("pieces") - 1, F.lit(0)) + F.col("users")
-    source, include = F.col("name") == "excerpt", (F.col("name") == INCLUDE) & inside("next_ref")
-    heads = F.col("tag").isin("h1", "h2")
-    return rows.groupBy("page").agg(
-        F.count_if(_any(heads)).cast("int").alias("header_count"), _listed(heads, F.col("letters_at").alias("a"), F.col("letters").alias("n")).alias("heads"),
+    source, include, heads = F.col("name") == "excerpt", (F.col("name") == INCLUDE) & F.col("ref").isNotNull(), F.col("tag").isin("h1", "h2")
+    label = F.col("label").alias("label")
+    return elements.groupBy("page").agg(
+        F.count_if(_any(heads)).cast("int").alias("header_count"), F.array_join(F.transform(_listed(heads, label), lambda x: x["label"]), ",").alias("header_titles"),
         F.count_if(_any((F.col("tag") == "ac:image") & (F.col("tables") == 0))).cast("int").alias("images_outside_tables"), F.count_if(_any((F.col("name") == "drawio") & (F.col("tables") == 0))).cast("int").alias("diagrams_outside_tables"),
         F.transform(_listed(F.col("tag") == "td", cell.cast("int").alias("n")), lambda x: x["n"]).alias("cells"),
-        F.count_if(_any(F.col("name") == "code")).cast("int").alias("code_blocks"), F.coalesce(F.sum(F.when(_any(F.col("name") == "code") & inside("next_body"), F.col("next_body.lines"))), F.lit(0)).cast("int").alias("code_lines"),
-        _listed(source, F.when(F.col("navs") > 0, "navbox").otherwise("excerpt").alias("type"), range_of).alias("source_ranges"),
-        _listed(include, range_of, F.col("next_ref.title").alias("title"), F.col("next_ref.key").alias("space_key")).alias("include_ranges"),
+        F.count_if(_any(F.col("name") == "code")).cast("int").alias("code_blocks"), F.coalesce(F.sum("body_lines"), F.lit(0)).cast("int").alias("code_lines"),
+        F.transform(_listed(source, F.when(F.col("navs") > 0, "navbox").otherwise("excerpt").alias("type"), label), lambda x: F.struct(x["type"].alias("type"), x["label"].alias("name"))).alias("sources"),
+        F.transform(_listed(include, label, F.col("ref_title").alias("title"), F.col("ref_key").alias("key")), lambda x: F.struct(x["label"].alias("name"), x["title"].alias("title"), x["key"].alias("space_key"))).alias("includes"),
     )
 
 
-def _texts(sums: DataFrame) -> DataFrame:
-    """A page's texts joined by blanks and joined without, and how many words stand outside of tables."""
-    said = _counted()
-    pieces = F.transform(F.array_sort(F.collect_list(F.when(said, F.struct("pos", "piece")))), lambda x: x["piece"])
-    out = sums.groupBy("page").agg(pieces.alias("pieces"), F.sum(F.when(said & (F.col("tables") == 0), n_words(F.col("piece"))).otherwise(0)).cast("int").alias("words_outside_tables"))
-    return out.select("page", F.array_join("pieces", " ").alias("joined"), F.array_join("pieces", "").alias("run"), "words_outside_tables")
+def _words_outside(nodes: DataFrame) -> DataFrame:
+    return nodes.where("tag is null and tables = 0").groupBy("page").agg(F.sum("words").cast("int").alias("words_outside_tables"))
+
+
+def _table_texts(nodes: DataFrame) -> DataFrame:
+    """``page, joined``: what is said in a page's tables, joined by blanks."""
+    said = nodes.where("tag is null and tables > 0 and pieces > 0").select("page", "pre", strip(F.col("text")).alias("piece"))
+    return said.groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "piece"))), lambda x: x["piece"]), " ").alias("joined"))
 
 
 def _minutes(elements: DataFrame, texts: DataFrame) -> DataFrame:
     """``page, minutes_in_tables``: for each table the durations that stand wholly in it, so one in nested tables counts for each.
 
-    Matches and the edges of tables are merged by their place in the page's text.
+    Matches and the edges of tables are merged by their place in the text of all tables.
     """
-    tables = elements.where("tag = 'table'").select("page", "pre", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("begin_at").alias("off")), F.struct(F.lit(1).alias("end"), (F.col("begin_at") + F.col("begin")).alias("off")))).alias("e"))
+    tables = elements.where("tag = 'table'").select("page", "pre", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("table_begin").alias("off")), F.struct(F.lit(1).alias("end"), F.col("table_end").alias("off")))).alias("e"))
     blank = lambda kind: F.lit(None).cast(kind)
     edges = tables.select("page", "pre", F.col("e.end").alias("end"), F.col("e.off").alias("off"), F.lit(0).alias("hit"), blank("long").alias("upto"))
     text = texts.where(F.col("joined").rlike(_MINUTES))
@@ -170,7 +130,8 @@ def _units(elements: DataFrame) -> DataFrame:
     with the lists that follow it at once, or a list with text that follows no such paragraph.  Nothing in a fallback is prose.
     """
     has_cells = F.max((F.col("tag") == CELL).cast("int")).over(W.partitionBy("page"))
-    rows = elements.withColumn("has_cells", has_cells).where(((F.col("parent_tag") == CELL) | ((F.col("has_cells") == 0) & (F.col("parent") == 0))) & (F.col("tag") != FLAG))
+    rows = elements.where((F.col("parent_tag") == CELL) | (F.col("parent") == 0) | (F.col("tag") == CELL))
+    rows = rows.select("page", "pre", "post", "parent", "parent_tag", "tag", "fallbacks", "lists", "words", "pieces", "rich").withColumn("has_cells", has_cells).where(((F.col("parent_tag") == CELL) | ((F.col("has_cells") == 0) & (F.col("parent") == 0))) & (F.col("tag") != FLAG))
     listed, run = F.col("tag").isin(*LISTS), F.col("words") - F.greatest(F.col("pieces") - 1, F.lit(0))
     outside = (F.col("fallbacks") - (F.col("tag") == FALLBACK).cast("int")) == 0
     # a paragraph counts by the words of its texts joined without blanks
@@ -180,7 +141,7 @@ def _units(elements: DataFrame) -> DataFrame:
     rows = rows.where(outside).withColumn("lead", lead)
     unit = F.when(listed, F.when(_any(F.col("lead.good")), F.col("lead.pre")).when(F.col("pieces") > 0, F.col("pre"))).otherwise(F.when(good, F.col("pre")))
     units = rows.withColumn("unit", unit).where("unit is not null").groupBy("page", "parent", "unit").agg(F.sum("words").cast("int").alias("n"), F.min("pre").alias("first"), F.max("post").alias("last"))
-    each = F.array_sort(F.collect_list(F.struct("parent", "unit", "n", "first", "last")))
+    each = F.sort_array(F.collect_list(F.struct("parent", "unit", "n", "first", "last")))
     return units.groupBy("page").agg(each.alias("u")).select("page", F.transform("u", lambda x: x["n"]).alias("paragraphs"), F.col("u")[0]["n"].alias("lead_words"), F.col("u")[0]["first"].alias("first"), F.col("u")[0]["last"].alias("last"), F.col("u")[0]["parent"].alias("cell"))
 
 
@@ -199,13 +160,15 @@ def _markup() -> Column:
 
 
 def _in_order(value: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("pos"), value.alias("x")))), lambda y: y["x"]), "")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("pos"), value.alias("x")))), lambda y: y["x"]), "")
 
 
 def _lead(nodes: DataFrame, units: DataFrame) -> DataFrame:
     """``page, lead_para``: markup of the first unit.  Between its paragraph and its lists stand texts of the cell alone."""
-    rows = _events(nodes, "attrs").withColumn("flags", _depth(F.col("tag") == FLAG))
-    own = rows.join(units.select("page", "first", "last", "cell"), "page").where("pos between first and last and flags = 0 and not (tag <=> 'fs:flag') and not (way = 0 and parent = cell)")
+    inside = "pre between first and last and flags = 0 and not (tag is null and parent = cell)"
+    own = nodes.join(units.select("page", "first", "last", "cell").hint("shuffle_hash"), "page").where(inside).select("page", "pre", "post", "tag", "attrs", "text")
+    own = own.select("*", F.explode(F.when(F.col("tag").isNull(), F.array("pre")).otherwise(F.array("pre", "post"))).alias("pos"))
+    own = own.withColumn("way", F.when(F.col("tag").isNull(), 0).when(F.col("pos") == F.col("pre"), 1).otherwise(-1))
     return own.groupBy("page").agg(_in_order(_markup()).alias("lead_para"))
 
 
@@ -222,24 +185,25 @@ def _named_includes(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("mark", F.when(include, _mark(F.col("ref.title"), F.col("ref.pre") < F.col("post")))).drop("ref")
 
 
-def plain_text(nodes: DataFrame) -> DataFrame:
-    """``page, plain_text, word_count``: a line per outermost block, each line once, and the words in them without flags."""
-    rows = _events(_named_includes(nodes), "mark")
-    block = _is_block()
-    rows = rows.withColumns({"flags": _depth(F.col("tag") == FLAG), "fallbacks": _depth(F.col("tag") == FALLBACK), "blocks": _depth(block), "includes": _depth(F.col("name") == INCLUDE), "after_flag": (F.col("way") == 0) & _any(F.lag(F.col("way") == -1).over(_order()) & F.lag(F.col("tag") == FLAG).over(_order()))})
-    last = lambda condition, value: F.last(F.when(_any(condition), value), ignorenulls=True).over(_so_far())
-    opens = (F.col("way") == 1) & block & (F.col("blocks") == 1)
-    rows = rows.withColumns({"block": last(opens, F.struct("pos", F.when(F.col("name").eqNullSafe(INCLUDE), MACRO).otherwise(F.col("tag")).alias("tag"))), "flag": last((F.col("way") == 1) & (F.col("tag") == FLAG), F.col("pos"))})
-    shown = F.when((F.col("way") == 0) & (F.col("includes") == 0), F.when(F.col("after_flag"), F.col("text")).otherwise(F.col("piece"))).when((F.col("way") == 1) & (F.col("includes") == 1), F.col("mark"))
-    rows = rows.where("blocks > 0 and fallbacks = 0").select("page", "block", F.when((F.col("flags") > 0) | F.col("after_flag"), F.col("flag")).otherwise(F.col("pos")).alias("group"), "pos", shown.alias("shown")).where("shown is not null")
+def plain_text(nodes: DataFrame, found_only: bool = False) -> DataFrame:
+    """``page, plain_text, word_count``: a line per outermost block, each line once, and the words in them without flags.
+
+    Of every page, or with ``found_only`` of those that show anything.
+    """
+    after_flag = (F.col("line") != F.col("pre")) & (F.col("flags") == 0)
+    shown = F.when(F.col("tag").isNotNull(), _mark(F.col("ref_title"), F.col("ref").isNotNull())).when(after_flag, F.col("text")).otherwise(strip(F.col("text")))
+    rows = nodes.where("block is not null").select("page", F.struct(F.col("block").alias("pos"), F.col("block_tag").alias("tag")).alias("block"), F.col("line").alias("group"), F.col("pre").alias("pos"), shown.alias("shown"))
+    rows = rows.repartition(shuffle_partitions(nodes.sparkSession), "page")
     pieces = rows.groupBy("page", "block", "group").agg(strip(_in_order(F.col("shown"))).alias("shown")).where("shown <> ''")  # a flag and the text after it are one
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "shown"))), lambda x: x["shown"]), " ")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", "shown"))), lambda x: x["shown"]), " ")
     lines = pieces.groupBy("page", "block").agg(joined.alias("text"))
     tag, text = F.col("block.tag"), F.col("text")
     line = F.when(tag.isin("h1", "h2"), F.concat(F.lit("[[Heading: "), text, F.lit("]]"))).when(tag == "li", F.concat(F.lit("- "), text)).otherwise(text)
     once = lines.withColumn("line", strip(line)).groupBy("page", "line").agg(F.min(F.struct(F.col("block.pos").alias("pos"), text.alias("text"))).alias("x"))
     words = F.sum(n_words(F.regexp_replace("x.text", LINK_FLAG, ""))).cast("int")
-    found = once.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x.pos", "line"))), lambda y: y["line"]), "\n").alias("plain_text"), words.alias("word_count"))
+    found = once.groupBy("page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x.pos", "line"))), lambda y: y["line"]), "\n").alias("plain_text"), words.alias("word_count"))
+    if found_only:
+        return found
     return nodes.where("pre = 0 and tag = '[document]'").select("page").join(found, "page", "left").na.fill({"plain_text": "", "word_count": 0})
 
 
@@ -262,29 +226,33 @@ def clean_html(nodes: DataFrame) -> DataFrame:
     return nodes.where("pre = 0 and tag = '[document]'").select("page").join(out, "page", "left").na.fill({"html": ""})
 
 
-def page_facts(nodes: DataFrame) -> DataFrame:
-    """All facts of each page, a row per page; ``nodes`` is read several times, so it should be a written table.
+def page_facts(nodes: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
+    """Facts of each page, a row per page: all, or those named.  ``nodes`` is read several times, so it should be a written table.
 
-    Elements with what they hold are written, since four kinds of facts come from them.
+    Each kind of facts is one pass over the nodes it needs; kinds that are not asked for are not made.
     """
-    sums = _sums(nodes)
-    elements = materialise(_elements(sums), "elements")
-    texts, units = _texts(sums), _units(elements)
-    lead = _lead(nodes, units)
-    rows = _element_facts(elements).join(texts, "page").join(plain_text(nodes), "page").join(units.select("page", "paragraphs", "lead_words"), "page", "left").join(lead, "page", "left").join(_minutes(elements, texts), "page", "left")
-    part = lambda text, x: F.substr(F.col(text), x["a"].cast("int") + 1, x["n"].cast("int"))
-    named = lambda x: F.when(x["range"].isNotNull() & (x["range"]["n"] > 1), F.substr(F.col("joined"), x["range"]["a"].cast("int") + 1, x["range"]["n"].cast("int") - 1)).otherwise("UNNAMED")
-    return rows.select(
-        "page", "plain_text", "word_count", "lead_para", F.coalesce("lead_words", F.lit(0)).alias("lead_words"), F.coalesce(link_count(F.col("lead_para")), F.lit(0)).alias("lead_links"), F.coalesce("paragraphs", F.array().cast("array<int>")).alias("paragraphs"),
-        "header_count", F.array_join(F.transform("heads", lambda x: part("run", x)), ",").alias("header_titles"), F.coalesce("minutes_in_tables", F.lit(0)).alias("minutes_in_tables"), "words_outside_tables", "images_outside_tables", "diagrams_outside_tables", "cells", "code_blocks", "code_lines",
-        F.transform("source_ranges", lambda x: F.struct(x["type"].alias("type"), named(x).alias("name"))).alias("sources"),
-        F.transform("include_ranges", lambda x: F.struct(named(x).alias("name"), x["title"].alias("title"), x["space_key"].alias("space_key"))).alias("includes"),
-    )
-
-
-def with_facts(pages: DataFrame, id_col: str = "id", html_col: str = "html", key_col: str = "key", out: str = "dom") -> DataFrame:
-    """``pages`` with a struct of all facts.  Markup is cut into nodes once, and they are written to the shared folder."""
+    elements = _elements(nodes)
+    units = _units(elements)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    kinds = [
+        (lambda: plain_text(nodes, True), {"plain_text": F.coalesce("plain_text", F.lit("")).alias("plain_text"), "word_count": zero("word_count")}),
+        (lambda: _lead(nodes, units), {"lead_para": F.col("lead_para"), "lead_links": F.coalesce(link_count(F.col("lead_para")), F.lit(0)).alias("lead_links")}),
+        (lambda: units.select("page", "paragraphs", "lead_words"), {"lead_words": zero("lead_words"), "paragraphs": F.coalesce("paragraphs", F.array().cast("array<int>")).alias("paragraphs")}),
+        (lambda: _minutes(elements, _table_texts(nodes)), {"minutes_in_tables": zero("minutes_in_tables")}),
+        (lambda: _words_outside(nodes), {"words_outside_tables": zero("words_outside_tables")}),
+        (lambda: _element_facts(elements), {c: F.col(c) for c in ("header_count", "header_titles", "images_outside_tables", "diagrams_outside_tables", "cells", "code_blocks", "code_lines", "sources", "includes")}),
+    ]
+    wanted = list(only or (c for _, columns in kinds for c in columns))
+    rows, found = nodes.where("pre = 0 and tag = '[document]'").select("page"), {}
+    for kind, columns in kinds:
+        if not columns.keys().isdisjoint(wanted):
+            rows, found = rows.join(kind(), "page", "left"), found | columns
+    return rows.select("page", *(found[c] for c in wanted))
+
+
+def with_facts(pages: DataFrame, id_col: str = "id", html_col: str = "html", key_col: str = "key", out: str = "dom", only: Iterable[str] | None = None) -> DataFrame:
+    """``pages`` with a struct of all facts, or of those named.  Markup is cut into nodes once, and they are written to the shared folder."""
     nodes = materialise(html_nodes(pages, id_col, html_col, key_col), "nodes")
-    found = page_facts(nodes)
+    found = page_facts(nodes, only)
     found = found.select(F.col("page").alias(id_col), F.struct(*(c for c in found.columns if c != "page")).alias(out))
     return pages.repartition(shuffle_partitions(pages.sparkSession), id_col).join(found, id_col)

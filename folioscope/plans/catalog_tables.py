@@ -125,7 +125,7 @@ def q_excerpts(spark, d):
 
     pages = _macro_pages(spark, d)
     spaces = pages.select(F.col("space_id").alias("id"), F.col("key").alias("short_id")).distinct()
-    facts = with_facts(pages).select("id", "key", "dom.sources", "dom.includes")
+    facts = with_facts(pages, only=("sources", "includes")).select("id", "key", "dom.sources", "dom.includes")
     found = resolve_excerpts(facts, title_index(pages.select("id", "title", "space_id"), spaces))
     text = lambda x: F.concat_ws(":", x["type"], F.lower(x["name"]), F.when(x["is_source"], "source").otherwise("shown"), x["source_id"])
     return found.select("id", F.array_join(F.array_sort(F.transform("excerpts", text)), ",").alias("excerpts"))
@@ -140,6 +140,9 @@ _STRUCTURE = (
 )
 
 
+_STRUCTURE_FACTS = ("header_count", "header_titles", "words_outside_tables", "images_outside_tables", "minutes_in_tables", "cells", "code_blocks", "code_lines", "paragraphs", "lead_words")
+
+
 @query(f"""
     WITH w AS (SELECT doc_id, len(regexp_extract_all({_WORDS[1]}, '[A-Za-z]+')) AS n, CAST(doc_id % 4 AS INT) AS t, CAST(doc_id % 3 AS INT) AS im FROM documents),
     u AS (SELECT *, list_filter([CASE WHEN n >= 5 OR n >= 2 THEN n + 3 ELSE 3 END, CASE WHEN n > 0 THEN n END, CASE WHEN im = 0 THEN 4 END], lambda x: x IS NOT NULL) AS units FROM w)
@@ -151,7 +154,7 @@ def q_dom_structure(spark, d):
     words, lines = _WORDS[0], "concat('a', repeat('\\nb', CAST(doc_id % 5 AS INT)))"
     html = _STRUCTURE.format(words=words, table=_TABLE.format(words=words), lines=lines)
     pages = A.spread(A.table(spark, d, "documents").selectExpr("CAST(doc_id AS STRING) AS id", f"{html} AS html", "CAST(NULL AS STRING) AS key"))
-    f = with_facts(pages)
+    f = with_facts(pages, only=_STRUCTURE_FACTS)
     total = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x)
     return f.select(
         "id", "dom.header_count", "dom.header_titles", F.col("dom.words_outside_tables").alias("words_outside"), F.col("dom.images_outside_tables").alias("images_outside"), "dom.minutes_in_tables", F.size("dom.cells").alias("n_cells"), total("dom.cells").alias("cell_words"),

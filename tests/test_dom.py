@@ -125,3 +125,12 @@ def test_lines_headings_and_lists(spark, tmp_path):
     f = facts(spark, tmp_path, [(page, "KEY")])[0]
     assert f["plain_text"] == "[[Heading: Top]]\nOne two three\n- four\n[[link to: KEY:T]]"
     assert (f["word_count"], f["lead_words"], f["paragraphs"], f["header_count"]) == (5, 4, [4, 3], 1)
+
+
+def test_only_the_facts_asked_for_are_made(spark, tmp_path):
+    """A query that takes headings and cells moves no page text and sorts no events."""
+    nodes = nodes_of(spark, tmp_path, [(LAYOUT, "S"), ("<table><td>a b</td></table><h1>T <b>u</b></h1>", "S")])
+    some = dom.page_facts(nodes, ("header_titles", "cells"))
+    assert {r.page: (r.header_titles, r.cells) for r in some.collect()} == {"0": ("Title", []), "1": ("Tu", [2])}
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1
