@@ -134,3 +134,10 @@ def test_only_the_facts_asked_for_are_made(spark, tmp_path):
     assert {r.page: (r.header_titles, r.cells) for r in some.collect()} == {"0": ("Title", []), "1": ("Tu", [2])}
     plan = some._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Aggregate") == 1
+
+
+def test_references_end_with_a_semicolon():
+    """Storage markup is XML, where ``&amp`` alone is text; entities, numbers and plain sections stay as they are."""
+    page = '<p title="a&b&amp;c">x &amp; y&amp z&lt;&#x27;&#39 & &copy;&nosuch;<![CDATA[a && b &amp;]]></p><h1>cut off&amp;&amp</h1>'
+    rows = tokens(page, None)
+    assert [x[6] for x in rows if x[6] is not None] == ["x & y&amp z<'&#39 & ©&nosuch;", "a && b &amp;", "cut off&&amp"] and rows[1][5] == {"title": "a&b&c"}
