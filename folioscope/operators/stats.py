@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import squash_runs
 from ..schema import LONG_PAGE_WORDS, STUB_WORDS, TOC_WORDS
+from ..storage import materialise, shuffle_partitions
 
 
 def blank_pages(pages: DataFrame) -> DataFrame:
@@ -64,12 +66,31 @@ def label_mentions(pages: DataFrame, label: str) -> DataFrame:
 
 
 def field_profile(values: DataFrame) -> DataFrame:
-    """Shape of each field of ``field, value``: zero share, distinct values, order statistics, class of shape."""
-    p = lambda q: F.percentile("value", q)
-    s = values.groupBy("field").agg(
-        (F.count_if(F.col("value") == 0) / F.count("*")).alias("zero_share"), F.count_distinct("value").alias("n_distinct"), F.min("value").alias("min"), p(0.25).alias("p25"), p(0.5).alias("p50"),
-        p(0.75).alias("p75"), p(0.95).alias("p95"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.bool_and(F.col("value").isin(0.0, 1.0)).alias("binary"),
+    """Shape of each field of ``field, value``: zero share, distinct values, order statistics, class of shape; a null value counts as a row alone.
+
+    Equal values are one row with a count from the first step on.  Order statistics are exact: ranges of values know how many come
+    before them, so a rank is looked for in the one range that holds it, and no field is sorted in one task.
+    """
+    counts = materialise(values.groupBy("field", "value").agg(F.count("*").alias("c")), "values")
+    v, c = F.col("value"), F.col("c")
+    some = v.isNotNull()
+    s = counts.groupBy("field").agg(
+        (F.sum(F.when(v == 0, c).otherwise(0)) / F.sum("c")).alias("zero_share"), F.count("value").alias("n_distinct"), F.min("value").alias("min"), F.max("value").alias("max"), F.coalesce(F.sum(F.when(some, c)), F.lit(0)).alias("n"),
+        (F.sum(v * c) / F.sum(F.when(some, c))).alias("mean"), F.bool_and(v.isin(0.0, 1.0)).alias("binary"),
     )
+    spread = counts.join(F.broadcast(s.select("field", "mean")), "field").groupBy("field").agg(F.sqrt(F.sum((v - F.col("mean")) * (v - F.col("mean")) * c) / F.sum(F.when(some, c))).alias("std"))
+    ranged = materialise(counts.where(some).repartitionByRange(shuffle_partitions(values.sparkSession), "field", "value").withColumn("range", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("field", "range").agg(F.sum("c").alias("held")).withColumn("before", F.sum("held").over(W.partitionBy("field").orderBy("range")) - F.col("held"))
+    # a percentile lies between the values at two ranks, counted from 0
+    at = F.explode(F.array(*(F.struct(F.lit(k).alias("p"), ((F.col("n") - 1) * q).alias("at")) for k, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))))).alias("x")
+    ranks = s.where("n > 0").select("field", at).select("field", "x.p", "x.at").select("field", "p", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"))
+    placed = ranks.join(before, "field").where("rank >= before and rank < before + held").select("field", "range", "p", "at", "rank", "before")
+    upto = F.sum("c").over(W.partitionBy("field", "range").orderBy("value"))
+    run = ranged.join(F.broadcast(placed.select("field", "range", "before").distinct()), ["field", "range"]).withColumn("upto", F.col("before") + upto).drop("before")
+    hit = run.join(F.broadcast(placed.select("field", "range", "p", "at", "rank")), ["field", "range"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - c))
+    weight = F.when(F.floor("at") == F.ceil("at"), 1.0).when(F.col("rank") == F.floor("at"), F.ceil("at") - F.col("at")).otherwise(F.col("at") - F.floor("at"))
+    percentile = hit.groupBy("field").agg(*(F.sum(F.when(F.col("p") == k, v * weight)).alias(k) for k in ("p25", "p50", "p75", "p95")))
+    s = s.join(spread, "field").join(percentile, "field", "left").select("field", "zero_share", "n_distinct", "min", "p25", "p50", "p75", "p95", "max", "mean", "std", "binary")
     heavy = F.coalesce(F.try_divide("max", "p95"), F.lit(0.0)) > 3
     shape = F.when(F.col("n_distinct") == 1, "constant").when(F.col("binary"), "binary").when(F.col("zero_share") > 0.8, "mostly_zero").when((F.col("n_distinct") <= 8) & (F.col("max") <= 10), "small_int")
     shape = shape.when(heavy, "heavy_tail").when((F.col("min") >= 0) & (F.col("max") <= 1), "ratio_0_1").otherwise("other")

@@ -224,3 +224,35 @@ def test_presentation(spark):
     ).head()
     assert tuple(row) == ("abc…", "ab  ", "1:02:05", "▼ 0.25", "=")
     assert P.snippet("a b c\n\nd", 3, 2) == "a b\nc\n---" and P.snippet(None) == ""
+
+
+def _plan(rows) -> str:
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_where_texts_lie(spark):
+    from folioscope.operators.lexical import word_counts, zipf_of
+
+    texts = spark.createDataFrame([(1, "the Cat the cat a-b 9x the"), (2, None), (3, "1 2"), (4, "cat")], "id long, text string")
+    counts = word_counts(texts, ["a-b"])
+    assert sorted(map(tuple, counts.collect())) == [(1, "cat", 2), (1, "the", 3), (1, "x", 1), (4, "cat", 1)] and "Exchange" not in _plan(counts)
+    assert {r.word: round(10**r.zipf / 1e9 * 8) for r in zipf_of(texts).collect()} == {"the": 3, "cat": 3, "a-b": 1, "x": 1}
+
+
+def test_field_profile_is_exact_without_a_field_in_one_task(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from folioscope.operators.stats import field_profile
+
+    r = np.random.default_rng(3)
+    fields = {"a": r.normal(size=1001), "b": r.integers(0, 2, 50).astype(float), "c": np.full(7, 3.0), "d": r.integers(-3, 9, 400) * 0.5, "e": np.array([1.5])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in fields.items() for x in v] + [("d", None)] * 5 + [("n", None)] * 2, "field string, value double")
+    profile = field_profile(rows)
+    assert "percentile" not in _plan(profile).lower()
+    found = {x.field: x.asDict() for x in profile.collect()}
+    for k, v in fields.items():
+        f, total = found[k], len(v) + (5 if k == "d" else 0)
+        assert np.allclose([f[c] for c in ("p25", "p50", "p75", "p95", "mean", "std")], [*np.percentile(v, [25, 50, 75, 95]), v.mean(), v.std()])
+        assert f["zero_share"] == (v == 0).sum() / total and f["n_distinct"] == len(set(v)) and (f["min"], f["max"]) == (v.min(), v.max())
+    assert found["n"]["n_distinct"] == 0 and found["n"]["p50"] is None
