@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 #: What counts as a token (of lower-cased text), and the Zipf values that tell words apart.
 TOKEN = r"[a-z][a-z\-_/0-9]*"
 JARGON_BELOW, RARE_BELOW, FOCUS_BELOW, FOCUS_COUNT = 1.5, 3, 4, 4
@@ -20,16 +22,31 @@ STOP_WORDS = (
 ).split()
 
 
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
 def word_counts(texts: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
-    """``id, word, n`` of the tokens of ``texts(id, text)`` that are no stop words; a null text has none."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN), F.lit(0))
-    each = texts.select("id", F.explode(tokens).alias("word"))
-    return each.where(~F.col("word").isin(list(stop_words))).groupBy("id", "word").agg(F.count("*").alias("n"))
+    """``id, word, n`` of the tokens of ``texts(id, text)`` that are no stop words; a null text has none.
+
+    A text's tokens are counted where it lies, in runs of its sorted tokens, so nothing is moved; ids are unique.
+    """
+    rows = texts.select("id", F.sort_array(F.filter(_tokens(F.col("text")), lambda w: ~w.isin(list(stop_words)) if stop_words else F.lit(True))).alias("words"))
+    # where runs begin, and where the next one does
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get(F.col("words"), i) != F.get(F.col("words"), i - 1)))
+    rows = rows.where(F.size("words") > 0).select("id", "words", starts.alias("starts"))
+    runs = F.transform("starts", lambda i, k: F.struct(F.get(F.col("words"), i).alias("word"), (F.coalesce(F.get(F.col("starts"), k + 1), F.size("words")) - i).cast("long").alias("n")))
+    return rows.select("id", F.inline(runs))
+
+
+def corpus_counts(texts: DataFrame) -> DataFrame:
+    """``word, n`` over all of ``texts``, stop words included; only a task's different words are moved.  A written table."""
+    return materialise(texts.select(F.explode(_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
 
 
-def zipf_of(texts: DataFrame) -> DataFrame:
+def zipf_of(texts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``word, zipf`` from the corpus itself: the logarithm of a word's uses in a billion; stop words included."""
-    counts = word_counts(texts, ()).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = corpus_counts(texts) if counts is None else counts
     total = counts.agg(F.sum("n")).head()[0] or 1
     return counts.select("word", F.log10(F.col("n") * (1e9 / total)).alias("zipf"))
 
@@ -37,21 +54,22 @@ def zipf_of(texts: DataFrame) -> DataFrame:
 def lexical_signals(texts: DataFrame, zipf: DataFrame, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
     """``id`` and the three lexical signals, for all of ``texts(id, text)``; zero without tokens.
 
-    ``zipf(word, zipf)`` has each word once; a word that is not in it counts as 0.  Words at ``FOCUS_BELOW`` or
+    Words of a text that need no look at the rest of the list are summed up where the text lies; only the others are moved.
+    ``zipf(word, zipf)`` has each word once and is read twice, so it should be a written table; a word that is not in it counts as 0.  Words at ``FOCUS_BELOW`` or
     above count for nothing but the total: as uses in a billion there are 100,000 of them at most, which are
     broadcast, so that no frequent word is a key of the join with the rest of the list.
     """
     counts = word_counts(texts, stop_words)
-    usual = zipf.where(F.col("zipf") >= FOCUS_BELOW).select("word", F.lit(float(FOCUS_BELOW)).alias("known"))
+    usual = zipf.where(F.col("zipf") >= FOCUS_BELOW).select("word", F.lit(True).alias("known"))
     if usual.limit(100_001).count() <= 100_000:
         usual = F.broadcast(usual)
     marked = counts.join(usual, "word", "left")
-    rare = marked.where("known is null").join(zipf.where(F.col("zipf") < FOCUS_BELOW), "word", "left").select("id", "n", F.coalesce("zipf", F.lit(0.0)).alias("z"))
-    rows = rare.unionByName(marked.where("known is not null").select("id", "n", F.col("known").alias("z")))
-    share = lambda hit: F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")
-    per = rows.groupBy("id").agg(
-        share(F.col("z") < JARGON_BELOW).alias("lexic_jargon_share"), share(F.col("z") < RARE_BELOW).alias("lexic_rare_words_share"),
-        share((F.col("z") < FOCUS_BELOW) & (F.col("n") >= FOCUS_COUNT)).alias("lexic_topical_focus"),
-    )
+    rare = marked.where("known is null").drop("known").join(zipf.where(F.col("zipf") < FOCUS_BELOW), "word", "left").select("id", "n", F.coalesce("zipf", F.lit(0.0)).alias("z"))
+    known = marked.where("known").groupBy("id").agg(F.sum("n").alias("n"))
+    part = lambda hit: F.sum(F.when(hit, F.col("n")).otherwise(0))
+    found = rare.groupBy("id").agg(F.sum("n").alias("n"), part(F.col("z") < JARGON_BELOW).alias("jargon"), part(F.col("z") < RARE_BELOW).alias("rare"), part((F.col("z") < FOCUS_BELOW) & (F.col("n") >= FOCUS_COUNT)).alias("focus"))
+    rows = found.unionByName(known.select("id", "n", *(F.lit(0).cast("long").alias(c) for c in ("jargon", "rare", "focus"))))
+    share = lambda c: F.sum(c) / F.sum("n")
+    per = rows.groupBy("id").agg(share("jargon").alias("lexic_jargon_share"), share("rare").alias("lexic_rare_words_share"), share("focus").alias("lexic_topical_focus"))
     names = ("lexic_jargon_share", "lexic_rare_words_share", "lexic_topical_focus")
     return texts.select("id").join(per, "id", "left").select("id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in names))

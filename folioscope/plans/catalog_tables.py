@@ -11,6 +11,7 @@ from ..operators import tree as G
 from ..operators import types as Y
 from ..schema import BASE_COLUMNS
 from ..sources import store, tables
+from ..storage import materialise
 from . import adapter as A
 from .catalog import _SHINGLES, query
 from .passthrough import query as run_sql
@@ -299,8 +300,9 @@ def _texts(spark, d):
     SELECT d.doc_id AS id, round(coalesce(j / s.n, 0), 6) AS lexic_jargon_share, round(coalesce(r / s.n, 0), 6) AS lexic_rare_words_share, round(coalesce(f / s.n, 0), 6) AS lexic_topical_focus FROM documents d LEFT JOIN s USING (doc_id)""")
 def q_lexical(spark, d):
     texts = _texts(spark, d)
-    counts = lexical.word_counts(texts, ()).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").select("word")
-    zipf = lexical.zipf_of(texts).join(counts, "word").select("word", (F.col("zipf") - 1).alias("zipf"))
+    counts = lexical.corpus_counts(texts)
+    zipf = lexical.zipf_of(texts, counts).join(counts.where("n > 1").select("word"), "word").select("word", (F.col("zipf") - 1).alias("zipf"))
+    zipf = materialise(zipf, "zipf")
     return lexical.lexical_signals(texts, zipf).select("id", *(F.round(c, 6).alias(c) for c in ("lexic_jargon_share", "lexic_rare_words_share", "lexic_topical_focus")))
 
 
