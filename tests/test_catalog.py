@@ -84,3 +84,33 @@ def test_scan_duplicates_equals_brute_force(spark):
                     linked |= {a, b}
     got = {w.id: w.group_id for w in scan_duplicates(pages, vectors).collect()}
     assert got == {i: g for i, g in group.items() if i in linked} and len(set(got.values())) > 5
+
+
+def test_jaccard_join_moves_prefixes_not_sets(spark, monkeypatch):
+    import random
+
+    from folioscope.operators import duplicates as D
+
+    r = random.Random(5)
+    usual = " ".join(f"u{i}" for i in range(30))
+    texts = {}
+    for i in range(120):
+        words = texts[r.randrange(i)].split() if i and i % 2 else (usual + " " + " ".join(f"w{r.randint(0, 300)}" for _ in range(r.randint(0, 90)))).split()
+        for _ in range(r.randint(0, 2)):
+            words[r.randrange(len(words))] = f"z{i}"
+        texts[i] = " ".join(words)
+    texts |= {200: "", 201: "a b c", 202: texts[0], 203: texts[0].upper()}
+    grams = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+    first = {}
+    for i in sorted(grams):
+        first.setdefault(grams[i], i)
+    ids = sorted(i for g, i in first.items() if g)
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for frequent, sent in ((100_000, 500_000), (3, 0)):  # whatever is known to be frequent, and whether ids are sent or joined
+        monkeypatch.setattr(D, "FREQUENT", frequent)
+        monkeypatch.setattr(D, "MOST_SENT", sent)
+        for least in (0.5, 0.8):
+            want = {(a, b) for a in ids for b in ids if a < b and len(grams[a] & grams[b]) >= least * len(grams[a] | grams[b])}
+            assert {(x.a, x.b) for x in D.jaccard_join(rows, least).collect()} == want and want
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 9])], "id long, s array<bigint>")
+    assert sorted(map(tuple, D._prefixes(sets, 0.8, 2).collect())) == [(1, 5, 4), (1, 5, 5), (2, 4, 9)]  # rarest first; 5 - 4 + 1 and 4 - 4 + 1 of them
