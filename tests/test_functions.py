@@ -256,3 +256,13 @@ def test_field_profile_is_exact_without_a_field_in_one_task(spark):
         assert np.allclose([f[c] for c in ("p25", "p50", "p75", "p95", "mean", "std")], [*np.percentile(v, [25, 50, 75, 95]), v.mean(), v.std()])
         assert f["zero_share"] == (v == 0).sum() / total and f["n_distinct"] == len(set(v)) and (f["min"], f["max"]) == (v.min(), v.max())
     assert found["n"]["n_distinct"] == 0 and found["n"]["p50"] is None
+
+
+def test_keywords_lower_a_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.functions.text import keyword_hits
+
+    rows = spark.createDataFrame([("A Release of THE release Notes",), (None,), ("",)], "t string").select(keyword_hits(F.col("t"), ["release", "notes", "hotfix", "the"]).alias("n"))
+    assert [r.n for r in rows.collect()] == [3, 0, 0]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
