@@ -114,3 +114,40 @@ def test_jaccard_join_moves_prefixes_not_sets(spark, monkeypatch):
             assert {(x.a, x.b) for x in D.jaccard_join(rows, least).collect()} == want and want
     sets = spark.createDataFrame([(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 9])], "id long, s array<bigint>")
     assert sorted(map(tuple, D._prefixes(sets, 0.8, 2).collect())) == [(1, 5, 4), (1, 5, 5), (2, 4, 9)]  # rarest first; 5 - 4 + 1 and 4 - 4 + 1 of them
+
+
+def test_near_copies_move_once_for_all_their_pairs(spark, monkeypatch):
+    """Many near copies of one text: what pairs share is counted before it is moved, and sets are moved for tiles, whatever their bounds."""
+    import random
+
+    from folioscope.operators import duplicates as D
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    texts = {}
+    for i in range(70):
+        words = list(base)
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = f"z{i}"
+        texts[i] = " ".join(words)
+    texts |= {100 + i: " ".join(f"y{r.randint(0, 400)}" for _ in range(r.randint(5, 60))) + " " + " ".join(base[:20]) for i in range(40)}
+    grams = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in texts.items())}
+    first = {}
+    for i in sorted(grams):
+        first.setdefault(grams[i], i)
+    ids = sorted(first.values())
+    alike = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in ids for b in ids if a < b}
+    for kind, bounds in (("long", (2048, 1 << 21, 1 << 17)), ("string", (4, 300, 50))):
+        rows = spark.createDataFrame([(i if kind == "long" else f"{i:04}", t) for i, t in texts.items()], f"id {kind}, text string")
+        for name, value in zip(("TILE_TEXTS", "TILE_SHINGLES", "TASK_ROWS"), bounds):
+            monkeypatch.setattr(D, name, value)
+        got = [(int(x.a), int(x.b), x.similarity) for x in D.jaccard_join(rows, 0.8).collect()]
+        assert sorted(got) == sorted((a, b, s) for (a, b), s in alike.items() if s >= 0.8) and len(got) > 50
+    sets = rows.select("id", D.F.array_sort(D.F.transform(D.shingles(D.F.col("text")), lambda s: D.F.xxhash64(s))).alias("s"))
+    keys = D._prefixes(sets, 0.8, len(texts), places=True)
+    held = D._candidates(keys, 0.8).count()  # of pairs that share a shingle of their prefixes, few that aren't alike
+    shared = keys.select(D.F.col("id").alias("a"), "x").join(keys.select(D.F.col("id").alias("b"), "x"), "x").where("a < b").select("a", "b").distinct().count()
+    assert held < shared
+    # bounds that rounding would raise: 0.55 * 20 is more than 11
+    eleven = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(15))), (2, " ".join(f"q{i}" for i in range(24)))], "id long, text string")
+    assert [(x.a, x.b, x.similarity) for x in D.jaccard_join(eleven, 0.55).collect()] == [(1, 2, 0.55)]
