@@ -151,3 +151,19 @@ def test_near_copies_move_once_for_all_their_pairs(spark, monkeypatch):
     # bounds that rounding would raise: 0.55 * 20 is more than 11
     eleven = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(15))), (2, " ".join(f"q{i}" for i in range(24)))], "id long, text string")
     assert [(x.a, x.b, x.similarity) for x in D.jaccard_join(eleven, 0.55).collect()] == [(1, 2, 0.55)]
+
+
+def test_groups_of_many_near_copies_in_small_tiles(spark, monkeypatch):
+    """Groups are the same whether near copies meet in one tile or in many."""
+    from folioscope.operators import duplicates as D
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:40] + [f"t{i // 20}-{k}" for k in range(20)][: 20 - i % 20 % 2] + ["end"] * (i % 3)) for i in range(60)]
+    pages = spark.createDataFrame([(str(i), t, 60) for i, t in enumerate(texts)], "id string, plain_text string, word_count int")
+    vectors = spark.createDataFrame([(str(i), [float(i // 20)]) for i in range(60)], "id string, vec array<double>")
+    found = []
+    for bounds in ((2048, 1 << 21, 1 << 17), (2, 100, 20)):
+        for name, value in zip(("TILE_TEXTS", "TILE_SHINGLES", "TASK_ROWS"), bounds):
+            monkeypatch.setattr(D, name, value)
+        found.append({x.id: x.group_id for x in D.scan_duplicates(pages, vectors).collect()})
+    assert found[0] == found[1] == {i: i // 20 * 20 for i in range(60)}
