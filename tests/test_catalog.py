@@ -148,9 +148,9 @@ def test_near_copies_move_once_for_all_their_pairs(spark, monkeypatch):
     held = D._candidates(keys, 0.8).count()  # of pairs that share a shingle of their prefixes, few that aren't alike
     shared = keys.select(D.F.col("id").alias("a"), "x").join(keys.select(D.F.col("id").alias("b"), "x"), "x").where("a < b").select("a", "b").distinct().count()
     assert held < shared
-    # bounds that rounding would raise: 0.55 * 20 is more than 11
-    eleven = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(15))), (2, " ".join(f"q{i}" for i in range(24)))], "id long, text string")
-    assert [(x.a, x.b, x.similarity) for x in D.jaccard_join(eleven, 0.55).collect()] == [(1, 2, 0.55)]
+    # bounds that rounding would raise: 0.56 * 25 is more than 14
+    rounded = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(18))), (2, " ".join(f"q{i}" for i in range(29)))], "id long, text string")
+    assert [(x.a, x.b, x.similarity) for x in D.jaccard_join(rounded, 0.56).collect()] == [(1, 2, 0.56)]
 
 
 def test_groups_of_many_near_copies_in_small_tiles(spark, monkeypatch):
